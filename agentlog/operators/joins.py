@@ -108,6 +108,15 @@ def pending_sources(progress: DataFrame) -> DataFrame:
     return progress.where(~F.col("done"))
 
 
+def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast hint only for a table found to have at most `max_rows` rows.
+
+    Used on sides whose size Catalyst cannot know before it runs, such as one row per
+    class; a larger table is left to an ordinary join.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def share(df: DataFrame, col: str, out: str = "percentage") -> DataFrame:
     """Share of a column's total in percent, one digit."""
     from agentlog.functions.numeric import percent
