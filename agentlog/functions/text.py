@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from agentlog.config import LongTextConfig
@@ -35,43 +37,59 @@ def token_estimate(c: Column) -> Column:
     return F.size(words(c)).cast("bigint")
 
 
-def word_chunks(c: Column, size: int, overlap: int) -> Column:
-    """Overlapping windows of `size` words; the last one reaches the end."""
-    if size <= 0:
-        raise ValueError("chunk size must be positive")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(w: Column, size: int, overlap: int) -> Column:
     overlap = max(0, min(overlap, size - 1))
     step = max(1, size - overlap)
-    w = words(c)
-    n = F.size(w)
     # A further window starts only while the previous one left words uncovered.
-    last = F.ceil(F.greatest(n - size, F.lit(0)) / F.lit(step)).cast("int")
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), last),
-            lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "),
-        )
+    last = F.ceil(F.greatest(F.size(w) - size, F.lit(0)) / F.lit(step)).cast("int")
+    starts = F.sequence(F.lit(0), last)
+    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(
+        F.transform(starts, lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
     )
 
 
+def word_chunks(c: Column, size: int, overlap: int) -> Column:
+    """Overlapping windows of `size` words; the last one reaches the end."""
+    if size <= 0:
+        raise ValueError("chunk size must be positive")
+    return let(words(c), lambda w: _windows(w, size, overlap))
+
+
 def long_text(c: Column, cfg: LongTextConfig = LongTextConfig()) -> Column:
     """Struct(representation, strategy, chunks_processed, original_tokens)."""
     clean = strip(F.coalesce(c, F.lit("")))
-    tokens = token_estimate(clean)
-    chunks = word_chunks(clean, cfg.chunk, cfg.overlap)
-    head = F.slice(chunks, 1, cfg.max_chunks - 1)
-    picked = F.when(F.size(chunks) <= cfg.max_chunks, chunks).otherwise(
-        F.concat(head, F.slice(chunks, -1, 1))
-    )
-    parts = F.transform(
-        picked, lambda t: F.array_join(F.slice(F.split(t, " "), 1, cfg.head_words), " ")
-    )
-    direct = tokens <= cfg.max_direct
-    return F.struct(
-        F.when(direct, clean).otherwise(F.array_join(parts, " [...] ")).alias("representation"),
-        F.when(direct, F.lit("direct")).otherwise(F.lit("chunk_summary")).alias("strategy"),
-        F.when(direct, F.lit(0)).otherwise(F.size(chunks)).cast("bigint").alias("chunks_processed"),
-        tokens.alias("original_tokens"),
-    )
+
+    def shortened(chunks: Column) -> Column:
+        head = F.slice(chunks, 1, cfg.max_chunks - 1)
+        picked = F.when(F.size(chunks) <= cfg.max_chunks, chunks).otherwise(
+            F.concat(head, F.slice(chunks, -1, 1))
+        )
+        parts = F.transform(
+            picked, lambda t: F.array_join(F.slice(F.split(t, " "), 1, cfg.head_words), " ")
+        )
+        return F.array_join(parts, " [...] ")
+
+    def result(w: Column) -> Column:
+        direct = F.size(w) <= cfg.max_direct
+        none = F.array().cast("array<string>")
+        chunks = F.when(direct, none).otherwise(_windows(w, cfg.chunk, cfg.overlap))
+
+        def describe(ch: Column) -> Column:
+            return F.struct(
+                F.when(direct, clean).otherwise(shortened(ch)).alias("representation"),
+                F.when(direct, F.lit("direct")).otherwise(F.lit("chunk_summary")).alias("strategy"),
+                F.size(ch).cast("bigint").alias("chunks_processed"),
+                F.size(w).cast("bigint").alias("original_tokens"),
+            )
+
+        return let(chunks, describe)
+
+    return let(words(c), result)
 
 
 def fingerprint(c: Column) -> Column:
