@@ -59,6 +59,12 @@ def stack(column: pd.Series, dim: int) -> np.ndarray:
     return out
 
 
+def plain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """String columns as plain objects, which Arrow takes back whatever their chunks were."""
+    texts = [c for c in pdf.columns if pd.api.types.is_string_dtype(pdf[c].dtype)]
+    return pdf.astype({c: object for c in texts})
+
+
 def unit_rows(m: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(size == 0.0, 1.0, size)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from agentlog.functions.text import fingerprint
-from agentlog.functions.vectors import stack, unit_rows
+from agentlog.functions.vectors import plain, stack, unit_rows
 
 BROADCAST_BYTES = 64 << 20
 ROWS_PER_BLOCK = 20_000
@@ -159,7 +159,7 @@ def _nearest_blocks(
                     }
                 )
             )
-        return pd.concat(found)
+        return plain(pd.concat(found))
 
     met = rows.groupBy(*by).cogroup(parts.groupBy(*by)).applyInPandas(
         meet, "key string, ref string, neg double"
@@ -250,7 +250,7 @@ def vector_search(
                 best[q] = both.sort_values(["score", "request_id"], ascending=[False, True]).head(k)
         for q, rows in enumerate(best):
             if rows is not None and len(rows):
-                yield rows.assign(query_id=ids[q])[["query_id", "request_id", "score"]]
+                yield plain(rows.assign(query_id=ids[q])[["query_id", "request_id", "score"]])
 
     found = v.select("request_id", "embedding").mapInPandas(
         top, "query_id string, request_id string, score double"

@@ -66,7 +66,18 @@ def append_new(
     order: Sequence[str] = ("timestamp",),
 ) -> DataFrame:
     """Rows to append: keys not stored yet, first occurrence in the batch."""
-    return first_per(new, keys, order).join(existing.select(*keys), list(keys), "left_anti")
+    return not_stored(first_per(new, keys, order), existing, keys)
+
+
+def not_stored(fresh: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is not in the stored table.
+
+    The stored side is first cut to the keys at hand: with a batch small enough to be
+    broadcast, the large table is scanned for its key columns but not shuffled.
+    """
+    keys = list(keys)
+    known = existing.select(*keys).join(fresh.select(*keys), keys, "left_semi")
+    return fresh.join(known, keys, "left_anti")
 
 
 def upsert(

@@ -14,7 +14,7 @@ from agentlog.functions.ids import URL_NAMESPACE, canonical_request_id
 from agentlog.functions.numeric import parse_double, parse_long
 from agentlog.functions.taxonomy import literal_map
 from agentlog.functions.text import first_filled, strip
-from agentlog.operators.keyed import first_per
+from agentlog.operators.keyed import first_per, not_stored
 
 
 @dataclass(frozen=True)
@@ -53,9 +53,12 @@ def with_external_id(raw: DataFrame, prefix: str = "req_") -> DataFrame:
     return raw.withColumn("external_id", F.coalesce(F.nullif(F.col("request_id"), F.lit("")), made))
 
 
-def with_timestamp(raw: DataFrame, cfg: NormalizeConfig, total: Column | None = None) -> DataFrame:
-    """Parsed time, else a synthetic one in [now - span, now)."""
-    now = F.lit(cfg.now.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+def with_timestamp(
+    raw: DataFrame, cfg: NormalizeConfig, total: Column | None = None, now: Column | None = None
+) -> DataFrame:
+    """Parsed time, else a synthetic one in [now - span, now), else now."""
+    if now is None:
+        now = F.lit(cfg.now.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
     if cfg.synthesize and total is not None:
         spare = rules.synthetic_timestamp(F.col("row_idx"), total, cfg.now, cfg.span_days)
     else:
@@ -117,10 +120,12 @@ def with_source(df: DataFrame, source_id: str) -> DataFrame:
     return df.withColumn("source_id", F.lit(source_id))
 
 
-def canonical_rows(raw: DataFrame, cfg: NormalizeConfig, total: Column | None) -> DataFrame:
+def canonical_rows(
+    raw: DataFrame, cfg: NormalizeConfig, total: Column | None, now: Column | None = None
+) -> DataFrame:
     """All normalised columns of every raw row, rejected ones included, in one projection."""
     out = with_reject_reason(with_query_text(raw))
-    out = with_timestamp(with_external_id(out, cfg.id_prefix), cfg, total)
+    out = with_timestamp(with_external_id(out, cfg.id_prefix), cfg, total, now)
     out = with_user(with_tools(with_manual_minutes(with_tokens(map_status(out)))))
     rid = canonical_request_id(F.col("external_id"), cfg.namespace, cfg.name_prefix)
     return out.select(
@@ -276,9 +281,7 @@ def intake(
     ).isNotNull()
     marked = batch.withColumn("__good", F.coalesce(good, F.lit(False)))
     named = marked.where(F.col("__good") & (F.coalesce("request_id", F.lit("")) != "")).drop("__good")
-    accepted = first_per(named, ["request_id"], order).join(
-        existing.select("request_id"), "request_id", "left_anti"
-    )
+    accepted = not_stored(first_per(named, ["request_id"], order), existing, ["request_id"])
     seen = marked.groupBy("source_id").agg(
         F.count_if("__good").alias("good"), F.count_if(~F.col("__good")).alias("rejected")
     )

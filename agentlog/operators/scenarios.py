@@ -25,7 +25,7 @@ from agentlog.config import ScenarioConfig
 from agentlog.functions.ids import cluster_number, scenario_id, technical_name
 from agentlog.functions.taxonomy import UNKNOWN, filled
 from agentlog.functions.text import squash, strip
-from agentlog.functions.vectors import mean_vector, norm, stack, unit_rows
+from agentlog.functions.vectors import mean_vector, norm, plain, stack, unit_rows
 from agentlog.operators.embedding import nearest, pairs_above, vector_search
 from agentlog.operators.joins import broadcast_checked, recompute_input
 from agentlog.operators.keyed import dedup_texts, first_per
@@ -123,7 +123,7 @@ def _link(cfg: ScenarioConfig):
                 break
             label = new
         out = pdf.assign(label=label, center=list(centers))[core]
-        return out[["task_type", "label", "center"]]
+        return plain(out[["task_type", "label", "center"]])
 
     return link
 
@@ -483,7 +483,7 @@ def _leaders_of(threshold: float):
         for i in range(len(rows)):
             if not chosen or (rows[chosen] @ rows[i]).max() < threshold:
                 chosen.append(i)
-        return pdf.iloc[chosen]
+        return plain(pdf.iloc[chosen])
 
     return run
 

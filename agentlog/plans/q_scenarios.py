@@ -1,0 +1,174 @@
+"""Scenario discovery, stable ids, online assignment, recompute."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from agentlog.operators import keyed, scenarios
+from agentlog.plans.q_vectors import CENT, _centroids, _labelled
+from agentlog.plans.registry import query
+
+V = ("fx_vectors",)
+
+
+@query(
+    "M7_discover_scenarios",
+    "SELECT proto, count(*) AS n, 1::BIGINT AS scenarios, 0::BIGINT AS outliers FROM fx_vectors GROUP BY proto",
+    V,
+)
+def _(fx):
+    """Every true group must come out as exactly one scenario."""
+    found = scenarios.discover_scenarios(fx.vectors)
+    return found.rows.groupBy("proto").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("scenario_id").alias("scenarios"),
+        F.count_if("is_outlier").alias("outliers"),
+    )
+
+
+@query(
+    "M8_cap_clusters",
+    """, sz AS (SELECT task_type, proto, count(*) AS n, row_number() OVER (PARTITION BY task_type ORDER BY count(*) DESC, proto) AS rk FROM fx_vectors GROUP BY task_type, proto),
+ kp AS (SELECT task_type, proto, row_number() OVER (PARTITION BY task_type ORDER BY proto) - 1 AS nl FROM sz WHERE rk <= 2)"""
+    + CENT
+    + """, s AS (SELECT v.request_id, kp.nl, v.task_type FROM fx_vectors v JOIN kp USING (task_type, proto)
+ UNION ALL SELECT v.request_id, kp.nl, v.task_type FROM fx_vectors v JOIN kp USING (task_type) JOIN cent c ON c.proto = kp.proto WHERE NOT EXISTS (SELECT 1 FROM kp k2 WHERE k2.proto = v.proto)
+ QUALIFY row_number() OVER (PARTITION BY v.request_id ORDER BY list_cosine_similarity(v.embedding, c.centroid) DESC, kp.nl) = 1)
+SELECT request_id, nl AS label, task_type || ':cluster_' || nl AS scenario_id, false AS is_outlier FROM s""",
+    V,
+)
+def _(fx):
+    rows = fx.vectors.withColumn("label", F.col("proto"))
+    capped = scenarios.cap_clusters(rows, 2)
+    return capped.select("request_id", "label", "scenario_id", "is_outlier")
+
+
+def _old_centroids(fx):
+    """Earlier scenarios: same directions under shifted numbers, one of them unknown."""
+    c = _centroids(fx)
+    n = scenarios.cluster_number(F.col("scenario_id"))
+    kept = c.where(n != 5)
+    return kept.withColumn("scenario_id", scenarios.scenario_id(F.col("task_type"), (n + 3) % 12))
+
+
+MAPPING = """, mp AS (SELECT DISTINCT task_type, task_type || ':cluster_' || proto AS new_id, CASE WHEN proto = 5 THEN 'T2:cluster_0' ELSE task_type || ':cluster_' || ((proto + 3) % 12) END AS stable_id FROM fx_vectors)
+"""
+
+
+@query("M10_stabilize_ids", MAPPING + "SELECT * FROM mp", V)
+def _(fx):
+    return scenarios.stabilize_ids(_centroids(fx), _old_centroids(fx))
+
+
+@query(
+    "M11_apply_mapping",
+    MAPPING + "SELECT v.request_id, mp.stable_id AS scenario_id FROM fx_vectors v JOIN mp ON mp.new_id = v.task_type || ':cluster_' || v.proto",
+    V,
+)
+def _(fx):
+    mapping = scenarios.stabilize_ids(_centroids(fx), _old_centroids(fx))
+    return scenarios.apply_mapping(_labelled(fx).select("request_id", "scenario_id"), mapping)
+
+
+@query(
+    "W7_free_indices",
+    """, un AS (SELECT task_type, query_text AS new_id, count(*) AS n FROM fx_assignments WHERE task_type <> 'unknown' GROUP BY ALL),
+ us AS (SELECT DISTINCT task_type, CAST(regexp_extract(scenario_id, '([0-9]+)$', 1) AS BIGINT) AS n FROM fx_assignments WHERE scenario_id IS NOT NULL),
+ fr AS (SELECT t.task_type, g.n, row_number() OVER (PARTITION BY t.task_type ORDER BY g.n) AS pos FROM (SELECT DISTINCT task_type FROM un) t, (SELECT unnest(range(0, 2000)) AS n) g WHERE (t.task_type, g.n) NOT IN (SELECT (task_type, n) FROM us)),
+ up AS (SELECT task_type, new_id, row_number() OVER (PARTITION BY task_type ORDER BY n, new_id) AS pos FROM un)
+SELECT up.task_type, up.new_id, fr.n AS free_n FROM up JOIN fr USING (task_type, pos)""",
+    ("fx_assignments",),
+)
+def _(fx):
+    a = fx.assignments
+    wanted = a.where("task_type <> 'unknown'").groupBy("task_type", F.col("query_text").alias("new_id")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    used = a.where("scenario_id IS NOT NULL").select("task_type", scenarios.cluster_number(F.col("scenario_id")).alias("n")).distinct()
+    return scenarios.free_indices(wanted, used)
+
+
+@query(
+    "M15_technical_summary",
+    """SELECT scenario_id, task_type, 'Сценарий ' || task_type || ' ' || regexp_extract(scenario_id, '([0-9]+)$', 1) AS name, 'Summary unavailable' AS summary, 'low' AS automation_potential FROM fx_clusters""",
+    ("fx_clusters",),
+)
+def _(fx):
+    out = scenarios.technical_summary(fx.clusters)
+    return out.select("scenario_id", "task_type", "name", "summary", "automation_potential")
+
+
+@query(
+    "T4_initial_centroids",
+    CENT + "SELECT task_type || ':cluster_' || proto AS scenario_id, task_type, len(centroid) AS dim, n AS count FROM cent",
+    V,
+)
+def _(fx):
+    state = scenarios.initial_centroids(_centroids(fx))
+    return state.select("scenario_id", "task_type", F.size("centroid").cast("bigint").alias("dim"), "count")
+
+
+@query(
+    "M16_assign_online",
+    """SELECT request_id, task_type || ':cluster_' || (proto // 3) AS scenario_id, vec_id < 12 AS is_new_cluster FROM fx_vectors""",
+    V,
+)
+def _(fx):
+    """From an empty state: the first row of every group opens its scenario, in time order."""
+    empty = scenarios.initial_centroids(_centroids(fx)).limit(0)
+    return scenarios.assign_online(fx.vectors, empty).rows.select("request_id", "scenario_id", "is_new_cluster")
+
+
+@query(
+    "M16_assign_online_known",
+    """, k AS (SELECT request_id, task_type, proto, vec_id, proto NOT IN (4, 7) AS known FROM fx_vectors)
+SELECT request_id, CASE WHEN known THEN task_type || ':cluster_' || proto ELSE task_type || ':cluster_' || CASE proto WHEN 4 THEN 11 ELSE 12 END END AS scenario_id, NOT known AND vec_id < 12 AS is_new_cluster FROM k""",
+    V,
+)
+def _(fx):
+    """Two of the twelve scenarios are not known yet and get the next free numbers."""
+    n = scenarios.cluster_number(F.col("scenario_id"))
+    state = scenarios.initial_centroids(_centroids(fx).where(~n.isin(4, 7)))
+    return scenarios.assign_online(fx.vectors, state).rows.select("request_id", "scenario_id", "is_new_cluster")
+
+
+def _recompute(fx):
+    a = fx.vectors.select("request_id", "task_type", "timestamp", "query_text", "proto")
+    old = _old_centroids(fx)
+    return scenarios.recompute(a, fx.vectors, old, datetime(2024, 3, 1), "job")
+
+
+@query(
+    "M14_recompute",
+    MAPPING + "SELECT v.request_id, mp.stable_id AS scenario_id, false AS is_outlier FROM fx_vectors v JOIN mp ON mp.new_id = v.task_type || ':cluster_' || v.proto",
+    V,
+)
+def _(fx):
+    """Discovered groups get the ids their earlier scenarios had."""
+    return _recompute(fx).rows.select("request_id", "scenario_id", "is_outlier")
+
+
+@query(
+    "M14_recompute_run",
+    "SELECT 'completed' AS status, 12::BIGINT AS clusters_created, 12::BIGINT AS scenarios_named, count(*) AS logs_at_completion, false AS fallback_used, 'T0,T1,T2' AS task_types FROM fx_vectors",
+    V,
+)
+def _(fx):
+    run = _recompute(fx).run
+    return run.select(
+        "status", "clusters_created", "scenarios_named", "logs_at_completion", "fallback_used",
+        F.array_join("task_types", ",").alias("task_types"),
+    )
+
+
+@query(
+    "M14_recompute_clusters",
+    "SELECT CASE WHEN proto = 5 THEN 'T2:cluster_0' ELSE task_type || ':cluster_' || ((proto + 3) % 12) END AS scenario_id, count(*) AS records_count, 'high' AS statistical_reliability FROM fx_vectors GROUP BY ALL",
+    V,
+)
+def _(fx):
+    table = _recompute(fx).clusters
+    old = _old_centroids(fx).withColumn("statistical_reliability", F.lit("low"))
+    return keyed.replace_clusters(old, table).select("scenario_id", "records_count", "statistical_reliability")

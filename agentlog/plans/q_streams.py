@@ -1,0 +1,132 @@
+"""Streaming operators, run to completion over files written from the given tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
+
+from agentlog import schemas
+from agentlog.plans.q_normalize import EXT, RAW_STATUS, TEXT
+from agentlog.plans.registry import query
+from agentlog.session import shared_folder
+from agentlog.sources.raw import read_live
+from agentlog.sources.tables import Tables
+from agentlog.streaming import live
+
+
+def _folder(fx, name: str) -> str:
+    return f"{shared_folder(fx.spark)}/{name}-{uuid.uuid4()}"
+
+
+def _files(fx, df: DataFrame, name: str, fmt: str = "parquet") -> str:
+    """The rows as several files, the unit a file stream reads."""
+    path = _folder(fx, name)
+    df.repartition(4).write.format(fmt).save(path)
+    return path
+
+
+def _stream(fx, df: DataFrame, name: str) -> DataFrame:
+    path = _files(fx, df, name)
+    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query("S16_read_live", f"SELECT row_idx::VARCHAR AS agent_id, {TEXT} <> '' AS filled FROM fx_raw", ("fx_raw",))
+def _(fx):
+    """Raw records as JSONL through the live reader; the row number travels in a field."""
+    raw = fx.raw.withColumn("agent_id", F.col("row_idx").cast("string")).drop("row_idx")
+    path = _files(fx, raw, "live", "json")
+    tables = Tables(fx.spark, _folder(fx, "tables"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        tables.write_batch("raw", batch, batch_id)
+
+    live.run_available(read_live(fx.spark, path), sink, _folder(fx, "ckpt"))
+    from agentlog.operators.normalize import with_query_text
+
+    stored = with_query_text(tables.read("raw", schemas.RAW))
+    return stored.select("agent_id", (F.col("text") != "").alias("filled"))
+
+
+@query(
+    "T1_normalize_stream",
+    f"SELECT CASE WHEN coalesce(request_id, '') = '' THEN 'made' ELSE {EXT} END AS request_id, {TEXT} AS query_text, coalesce({RAW_STATUS}, 'success') AS status FROM fx_raw WHERE {TEXT} <> ''",
+    ("fx_raw",),
+)
+def _(fx):
+    path = _files(fx, fx.raw.drop("row_idx"), "live", "json")
+    tables = Tables(fx.spark, _folder(fx, "tables"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        tables.write_batch("records", batch.withColumn("source_id", F.lit("live")), batch_id)
+
+    live.run_available(live.normalize_stream(read_live(fx.spark, path)), sink, _folder(fx, "ckpt"))
+    rid = F.when(F.col("request_id").startswith("live_"), F.lit("made")).otherwise(F.col("request_id"))
+    return tables.records().select(rid.alias("request_id"), "query_text", "status")
+
+
+@query("T2_store_once", "SELECT request_id, status FROM fx_records", ("fx_records",))
+def _(fx):
+    """Every record arrives twice, in different files, and is stored once."""
+    rows = fx.records.select(*schemas.RECORDS.fieldNames())
+    tables = Tables(fx.spark, _folder(fx, "tables"))
+    live.run_available(
+        _stream(fx, rows.unionByName(rows), "records"), live.append_records(tables), _folder(fx, "ckpt")
+    )
+    return tables.records().select("request_id", "status")
+
+
+def _assigned(fx) -> Tables:
+    """The vectors as a stream, half of them delivered twice, through the assignment sink."""
+    rows = fx.vectors.withColumn("source_id", F.concat(F.lit("src_"), F.col("proto") % 2))
+    repeated = rows.unionByName(rows.where("vec_id % 2 = 0"))
+    tables = Tables(fx.spark, _folder(fx, "tables"))
+    sink = live.AssignmentSink(tables, lambda df: df.withColumn("confidence", F.lit(0.9)))
+    live.run_available(_stream(fx, repeated, "vectors"), sink, _folder(fx, "ckpt"))
+    return tables
+
+
+V = ("fx_vectors",)
+
+
+@query("T3_assign_stream", "SELECT proto, count(*) AS n, 1::BIGINT AS scenarios FROM fx_vectors GROUP BY proto", V)
+def _(fx):
+    """Over several batches every true group ends in exactly one scenario."""
+    stored = _assigned(fx).assignments()
+    true = fx.vectors.select("request_id", "proto")
+    return stored.join(true, "request_id").groupBy("proto").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("scenario_id").alias("scenarios")
+    )
+
+
+@query(
+    "T5_assignment_counters",
+    "SELECT 'src_' || (proto % 2) AS source_id, count(*) AS accepted, count(*) AS classified, count(*) AS assigned, 0::BIGINT AS rejected, count_if(vec_id % 2 = 0) AS duplicates FROM fx_vectors GROUP BY 1",
+    V,
+)
+def _(fx):
+    return live.counters(_assigned(fx))
+
+
+@query(
+    "T6_dynamics_stream",
+    "SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS count FROM fx_records GROUP BY 1",
+    ("fx_records",),
+)
+def _(fx):
+    stream = live.dynamics_stream(_stream(fx, fx.records.select("timestamp"), "days"))
+    tables = Tables(fx.spark, _folder(fx, "tables"))
+    live.run_totals(stream, tables, "dynamics", _folder(fx, "ckpt"))
+    return tables.snapshot("dynamics", stream.schema)
+
+
+@query(
+    "T7_source_totals_stream",
+    "SELECT source_id, count(*) AS records, count_if(status = 'success') AS succeeded FROM fx_records GROUP BY 1",
+    ("fx_records",),
+)
+def _(fx):
+    stream = live.source_totals_stream(_stream(fx, fx.records.select("source_id", "status"), "totals"))
+    tables = Tables(fx.spark, _folder(fx, "tables"))
+    live.run_totals(stream, tables, "source_totals", _folder(fx, "ckpt"))
+    return tables.snapshot("source_totals", stream.schema)

@@ -162,7 +162,7 @@ def _(fx):
 @query(
     "M4_ema_centroids",
     CLASS + f""", c2 AS (SELECT {_CASE} AS label, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM fx_vectors WHERE vec_id % 2 = 0), n2 AS (SELECT label, i, avg(x) AS x FROM c2 GROUP BY ALL)
-SELECT label AS task_type, i, {r('0.9::DOUBLE * cm.x + 0.1::DOUBLE * n2.x', 6)} AS x FROM cm JOIN n2 USING (label, i)""",
+SELECT label AS task_type, i, {r('coalesce(0.9::DOUBLE * cm.x + 0.1::DOUBLE * n2.x, cm.x)', 6)} AS x FROM cm LEFT JOIN n2 USING (label, i)""",
     V,
 )
 def _(fx):

@@ -46,9 +46,19 @@ class Tables:
     def counters(self) -> DataFrame:
         return self.read("ingest_counters", schemas.COUNTERS)
 
-    def read(self, name: str, schema: T.StructType) -> DataFrame:
-        """Current version plus later batches, all rows; an absent table is empty."""
-        paths = self._current(name)
+    def read(self, name: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+        """Current version plus later batches, all rows; an absent table is empty.
+
+        `before` leaves out batches from that id on, which is what a repeated batch has to
+        see to give the same result again.
+        """
+        return self._scan(self._current(name, before), schema)
+
+    def snapshot(self, name: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+        """Only the newest batch, for tables whose every batch is the whole state."""
+        return self._scan(self._current(name, before)[-1:], schema)
+
+    def _scan(self, paths: list[str], schema: T.StructType) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
@@ -59,9 +69,15 @@ class Tables:
 
     def replace(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> str:
         """Write a new version; the old one stays readable for running queries."""
+        return self._replace(name, df, partition_by, self._next_batch(name))
+
+    def _next_batch(self, name: str) -> int:
+        seen = [b for b, _ in self._batches(name)] + [b - 1 for _, b, _ in self._versions(name)]
+        return max(seen, default=-1) + 1
+
+    def _replace(self, name: str, df: DataFrame, partition_by: Sequence[str], batch: int) -> str:
         number = max([v for v, _, _ in self._versions(name)], default=0) + 1
-        batch = max([b for b, _ in self._batches(name)], default=-1)
-        path = f"{self.root}/{name}/v{number:06d}_b{batch + 1:012d}"
+        path = f"{self.root}/{name}/v{number:06d}_b{batch:012d}"
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
@@ -76,8 +92,10 @@ class Tables:
 
     def compact(self, name: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str],
                 partition_by: Sequence[str] = ()) -> str:
-        """Fold the batches into a new version."""
-        return self.replace(name, self.latest(name, schema, keys, order), partition_by)
+        """Fold the batches written so far into a new version; later ones stay on top."""
+        batch = self._next_batch(name)
+        rows = last_per(self.read(name, schema, before=batch), keys, order)
+        return self._replace(name, rows, partition_by, batch)
 
     # --- folders ------------------------------------------------------------------
 
@@ -100,8 +118,10 @@ class Tables:
         paths = self._committed(f"{self.root}/{name}/batches/*/_SUCCESS")
         return sorted((int(p.rsplit("/", 1)[-1]), p) for p in paths)
 
-    def _current(self, name: str) -> list[str]:
+    def _current(self, name: str, before: int | None = None) -> list[str]:
         versions = self._versions(name)
         # The number after `b` is the first batch id the version does not contain.
         after, paths = (versions[-1][1], [versions[-1][2]]) if versions else (0, [])
-        return paths + [p for b, p in self._batches(name) if b >= after]
+        return paths + [
+            p for b, p in self._batches(name) if b >= after and (before is None or b < before)
+        ]
