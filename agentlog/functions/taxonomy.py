@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from agentlog.functions.text import strip
+from agentlog.functions.text import strip, words
 
 # --- fixed values ----------------------------------------------------------------
 TASK_LABELS = {
@@ -70,7 +70,7 @@ def normalize_label(raw: Column) -> Column:
     key = F.translate(F.lower(bare), " -", "__")
     by_label = literal_map({v.lower(): k for k, v in TASK_LABELS.items() if k != UNKNOWN})
     # Only spaces and dashes were joined, so other whitespace still splits tokens.
-    token = F.regexp_extract(key, r"(?U)^\s*(\S+)", 1)
+    token = F.get(words(key), F.lit(0))
     return F.when(
         raw != "",
         F.coalesce(

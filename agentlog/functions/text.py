@@ -9,14 +9,23 @@ from pyspark.sql import Column, functions as F
 from agentlog.config import LongTextConfig
 
 
+# --- fixed values: the characters Python counts as white space ---------------------
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# ---------------------------------------------------------------------------------
+_RUN = f"[{WHITE_SPACE}]+"
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of Unicode white space (Spark's `trim` knows only blanks)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def squash(c: Column) -> Column:
     """Any run of white space becomes one blank, ends trimmed."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.regexp_replace(strip(c), _RUN, " ")
 
 
 def first_filled(*cols: Column) -> Column:
@@ -24,12 +33,15 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(c: Column) -> Column:
     """White-space separated words; an empty array for blank or null text."""
-    clean = squash(c)
-    return F.when(clean != "", F.split(clean, " ")).otherwise(
-        F.array().cast("array<string>")
-    )
+    none = F.array().cast("array<string>")
+    return let(strip(c), lambda t: F.when(t != "", F.split(t, _RUN)).otherwise(none))
 
 
 def token_estimate(c: Column) -> Column:
@@ -37,11 +49,6 @@ def token_estimate(c: Column) -> Column:
     return F.size(words(c)).cast("bigint")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with the value computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _windows(w: Column, size: int, overlap: int) -> Column:
     overlap = max(0, min(overlap, size - 1))
     step = max(1, size - overlap)

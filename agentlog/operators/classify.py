@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import PCA, PCAModel
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from agentlog.functions.numeric import parse_double
 from agentlog.functions.taxonomy import CORE_TYPES, OTHER, UNKNOWN, literal_map, normalize_label
-from agentlog.functions.text import strip
+from agentlog.functions.text import let, strip
 from agentlog.functions.vectors import mean_vector
 from agentlog.operators.embedding import nearest
 from agentlog.operators.ranking import rank_within
@@ -33,14 +35,18 @@ MAX_CLASSES = 1000
 
 def classify_keywords(text: Column) -> Column:
     """Struct(task_type, confidence) by the first keyword group found (M6)."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    rule = None
-    for found, name, score in KEYWORD_RULES:
-        hit = low.rlike("|".join(found))
-        value = F.struct(F.lit(name).alias("task_type"), F.lit(score).alias("confidence"))
-        rule = F.when(hit, value) if rule is None else rule.when(hit, value)
-    name, score = KEYWORD_DEFAULT
-    return rule.otherwise(F.struct(F.lit(name).alias("task_type"), F.lit(score).alias("confidence")))
+
+    def answer(name: str, score: float) -> Column:
+        return F.struct(F.lit(name).alias("task_type"), F.lit(score).alias("confidence"))
+
+    def rules(low: Column) -> Column:
+        rule = answer(*KEYWORD_DEFAULT)
+        for found, name, score in reversed(KEYWORD_RULES):
+            hit = reduce(or_, [low.contains(word) for word in found])
+            rule = F.when(hit, answer(name, score)).otherwise(rule)
+        return rule
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), rules)
 
 
 def apply_threshold(df: DataFrame, threshold: float = 0.30) -> DataFrame:

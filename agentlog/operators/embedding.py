@@ -145,7 +145,7 @@ def _nearest_blocks(
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"key": [], "ref": [], "neg": []})
+            return pd.DataFrame()
         found = []
         groups = _group_matrices(right, dim)
         for at, group, sims in _similarities(left["vec"], left["grp"], groups, dim):

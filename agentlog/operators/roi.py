@@ -133,22 +133,55 @@ def _net(minutes: Column, tokens: Column, cfg: RoiConfig) -> Column:
     return round_to(benefit(minutes, cfg.hourly_rate) - cost(tokens, cfg.price_per_1k), 2)
 
 
+_DIMENSIONS = ("task_type", "scenario_id", "scenario_name", "user_id", "user_name", "department", "style")
+_SUMS = ("n", "ok", "minutes", "tokens", "wasted", "automated", "estimated", "chars")
+
+
+def _measures(df: DataFrame, *names: str) -> list[Column]:
+    """Aggregates of the named sums, over rows or over a roll-up of rows."""
+    if "n" in df.columns:
+        return [F.sum(m).alias(m) for m in names]
+    of = {
+        "n": F.count(F.lit(1)),
+        "ok": F.count_if("success"),
+        "minutes": F.sum("saved_minutes"),
+        "tokens": F.sum("tokens"),
+        "wasted": F.sum("wasted_tokens"),
+        "automated": F.count_if(F.col("success") & (F.size("tools_used") > 0)),
+        "estimated": F.count_if("estimated"),
+        "chars": F.sum("query_chars"),
+    }
+    return [of[m].alias(m) for m in names]
+
+
+def _first_seen(df: DataFrame) -> Column:
+    return F.min("first_seen" if "first_seen" in df.columns else "timestamp").alias("first_seen")
+
+
+def roi_rollup(rows: DataFrame, *dimensions: str) -> DataFrame:
+    """All sums per combination of the report's dimensions.
+
+    Every function below takes either the rows or this roll-up, so one scan can serve a
+    whole report. Its buffers are numbers only, which keeps it a hash aggregate.
+    """
+    if "n" in rows.columns:
+        return rows
+    return rows.groupBy(*(dimensions or _DIMENSIONS)).agg(*_measures(rows, *_SUMS), _first_seen(rows))
+
+
 def roi_totals(rows: DataFrame) -> DataFrame:
-    """The integer and decimal sums all summary figures derive from; one row."""
+    """The integer and decimal sums all summary figures derive from; one row.
+
+    Distinct users and scenarios are counted on a roll-up, not on expanded rows.
+    """
+    roll = roi_rollup(rows, "user_id", "scenario_id", "style")
     zero = F.lit(0)
-    return rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("success").alias("ok"),
-        F.coalesce(F.sum("saved_minutes"), zero).cast("decimal(38,6)").alias("minutes"),
-        F.coalesce(F.sum("tokens"), zero).alias("tokens"),
-        F.coalesce(F.sum("wasted_tokens"), zero).alias("wasted"),
-        F.count_if(F.col("success") & (F.size("tools_used") > 0)).alias("automated"),
-        F.count_if("estimated").alias("estimated"),
-        F.coalesce(F.sum("query_chars"), zero).alias("chars"),
+    return roll.agg(
+        *[F.coalesce(F.sum(m), zero).alias(m) for m in _SUMS],
         F.count_distinct("user_id").alias("users"),
         F.count_distinct("scenario_id").alias("scenarios"),
-        F.count_if(F.col("style") == "voice").alias("voice"),
-        F.count_if(F.col("style") == "typo").alias("typo"),
+        F.coalesce(F.sum(F.when(F.col("style") == "voice", F.col("n"))), zero).alias("voice"),
+        F.coalesce(F.sum(F.when(F.col("style") == "typo", F.col("n"))), zero).alias("typo"),
     )
 
 
@@ -253,13 +286,8 @@ def analysis_cost(rows: DataFrame, cfg: RoiConfig = RoiConfig()) -> DataFrame:
 # --- cuts -------------------------------------------------------------------------
 
 
-def _cut(rows: DataFrame, *keys: str | Column) -> DataFrame:
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.count_if("success").alias("ok"),
-        F.sum("saved_minutes").alias("minutes"),
-        F.sum("tokens").alias("tokens"),
-    )
+def _cut(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*_measures(rows, "n", "ok", "minutes", "tokens")).withColumnRenamed("n", "count")
 
 
 def roi_by_category(rows: DataFrame, cfg: RoiConfig = RoiConfig()) -> DataFrame:
@@ -294,11 +322,14 @@ def roi_category_metrics(tool_rows: DataFrame) -> DataFrame:
 def roi_by_scenario(rows: DataFrame, cfg: RoiConfig = RoiConfig()) -> DataFrame:
     """Hours and money per scenario; the name is the one seen first."""
     named = rows.where(F.col("scenario_id").isNotNull())
-    first = F.min(F.struct("timestamp", "request_id", F.col("scenario_name").alias("name")))["name"]
-    sums = named.groupBy("scenario_id").agg(
+    parts = named.groupBy("scenario_id", "scenario_name").agg(
+        *_measures(named, "n", "minutes", "tokens"), _first_seen(named)
+    )
+    first = F.min(F.struct("first_seen", "scenario_name"))["scenario_name"]
+    sums = parts.groupBy("scenario_id").agg(
         first.alias("name"),
-        F.count(F.lit(1)).alias("count"),
-        F.sum("saved_minutes").alias("minutes"),
+        F.sum("n").alias("count"),
+        F.sum("minutes").alias("minutes"),
         F.sum("tokens").alias("tokens"),
     )
     return sums.select(
@@ -311,15 +342,18 @@ def roi_by_scenario(rows: DataFrame, cfg: RoiConfig = RoiConfig()) -> DataFrame:
 
 
 def roi_user_stats(rows: DataFrame, cfg: RoiConfig = RoiConfig()) -> DataFrame:
-    """Consumption per user; name and department of the first record."""
-    first = F.min(F.struct("timestamp", "request_id", "user_name", "department"))
+    """Consumption per user; name and department as first seen."""
+    parts = rows.groupBy("user_id", "user_name", "department").agg(
+        *_measures(rows, "n", "tokens", "wasted"), _first_seen(rows)
+    )
+    first = F.min(F.struct("first_seen", "user_name", "department"))
     return (
-        rows.groupBy("user_id")
+        parts.groupBy("user_id")
         .agg(
             first.alias("f"),
-            F.count(F.lit(1)).alias("requests_count"),
+            F.sum("n").alias("requests_count"),
             F.sum("tokens").alias("tokens_consumed"),
-            F.sum("wasted_tokens").alias("wasted_tokens"),
+            F.sum("wasted").alias("wasted_tokens"),
         )
         .select(
             "user_id",
@@ -340,7 +374,7 @@ def top_spenders(user_stats: DataFrame, n: int = 3) -> DataFrame:
 
 def department_costs(rows: DataFrame, cfg: RoiConfig = RoiConfig()) -> DataFrame:
     """Token cost per department, dearest first."""
-    sums = rows.groupBy("department").agg(F.sum("tokens").alias("tokens"))
+    sums = rows.groupBy("department").agg(*_measures(rows, "tokens"))
     return sums.select(
         "department", round_to(cost(F.col("tokens"), cfg.price_per_1k), 2).alias("cost")
     ).orderBy(F.desc("cost"), "department")
@@ -350,7 +384,8 @@ def style_breakdown(rows: DataFrame) -> DataFrame:
     """Records per style with their share."""
     from agentlog.operators.joins import share
 
-    return share(rows.groupBy("style").agg(F.count(F.lit(1)).alias("count")), "count")
+    counts = rows.groupBy("style").agg(*_measures(rows, "n")).withColumnRenamed("n", "count")
+    return share(counts, "count")
 
 
 def style_insight(summary: DataFrame, cfg: RoiConfig = RoiConfig()) -> DataFrame:

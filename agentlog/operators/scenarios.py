@@ -123,7 +123,7 @@ def _link(cfg: ScenarioConfig):
                 break
             label = new
         out = pdf.assign(label=label, center=list(centers))[core]
-        return plain(out[["task_type", "label", "center"]])
+        return plain(out[["task_type", "label", "center"]]) if len(out) else pd.DataFrame()
 
     return link
 

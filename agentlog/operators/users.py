@@ -53,57 +53,61 @@ def _with_uid(joined: DataFrame) -> DataFrame:
 
 
 def user_profiles(joined: DataFrame, roi: RoiConfig = RoiConfig()) -> DataFrame:
-    """Facts per user the other figures derive from.
+    """Facts per user the other figures derive from (P1), with the main class.
 
-    Everything is an aggregate with map-side combine, so a user who holds a large part
-    of the log is spread over all tasks.
+    Three aggregates, each on the small result of the one before. The first, over all
+    rows, has number buffers only, so it is a hash aggregate with map-side combine, and a
+    user who holds a large part of the log is spread over all tasks.
     """
     rows = _with_uid(joined)
     minutes = saved_minutes(
         F.col("status"), F.col("manual_time_minutes"), F.col("category"), F.col("tokens"), roi
     )
-    first = F.min(F.struct("timestamp", "request_id", "user_name", "department"))
-    category = F.col("category")
-    per_day = rows.groupBy("uid", F.to_date("timestamp").alias("day"), "category").agg(
-        first.alias("f"),
+    sums = ("n", "failures", "outliers", "minutes")
+    per_day = rows.groupBy("uid", "category", F.to_date("timestamp").alias("day"), "user_name", "department").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(_failing(USER_FAILURE_STATUSES)).alias("failures"),
         F.count_if(F.coalesce("is_outlier", F.lit(False))).alias("outliers"),
         F.sum(minutes).alias("minutes"),
+        F.min("timestamp").alias("first_seen"),
+    )
+    per_class = per_day.groupBy("uid", "category").agg(
+        *[F.sum(c).alias(c) for c in sums],
+        F.min(F.struct("first_seen", "user_name", "department")).alias("f"),
+        F.collect_set("day").alias("days"),
+        F.max("day").alias("last_day"),
     )
-    zero = F.lit(0)
+    category = F.col("category")
 
     def of(*names: str) -> Column:
-        return F.coalesce(F.sum(F.when(category.isin(*names), F.col("n"))), zero)
-
-    return (
-        per_day.groupBy("uid")
-        .agg(
-            F.min("f").alias("f"),
-            F.sum("n").alias("total_queries"),
-            F.size(F.collect_set("day")).cast("bigint").alias("active_days"),
-            F.max("day").alias("last_day"),
-            F.size(F.collect_set("category")).cast("bigint").alias("categories"),
-            of("code_help").alias("code_queries"),
-            of("data_analysis", "information_search").alias("data_queries"),
-            F.sum("failures").alias("failures"),
-            F.sum("outliers").alias("outliers"),
-            F.sum("minutes").alias("saved_minutes"),
-        )
-        .select(
-            F.col("uid").alias("user_id"),
-            F.coalesce(F.nullif(F.col("f.user_name"), F.lit("")), F.col("uid")).alias("user_name"),
-            filled(F.col("f.department"), DEFAULT_DEPARTMENT).alias("department"),
-            "total_queries",
-            "active_days",
-            "last_day",
-            "categories",
-            "code_queries",
-            "data_queries",
-            "failures",
-            "outliers",
-            "saved_minutes",
-        )
+        return F.coalesce(F.sum(F.when(category.isin(*names), F.col("n"))), F.lit(0))
+
+    top = F.min(F.struct((-F.col("n")).alias("n"), "category"))["category"]
+    days = F.array_distinct(F.flatten(F.collect_list("days")))
+    per_user = per_class.groupBy("uid").agg(
+        *[F.sum(c).alias(c) for c in sums],
+        F.min("f").alias("f"),
+        F.size(days).cast("bigint").alias("active_days"),
+        F.max("last_day").alias("last_day"),
+        F.count(F.lit(1)).alias("categories"),
+        of("code_help").alias("code_queries"),
+        of("data_analysis", "information_search").alias("data_queries"),
+        top.alias("top_task_type"),
+    )
+    return per_user.select(
+        F.col("uid").alias("user_id"),
+        F.coalesce(F.nullif(F.col("f.user_name"), F.lit("")), F.col("uid")).alias("user_name"),
+        filled(F.col("f.department"), DEFAULT_DEPARTMENT).alias("department"),
+        F.col("n").alias("total_queries"),
+        "active_days",
+        "last_day",
+        "categories",
+        "code_queries",
+        "data_queries",
+        "failures",
+        "outliers",
+        F.col("minutes").alias("saved_minutes"),
+        "top_task_type",
     )
 
 
@@ -182,7 +186,7 @@ def users_table(
 ) -> DataFrame:
     """One finished row per user."""
     profiles = with_frustration(with_persona(user_profiles(joined, roi), cfg), cfg)
-    full = profiles.join(user_top_category(joined), "user_id", "left").withColumn(
+    full = profiles.withColumn("top_category", label(F.col("top_task_type"))).withColumn(
         "saved_hours", round_to(hours(F.col("saved_minutes")), 1)
     )
     return with_guidance(full, cfg)

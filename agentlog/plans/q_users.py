@@ -45,7 +45,7 @@ def _(fx):
     p = users.user_profiles(fx.joined)
     return p.withColumn("last_day", F.date_format("last_day", "yyyy-MM-dd")).withColumn(
         "saved_minutes", F.col("saved_minutes").cast("double")
-    )
+    ).drop("top_task_type")
 
 
 @query("P2_cohort_median", PROFILES + "SELECT median_queries FROM med", J)
