@@ -52,8 +52,11 @@ def mean_pool(df: DataFrame, group: list[str], vec: str = "embedding") -> DataFr
 
 def stack(column: pd.Series, dim: int) -> np.ndarray:
     """Batch column to a matrix; rows of a foreign length become zero vectors."""
-    out = np.zeros((len(column), dim), dtype=np.float64)
-    for i, v in enumerate(column):
+    values = column.to_numpy()
+    if len(values) and all(v is not None and len(v) == dim for v in values):
+        return np.stack(values).astype(np.float64, copy=False)
+    out = np.zeros((len(values), dim), dtype=np.float64)
+    for i, v in enumerate(values):
         if v is not None and len(v) == dim:
             out[i] = v
     return out

@@ -241,13 +241,16 @@ def vector_search(
 
     def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: list[pd.DataFrame | None] = [None] * len(ids)
+        least = np.full(len(ids), floor)  # a row below this cannot enter the k best any more
         for pdf in batches:
             sims = unit_rows(stack(pdf["embedding"], dim)) @ shared.value.T
-            for q in range(len(ids)):
-                at = np.flatnonzero(sims[:, q] >= floor)
+            for q in np.flatnonzero((sims >= least).any(axis=0)):
+                at = np.flatnonzero(sims[:, q] >= least[q])
                 found = pd.DataFrame({"request_id": pdf["request_id"].to_numpy()[at], "score": sims[at, q]})
                 both = found if best[q] is None else pd.concat([best[q], found])
                 best[q] = both.sort_values(["score", "request_id"], ascending=[False, True]).head(k)
+                if len(best[q]) == k:
+                    least[q] = best[q]["score"].iloc[-1]
         for q, rows in enumerate(best):
             if rows is not None and len(rows):
                 yield plain(rows.assign(query_id=ids[q])[["query_id", "request_id", "score"]])

@@ -28,7 +28,7 @@ from agentlog.functions.text import squash, strip
 from agentlog.functions.vectors import mean_vector, norm, plain, stack, unit_rows
 from agentlog.operators.embedding import nearest, pairs_above, vector_search
 from agentlog.operators.joins import broadcast_checked, recompute_input
-from agentlog.operators.keyed import dedup_texts, first_per
+from agentlog.operators.keyed import first_per
 from agentlog.operators.ranking import rank_within
 from agentlog.session import cut_lineage
 
@@ -139,7 +139,9 @@ class Discovery:
 def discover_scenarios(v: DataFrame, cfg: ScenarioConfig = ScenarioConfig()) -> Discovery:
     """Scenario labels per class with the fallbacks for small or shapeless classes (M7).
 
-    `v` has request_id, task_type and embedding. Adds label, scenario_id and is_outlier.
+    `v` has request_id, task_type and embedding and is a stored table or close to one: its
+    vectors are read once per step and never shuffled or written. Adds label, scenario_id
+    and is_outlier.
     """
     v = v.withColumn("task_type", filled(F.col("task_type"), UNKNOWN))
     shape = v.agg(F.max(F.size("embedding")).alias("d"), F.count_distinct("task_type").alias("t")).first()
@@ -167,9 +169,9 @@ def discover_scenarios(v: DataFrame, cfg: ScenarioConfig = ScenarioConfig()) ->
     refs = linked.withColumn("label", F.format_string("%06d", "label"))
     near = nearest(rows, refs, vec="__x", ref_id="label", ref_vec="center")
     joined = F.col("best_sim") >= cfg.link_similarity
-    found = cut_lineage(
-        near.withColumn("raw", F.when(joined, F.col("best_ref").cast("bigint")))
-        .drop("__x", "best_ref", "best_sim")
+    # Not stored: a second pass over the vectors costs less than writing all of them.
+    found = near.withColumn("raw", F.when(joined, F.col("best_ref").cast("bigint"))).drop(
+        "__x", "best_ref", "best_sim"
     )
 
     counts = found.where(F.col("raw").isNotNull()).groupBy("task_type", "raw").agg(
@@ -329,10 +331,17 @@ def apply_mapping(df: DataFrame, mapping: DataFrame) -> DataFrame:
 _ORDER = ("timestamp", "request_id")
 
 
-def _unique_texts(v: DataFrame) -> DataFrame:
+def _unique_texts(v: DataFrame, cents: DataFrame | None = None) -> DataFrame:
+    """First row of every text of a scenario, with its similarity to the own centroid.
+
+    Similarity is computed on the scan, so no vector enters the shuffle of the dedup.
+    """
     texts = v.where(F.col("scenario_id").isNotNull()).withColumn("query_text", strip(F.col("query_text")))
     texts = texts.where(F.col("query_text") != "")
-    cols = ["scenario_id", "task_type", "query_text", *_ORDER, "embedding"]
+    cols = ["scenario_id", "query_text", *_ORDER]
+    if cents is not None:
+        texts = nearest(texts, cents, on="scenario_id", ref_id="scenario_id", ref_vec="centroid")
+        cols.append("best_sim")
     return first_per(texts.select(*cols), ["scenario_id", "query_text"], _ORDER)
 
 
@@ -365,7 +374,7 @@ def representatives(
     `v` has scenario_id, task_type, query_text, embedding, timestamp, request_id.
     """
     count = max(1, count)
-    unique = _unique_texts(v)
+    unique = _unique_texts(v, cents)
     if cents is None:
         ranked = rank_within(unique, ["scenario_id"], list(_ORDER), "idx", "size")
         step = F.greatest(F.lit(1), F.floor(F.col("size") / count))
@@ -376,17 +385,15 @@ def representatives(
             "scenario_id", "query_text", "request_id", F.row_number().over(position).cast("bigint").alias("position")
         )
     near = max(1, count - max(0, boundary)) if boundary > 0 else count
-    own = nearest(unique, cents, on="scenario_id", ref_id="scenario_id", ref_vec="centroid")
-    picked = near_far(own, "scenario_id", "best_sim", near, count - near, _ORDER)
+    picked = near_far(unique, "scenario_id", "best_sim", near, count - near, _ORDER)
     return picked.select("scenario_id", "query_text", "request_id", F.col("position").cast("bigint").alias("position"))
 
 
 def representatives_search(v: DataFrame, cents: DataFrame, count: int = ScenarioConfig.examples) -> DataFrame:
     """Texts of the vectors found by searching with each centroid, own scenario only."""
     queries = cents.select(F.col("scenario_id").alias("query_id"), F.col("centroid").alias("embedding"))
-    hits = vector_search(v, queries, count).join(
-        v.select("request_id", "query_text", F.col("scenario_id").alias("own")), "request_id"
-    )
+    found = broadcast_checked(cut_lineage(vector_search(v, queries, count)))
+    hits = v.select("request_id", "query_text", F.col("scenario_id").alias("own")).join(found, "request_id")
     text = strip(filled(F.col("query_text"), ""))
     kept = hits.withColumn("query_text", text).where(
         (F.col("own").isNull() | (F.col("own") == F.col("query_id"))) & (F.col("query_text") != "")
@@ -626,11 +633,11 @@ def recompute(
     dim = dim or int(vectors.agg(F.max(F.size("embedding"))).first()[0] or 1)
     data = recompute_input(assignments, vectors, dim)
     found = discover_scenarios(data.drop("scenario_id", "is_outlier"), cfg)
-    capped = cut_lineage(cap_clusters(found.rows, cfg.max_clusters))
-    fresh = centroids(capped)
+    capped = cap_clusters(found.rows, cfg.max_clusters)
+    fresh = cut_lineage(centroids(capped))
     old = clusters.where(F.size("centroid") > 0).select("task_type", "scenario_id", "centroid")
     mapping = cut_lineage(stabilize_ids(fresh, old, cfg.match_threshold))
-    rows = apply_mapping(capped, mapping)
+    rows = apply_mapping(cut_lineage(capped.drop("embedding", "has_vector")), mapping)
     described = apply_mapping(fresh, mapping)
     stamp = F.lit(now).cast("timestamp")
     n = cluster_number(F.col("scenario_id"))

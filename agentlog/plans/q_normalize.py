@@ -264,9 +264,27 @@ def _(fx):
     return out.select("request_id", F.array_join("failure_signals", "|").alias("signals"), "has_failure_signals")
 
 
-@query("N22_seed_record")
+SEED_TEXT = strip_sql("coalesce(nullif(user_query, ''), nullif(query_text, ''), '')")
+
+
+@query(
+    "N22_seed_record",
+    f"""SELECT {EXT} AS request_id, {SEED_TEXT} AS query_text, 'seed' AS source_id,
+ strftime(coalesce({TS}, TIMESTAMP '2024-01-01' + INTERVAL (row_idx * 5) HOUR), '%Y-%m-%d %H:%M:%S') AS timestamp,
+ coalesce(nullif(category, ''), nullif(gold_category, ''), metadata::JSON->>'$.gold_category') AS gold, metadata::JSON->>'$.note' AS note,
+ simulated_context_tokens AS tokens FROM (SELECT *, {SHAPE} FROM fx_raw) WHERE {SEED_TEXT} <> ''""",
+    RAW,
+)
 def _(fx):
-    return nz.seed_record(fx.raw, "2024-01-01 00:00:00", "seed").withColumn("metadata", F.to_json("metadata"))
+    out = nz.seed_record(fx.raw, "2024-01-01 00:00:00", "seed")
+
+    def meta(key):
+        return F.try_element_at("metadata", F.lit(key))
+
+    return out.select(
+        "request_id", "query_text", "source_id", _ts(), meta("gold_category").alias("gold"), meta("note").alias("note"),
+        meta("simulated_context_tokens").alias("tokens"),
+    )
 
 
 @query(
@@ -357,7 +375,11 @@ def _(fx):
     return fx.table("documents").select("doc_id", tx.fingerprint(F.col("text")).alias("fp"))
 
 
-@query("X12_extract_json")
+@query(
+    "X12_extract_json",
+    """SELECT reply_id, CASE WHEN reply LIKE '```%' THEN regexp_extract(reply, '(\\{.*\\})', 1) WHEN reply LIKE '{%' OR reply LIKE '[%' THEN reply END AS json FROM fx_replies""",
+    ("fx_replies",),
+)
 def _(fx):
     return fx.replies.select("reply_id", tx.extract_json(F.col("reply")).alias("json"))
 
@@ -386,7 +408,10 @@ def _(fx):
     )
 
 
-@query("X15_money_text")
+@query(
+    "X15_money_text",
+    """SELECT o_orderkey, CASE WHEN abs(o_totalprice) >= 1e6 THEN printf('%.1f млн ₽', o_totalprice / 1e6) WHEN abs(o_totalprice) >= 1e3 THEN printf('%.0f тыс ₽', o_totalprice / 1e3) ELSE printf('%.0f ₽', o_totalprice) END AS text FROM orders""",
+)
 def _(fx):
     from agentlog.functions.numeric import money_text
 

@@ -169,7 +169,17 @@ def _(fx):
     return roi.style_breakdown(rows(fx))
 
 
-@query("R10_style_insight")
+_V, _T = pct("voice", "n"), pct("typo", "n")
+
+
+@query(
+    "R10_style_insight",
+    TOTALS + f""", p AS (SELECT {_V} AS v, {_T} AS ty, {r(f'{_V} + {_T}', 1)} AS x FROM t),
+ q AS (SELECT *, printf('голос %.1f%%, опечатки %.1f%%', v, ty) AS d FROM p)
+SELECT CASE WHEN x <= 0 THEN 'Неформальных запросов не зафиксировано.' WHEN x >= 20 THEN printf('%.1f%% запросов приходят в неформальном стиле (%s) — выше порога 20.0%%, поддержка Voice-to-Text оправдана.', x, d)
+ ELSE printf('Неформальный стиль — %.1f%% запросов (%s). Это ниже порога 20.0%%, отдельный Voice-to-Text интерфейс данными пока не обоснован.', x, d) END AS style_insight FROM q""",
+    V,
+)
 def _(fx):
     return roi.style_insight(roi.roi_summary(rows(fx)))
 

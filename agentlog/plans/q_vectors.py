@@ -63,11 +63,26 @@ def _(fx):
     return _long(vx.mean_pool(fx.vectors, ["proto"]), "proto", "embedding")
 
 
-@query("X10_hash_embedding")
+def _byte(i: int) -> str:
+    return f"(('0x' || h[{2 * i + 1}:{2 * i + 2}])::INT::DOUBLE / 127.5::DOUBLE - 1.0::DOUBLE)"
+
+
+@query(
+    "X10_hash_embedding",
+    f"""WITH d AS (SELECT doc_id, sha256(lower(regexp_replace(text, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g'))) AS h FROM documents)
+SELECT doc_id, 64 AS dim, 1.0::DOUBLE AS norm, sign({_byte(0)})::INT AS first_sign, abs({_byte(1)}) > abs({_byte(2)}) AS larger FROM d""",
+)
 def _(fx):
     docs = fx.table("documents").select("doc_id", "text")
     out = embedding.embed(docs, vx.hash_embedder(64), "text")
-    return out.select("doc_id", F.size("embedding").alias("dim"), round_to(vx.norm(F.col("embedding")), 4).alias("norm"))
+    at = lambda i: F.get("embedding", F.lit(i))
+    return out.select(
+        "doc_id",
+        F.size("embedding").alias("dim"),
+        round_to(vx.norm(F.col("embedding")), 4).alias("norm"),
+        F.signum(at(0)).cast("int").alias("first_sign"),
+        (F.abs(at(1)) > F.abs(at(2))).alias("larger"),
+    )
 
 
 @query(
@@ -298,8 +313,7 @@ def _(fx):
     V,
 )
 def _(fx):
-    texts = scenarios._unique_texts(_labelled(fx))
-    own = embedding.nearest(texts, _centroids(fx), on="scenario_id")
+    own = scenarios._unique_texts(_labelled(fx), _centroids(fx))
     out = scenarios.near_far(own, "scenario_id", "best_sim", 3, 1, ["timestamp", "request_id"])
     return out.select("scenario_id", "request_id", F.col("position").cast("bigint").alias("position"))
 

@@ -125,3 +125,21 @@ class Tables:
         return paths + [
             p for b, p in self._batches(name) if b >= after and (before is None or b < before)
         ]
+
+
+def save_bucketed(
+    df: DataFrame, table: str, path: str, keys: Sequence[str] = schemas.KEYS, buckets: int = 1024
+) -> None:
+    """Catalog table bucketed and sorted by key.
+
+    Two tables written with the same keys and bucket count join on those keys without a
+    shuffle: the layout for records and assignments, which every report joins.
+    """
+    (
+        df.repartition(buckets, *keys)
+        .write.mode("overwrite")
+        .option("path", path)
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .saveAsTable(table)
+    )
