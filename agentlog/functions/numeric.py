@@ -51,8 +51,9 @@ def short_decimal(c: Column) -> Column:
 def money_text(c: Column) -> Column:
     """Compact amount for headlines."""
     size = F.abs(c)
+    # Halves go to the even neighbour before printing.
     return (
-        F.when(size >= 1e6, F.format_string("%.1f млн ₽", c / 1e6))
-        .when(size >= 1e3, F.format_string("%.0f тыс ₽", c / 1e3))
-        .otherwise(F.format_string("%.0f ₽", c))
+        F.when(size >= 1e6, F.format_string("%.1f млн ₽", F.bround(c / 1e6, 1)))
+        .when(size >= 1e3, F.format_string("%.0f тыс ₽", F.bround(c / 1e3, 0)))
+        .otherwise(F.format_string("%.0f ₽", F.bround(c, 0)))
     )

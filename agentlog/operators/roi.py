@@ -25,6 +25,7 @@ from agentlog.functions.numeric import (
 )
 from agentlog.functions.records import succeeded
 from agentlog.functions.taxonomy import OTHER, UNKNOWN, filled, label, literal_map
+from agentlog.session import cut_lineage
 
 
 def _decimal(value: float) -> Column:
@@ -511,8 +512,9 @@ def summary_sheet(rows: DataFrame, cfg: RoiConfig = RoiConfig()) -> DataFrame:
 
 
 def roi_sheets(rows: DataFrame, cfg: RoiConfig = RoiConfig()) -> dict[str, DataFrame]:
-    """The four sheets of the exported report."""
+    """The four sheets of the exported report, out of one stored roll-up."""
     spark = rows.sparkSession
+    rows = cut_lineage(roi_rollup(rows))
     verdict = roi_verdict(rows, cfg)
     heads = ("headline", "pays_off", "benefit", "cost", "net", "ratio")
     lines = F.array(

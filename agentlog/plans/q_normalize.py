@@ -190,9 +190,9 @@ def _(fx):
 
 @query(
     "N16_normalization_report",
-    f"""SELECT count(*) AS records_total, count_if({TEXT} <> '') AS records_valid, count_if({TEXT} = '') AS records_rejected, count_if({TEXT} <> '') AS synthesized_request_id,
- count_if({TEXT} <> '') AS synthesized_timestamp, count_if({TEXT} <> '' AND coalesce(request_id, '') = '') AS true_synthesized_request_id,
- count_if({TEXT} <> '' AND {TS} IS NULL) AS true_synthesized_timestamp, count_if({TEXT} = '') AS empty_query_text FROM (SELECT *, {SHAPE} FROM fx_raw)""",
+    f"""SELECT count(*) AS records_total, count(CASE WHEN {TEXT} <> '' THEN 1 END) AS records_valid, count(CASE WHEN {TEXT} = '' THEN 1 END) AS records_rejected, count(CASE WHEN {TEXT} <> '' THEN 1 END) AS synthesized_request_id,
+ count(CASE WHEN {TEXT} <> '' THEN 1 END) AS synthesized_timestamp, count(CASE WHEN {TEXT} <> '' AND coalesce(request_id, '') = '' THEN 1 END) AS true_synthesized_request_id,
+ count(CASE WHEN {TEXT} <> '' AND {TS} IS NULL THEN 1 END) AS true_synthesized_timestamp, count(CASE WHEN {TEXT} = '' THEN 1 END) AS empty_query_text FROM (SELECT *, {SHAPE} FROM fx_raw)""",
     RAW,
 )
 def _(fx):
@@ -230,7 +230,7 @@ def _(fx):
 
 @query(
     "A18_intake_totals",
-    BATCH + "SELECT source_id, (SELECT count(*) FROM acc WHERE acc.source_id = gd.source_id) AS accepted, count_if(NOT good) AS rejected, count_if(good) - (SELECT count(*) FROM acc WHERE acc.source_id = gd.source_id) AS duplicates FROM gd GROUP BY source_id",
+    BATCH + "SELECT source_id, (SELECT count(*) FROM acc WHERE acc.source_id = gd.source_id) AS accepted, count(CASE WHEN NOT good THEN 1 END) AS rejected, count(CASE WHEN good THEN 1 END) - (SELECT count(*) FROM acc WHERE acc.source_id = gd.source_id) AS duplicates FROM gd GROUP BY source_id",
     IN,
 )
 def _(fx):

@@ -35,8 +35,8 @@ def _(fx):
 
 @query(
     "Q2_classification_metrics",
-    PER_CLASS + f"""SELECT count(*) AS n, count(gold) AS n_with_gold, {r("count_if(gold = predicted)::DOUBLE / count(gold)::DOUBLE", 6)} AS accuracy,
- {r("(SELECT sum(f1::DECIMAL(20,12))::DOUBLE / count(*) FROM pm WHERE support > 0)", 6)} AS macro_f1, {r("count_if(predicted = 'unknown')::DOUBLE / count(*)::DOUBLE", 6)} AS unknown_rate FROM ev""",
+    PER_CLASS + f"""SELECT count(*) AS n, count(gold) AS n_with_gold, {r("count(CASE WHEN gold = predicted THEN 1 END)::DOUBLE / count(gold)::DOUBLE", 6)} AS accuracy,
+ {r("(SELECT sum(f1::DECIMAL(20,12))::DOUBLE / count(*) FROM pm WHERE support > 0)", 6)} AS macro_f1, {r("count(CASE WHEN predicted = 'unknown' THEN 1 END)::DOUBLE / count(*)::DOUBLE", 6)} AS unknown_rate FROM ev""",
     J,
 )
 def _(fx):
@@ -56,8 +56,8 @@ def _(fx):
 @query(
     "Q4_threshold_sweep",
     EV + f""", th AS (SELECT unnest([0.3, 0.5, 0.6])::DOUBLE AS threshold), x AS (SELECT threshold, gold, CASE WHEN confidence >= threshold THEN predicted ELSE 'unknown' END AS p FROM ev, th)
-SELECT threshold, count_if(p = 'unknown') AS unknown_count, {pct("count_if(p = 'unknown')", 'count(*)')} AS unknown_percent, {r("count_if(gold = p)::DOUBLE / count(gold)::DOUBLE", 6)} AS accuracy,
- {r("count_if(gold = p)::DOUBLE / nullif(count_if(gold IS NOT NULL AND p <> 'unknown'), 0)::DOUBLE", 6)} AS accuracy_known FROM x GROUP BY threshold""",
+SELECT threshold, count(CASE WHEN p = 'unknown' THEN 1 END) AS unknown_count, {pct("count(CASE WHEN p = 'unknown' THEN 1 END)", 'count(*)')} AS unknown_percent, {r("count(CASE WHEN gold = p THEN 1 END)::DOUBLE / count(gold)::DOUBLE", 6)} AS accuracy,
+ {r("count(CASE WHEN gold = p THEN 1 END)::DOUBLE / nullif(count(CASE WHEN gold IS NOT NULL AND p <> 'unknown' THEN 1 END), 0)::DOUBLE", 6)} AS accuracy_known FROM x GROUP BY threshold""",
     J,
 )
 def _(fx):
@@ -67,7 +67,7 @@ def _(fx):
 @query(
     "Q5_confidence_report",
     EV + f"""SELECT min(confidence) AS min_confidence, {r("sum(confidence::DECIMAL(18,8))::DOUBLE / count(confidence)", 6)} AS mean_confidence, max(confidence) AS max_confidence,
- count_if(predicted = 'unknown') AS unknown_count FROM ev""",
+ count(CASE WHEN predicted = 'unknown' THEN 1 END) AS unknown_count FROM ev""",
     J,
 )
 def _(fx):

@@ -47,9 +47,9 @@ ROWS = f""", rows AS (SELECT request_id, timestamp, coalesce(nullif(task_type, '
  NOT coalesce(manual_time_minutes > 0, false) AS estimated, {saved_sql("coalesce(nullif(task_type, ''), 'unknown')")} AS saved_minutes,
  CASE WHEN {SUCCESS} THEN 0 ELSE coalesce(tokens, 0) END AS wasted_tokens FROM joined)
 """
-TOTALS = ROWS + """, t AS (SELECT count(*) AS n, count_if(success) AS ok, sum(saved_minutes)::DOUBLE AS minutes, sum(tokens)::BIGINT AS tokens,
- sum(wasted_tokens)::BIGINT AS wasted, count_if(success AND len(tools) > 0) AS automated, count_if(estimated) AS estimated, sum(query_chars)::BIGINT AS chars,
- count(DISTINCT user_id) AS users, count(DISTINCT scenario_id) AS scenarios, count_if(style = 'voice') AS voice, count_if(style = 'typo') AS typo FROM rows)
+TOTALS = ROWS + """, t AS (SELECT count(*) AS n, count(CASE WHEN success THEN 1 END) AS ok, sum(saved_minutes)::DOUBLE AS minutes, sum(tokens)::BIGINT AS tokens,
+ sum(wasted_tokens)::BIGINT AS wasted, count(CASE WHEN success AND len(tools) > 0 THEN 1 END) AS automated, count(CASE WHEN estimated THEN 1 END) AS estimated, sum(query_chars)::BIGINT AS chars,
+ count(DISTINCT user_id) AS users, count(DISTINCT scenario_id) AS scenarios, count(CASE WHEN style = 'voice' THEN 1 END) AS voice, count(CASE WHEN style = 'typo' THEN 1 END) AS typo FROM rows)
 """
 
 
@@ -114,7 +114,7 @@ def _(fx):
 
 @query(
     "R5_roi_by_category",
-    ROWS + f""", c AS (SELECT task_type, count(*) AS n, count_if(success) AS ok, sum(saved_minutes)::DOUBLE AS m, sum(tokens)::BIGINT AS tk FROM rows GROUP BY task_type)
+    ROWS + f""", c AS (SELECT task_type, count(*) AS n, count(CASE WHEN success THEN 1 END) AS ok, sum(saved_minutes)::DOUBLE AS m, sum(tokens)::BIGINT AS tk FROM rows GROUP BY task_type)
 SELECT task_type, {label_sql('task_type')} AS label, n AS count, {pct('ok', 'n')} AS success_rate_percent, {r('m / 60.0::DOUBLE', 2)} AS fte_hours_saved,
  {r(f'm / 60.0::DOUBLE * {RATE} - tk::DOUBLE / 1000.0::DOUBLE * {PRICE}', 2)} AS net_savings FROM c""",
     V,
@@ -274,7 +274,7 @@ def _(fx):
 
 @query(
     "R19_category_metrics_tools",
-    TOOL_ROWS + f""", c AS (SELECT task_type, count(*) AS count, count_if(success) AS success_count, sum(saved_minutes)::DOUBLE AS m, sum(tokens)::BIGINT AS tokens_used FROM tr GROUP BY task_type)
+    TOOL_ROWS + f""", c AS (SELECT task_type, count(*) AS count, count(CASE WHEN success THEN 1 END) AS success_count, sum(saved_minutes)::DOUBLE AS m, sum(tokens)::BIGINT AS tokens_used FROM tr GROUP BY task_type)
 SELECT task_type, count, success_count, {pct('success_count', 'count')} AS success_rate_percent, {r('m', 2)} AS saved_minutes, tokens_used, {r('m / 60.0::DOUBLE', 2)} AS fte_hours_saved FROM c""",
     V,
 )

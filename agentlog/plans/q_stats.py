@@ -124,8 +124,8 @@ def _(fx):
 
 @query(
     "A1_totals",
-    COUNTS + f"""SELECT count(*) AS records_total, (SELECT count(*) FROM known) AS scenarios_count, count_if(coalesce(task_type, 'unknown') = 'unknown') AS unknown_count,
- {pct('count_if(is_outlier)', 'count(*)', 4)} AS outliers_percentage FROM fx_assignments""",
+    COUNTS + f"""SELECT count(*) AS records_total, (SELECT count(*) FROM known) AS scenarios_count, count(CASE WHEN coalesce(task_type, 'unknown') = 'unknown' THEN 1 END) AS unknown_count,
+ {pct('count(CASE WHEN is_outlier THEN 1 END)', 'count(*)', 4)} AS outliers_percentage FROM fx_assignments""",
     AC,
 )
 def _(fx):
@@ -155,7 +155,7 @@ def _(fx):
 
 TRENDS = f""", b AS (SELECT min(timestamp) AS lo, max(timestamp) AS hi, count(timestamp) AS n FROM fx_assignments),
  m AS (SELECT CASE WHEN n >= 2 THEN make_timestamp(epoch_us(lo) + (epoch_us(hi) - epoch_us(lo)) // 2) END AS mid FROM b),
- h AS (SELECT coalesce(nullif(scenario_id, ''), 'unknown') AS scenario_id, count_if(timestamp <= mid) AS p, count_if(timestamp > mid) AS c FROM fx_assignments, m WHERE NOT is_outlier AND timestamp IS NOT NULL GROUP BY 1),
+ h AS (SELECT coalesce(nullif(scenario_id, ''), 'unknown') AS scenario_id, count(CASE WHEN timestamp <= mid THEN 1 END) AS p, count(CASE WHEN timestamp > mid THEN 1 END) AS c FROM fx_assignments, m WHERE NOT is_outlier AND timestamp IS NOT NULL GROUP BY 1),
  g AS (SELECT *, (c - p)::DOUBLE / nullif(p, 0)::DOUBLE * 100 AS growth, (p + c < 20 OR p < 5) AS unsure FROM h),
  tr AS (SELECT scenario_id, CASE WHEN p = 0 AND c > 0 THEN 'new' WHEN p = 0 OR unsure THEN 'insufficient_data' WHEN growth > 15 THEN 'up' WHEN growth < -15 THEN 'down' ELSE 'stable' END AS trend,
   CASE WHEN p > 0 AND NOT unsure THEN {r('growth', 2)} END AS growth_rate_percent FROM g)
@@ -193,7 +193,7 @@ def _(fx):
 
 @query(
     "A5_outliers",
-    f"SELECT count_if(is_outlier) AS total_outliers_count, {pct('count_if(is_outlier)', 'count(*)', 4)} AS outlier_percentage FROM fx_assignments",
+    f"SELECT count(CASE WHEN is_outlier THEN 1 END) AS total_outliers_count, {pct('count(CASE WHEN is_outlier THEN 1 END)', 'count(*)', 4)} AS outlier_percentage FROM fx_assignments",
     A,
 )
 def _(fx):
@@ -211,8 +211,8 @@ S = ("fx_signals",)
 
 @query(
     "A6_failure_summary",
-    SIGNALS + f"""SELECT 'available' AS status, count_if(len(signals) > 0) AS total_requests_with_failure_signals,
- {pct('count_if(len(signals) > 0)', 'count(*)', 2)} AS failure_signal_percentage FROM s2""",
+    SIGNALS + f"""SELECT 'available' AS status, count(CASE WHEN len(signals) > 0 THEN 1 END) AS total_requests_with_failure_signals,
+ {pct('count(CASE WHEN len(signals) > 0 THEN 1 END)', 'count(*)', 2)} AS failure_signal_percentage FROM s2""",
     S,
 )
 def _(fx):
@@ -230,7 +230,7 @@ def _(fx):
 
 @query(
     "A6_failures_of_stored_rows",
-    f"SELECT 'available' AS status, count_if(has_failure_signals) AS total_requests_with_failure_signals, {pct('count_if(has_failure_signals)', 'count(*)', 2)} AS failure_signal_percentage FROM fx_assignments",
+    f"SELECT 'available' AS status, count(CASE WHEN has_failure_signals THEN 1 END) AS total_requests_with_failure_signals, {pct('count(CASE WHEN has_failure_signals THEN 1 END)', 'count(*)', 2)} AS failure_signal_percentage FROM fx_assignments",
     A,
 )
 def _(fx):
@@ -239,7 +239,7 @@ def _(fx):
 
 @query(
     "A19_success_rate",
-    SIGNALS + f"SELECT greatest(0.0::DOUBLE, 100.0::DOUBLE - {pct('count_if(len(signals) > 0)', 'count(*)', 2)}) AS success_rate FROM s2",
+    SIGNALS + f"SELECT greatest(0.0::DOUBLE, 100.0::DOUBLE - {pct('count(CASE WHEN len(signals) > 0 THEN 1 END)', 'count(*)', 2)}) AS success_rate FROM s2",
     S,
 )
 def _(fx):
@@ -346,7 +346,7 @@ def _(fx):
 
 @query(
     "A13_legacy_totals",
-    f"SELECT count(*) AS total_logs, count_if(is_outlier) AS outliers, {r('count_if(has_failure_signals)::DOUBLE / count(*)::DOUBLE', 6)} AS failure_rate FROM fx_assignments",
+    f"SELECT count(*) AS total_logs, count(CASE WHEN is_outlier THEN 1 END) AS outliers, {r('count(CASE WHEN has_failure_signals THEN 1 END)::DOUBLE / count(*)::DOUBLE', 6)} AS failure_rate FROM fx_assignments",
     A,
 )
 def _(fx):

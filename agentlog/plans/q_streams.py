@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from agentlog import schemas
-from agentlog.plans.q_normalize import EXT, RAW_STATUS, TEXT
+from agentlog.plans.q_normalize import EXT, OWN, RAW_STATUS, TEXT, int_sql
 from agentlog.plans.registry import query
 from agentlog.session import shared_folder
 from agentlog.sources.raw import read_live
@@ -15,6 +15,9 @@ from agentlog.sources.tables import Tables
 from agentlog.streaming import live
 
 
+TOKENS_PLAIN = int_sql("total_tokens")
+
+
 def _folder(fx, name: str) -> str:
     return f"{shared_folder(fx.spark)}/{name}-{uuid.uuid4()}"
 
@@ -101,7 +104,7 @@ def _(fx):
 
 @query(
     "T5_assignment_counters",
-    "SELECT 'src_' || (proto % 2) AS source_id, count(*) AS accepted, count(*) AS classified, count(*) AS assigned, 0::BIGINT AS rejected, count_if(vec_id % 2 = 0) AS duplicates FROM fx_vectors GROUP BY 1",
+    "SELECT 'src_' || (proto % 2) AS source_id, count(*) AS accepted, count(*) AS classified, count(*) AS assigned, 0::BIGINT AS rejected, count(CASE WHEN vec_id % 2 = 0 THEN 1 END) AS duplicates FROM fx_vectors GROUP BY 1",
     V,
 )
 def _(fx):
@@ -122,7 +125,7 @@ def _(fx):
 
 @query(
     "T7_source_totals_stream",
-    "SELECT source_id, count(*) AS records, count_if(status = 'success') AS succeeded FROM fx_records GROUP BY 1",
+    "SELECT source_id, count(*) AS records, count(CASE WHEN status = 'success' THEN 1 END) AS succeeded FROM fx_records GROUP BY 1",
     ("fx_records",),
 )
 def _(fx):
@@ -130,3 +133,67 @@ def _(fx):
     tables = Tables(fx.spark, _folder(fx, "tables"))
     live.run_totals(stream, tables, "source_totals", _folder(fx, "ckpt"))
     return tables.snapshot("source_totals", stream.schema)
+
+
+# --- readers and writers over files ------------------------------------------------
+
+
+@query(
+    "S2_read_jsonl",
+    "SELECT row_idx::VARCHAR AS agent_id, user_query, tools_used, total_tokens, true AS is_object FROM fx_raw",
+    ("fx_raw",),
+)
+def _(fx):
+    from agentlog.sources.raw import read_raw
+
+    raw = fx.raw.withColumn("agent_id", F.col("row_idx").cast("string")).drop("row_idx")
+    rows = read_raw(fx.spark, _files(fx, raw, "jsonl", "json"), "jsonl")
+    return rows.select("agent_id", "user_query", "tools_used", "total_tokens", "is_object")
+
+
+@query(
+    "S3_read_csv",
+    f"SELECT row_idx::VARCHAR AS agent_id, user_name, {TOKENS_PLAIN} AS tokens, array_to_string({OWN}, '|') AS tools FROM fx_raw",
+    ("fx_raw",),
+)
+def _(fx):
+    from agentlog.functions.records import tools_array
+    from agentlog.functions.numeric import parse_long
+    from agentlog.sources.raw import read_raw
+
+    path = _folder(fx, "csv")
+    raw = fx.raw.withColumn("agent_id", F.col("row_idx").cast("string")).drop("row_idx", "metadata")
+    raw.repartition(4).write.csv(path, header=True, escape='"', quote='"')
+    rows = read_raw(fx.spark, path, "csv")
+    tools = F.array_join(tools_array(F.col("tools_used")), "|")
+    return rows.select("agent_id", "user_name", parse_long(F.col("total_tokens")).alias("tokens"), tools.alias("tools"))
+
+
+@query(
+    "S4_unwrap_records",
+    "SELECT text AS user_query, false AS second FROM conversations UNION ALL SELECT role, true FROM conversations",
+)
+def _(fx):
+    """Every turn as a wrapped document with two records, under one of the known keys."""
+    from agentlog.sources.raw import WRAPPER_KEYS, parse_records, unwrap_records
+
+    records = F.array(
+        F.struct(F.col("text").alias("user_query"), F.lit("0").alias("agent_id")),
+        F.struct(F.col("role").alias("user_query"), F.lit("1").alias("agent_id")),
+    )
+    pick = F.pmod("turn", F.lit(len(WRAPPER_KEYS)))
+    doc = F.to_json(
+        F.struct(*[F.when(pick == i, records).alias(k) for i, k in enumerate(WRAPPER_KEYS)])
+    )
+    rows = parse_records(unwrap_records(fx.table("conversations").select(doc.alias("value"))))
+    return rows.select("user_query", (F.col("agent_id") == "1").alias("second"))
+
+
+@query("S13_roi_csv")
+def _(fx):
+    from agentlog.operators.roi import roi_rows, roi_sheets
+    from agentlog.sources.report import write_roi_csv
+
+    path = _folder(fx, "report")
+    write_roi_csv(roi_sheets(roi_rows(fx.joined)), path)
+    return fx.spark.read.text(path, lineSep="\r\n").withColumnRenamed("value", "line")

@@ -170,7 +170,7 @@ def _(fx):
 
 @query(
     "S17_source_updates",
-    """, d AS (SELECT source_id, count(*) AS n, count_if(k % 2 = 0) AS v, count_if(k % 2 = 1) AS j FROM fx_records WHERE source_id <> 'src_1' GROUP BY 1),
+    """, d AS (SELECT source_id, count(*) AS n, count(CASE WHEN k % 2 = 0 THEN 1 END) AS v, count(CASE WHEN k % 2 = 1 THEN 1 END) AS j FROM fx_records WHERE source_id <> 'src_1' GROUP BY 1),
  w AS (SELECT DISTINCT style AS name FROM fx_records WHERE style IN ('formal', 'typo'))
 SELECT s.source_id, name, records_total + coalesce(d.n, 0) AS records_total, records_valid + coalesce(d.v, 0) AS records_valid, records_rejected + coalesce(d.j, 0) AS records_rejected, 'recomputed' AS status FROM fx_sources s LEFT JOIN d USING (source_id)
 UNION ALL SELECT 'live_' || name, name, 0, 0, 0, 'recomputed' FROM w""",

@@ -18,9 +18,9 @@ ADVICE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in users.PERSONA_ADVICE.item
 PROFILES = f""", u0 AS (SELECT *, coalesce(nullif(user_id, ''), nullif(user_name, ''), 'Anonymous') AS uid, {CAT} AS category, {saved_sql(CAT)} AS saved FROM joined),
  prof AS (SELECT uid AS user_id, coalesce(nullif(arg_min(user_name, (timestamp, request_id)), ''), uid) AS user_name, coalesce(first(department ORDER BY timestamp, request_id), 'Общий') AS department,
   count(*) AS total_queries, count(DISTINCT timestamp::DATE) AS active_days, max(timestamp::DATE) AS last_day, count(DISTINCT category) AS categories,
-  count_if(category = 'code_help') AS code_queries, count_if(category IN ('data_analysis', 'information_search')) AS data_queries,
-  count_if(coalesce(has_failure_signals, false) OR coalesce(status IN ('error', 'error_tool', 'hallucination_loop'), false)) AS failures,
-  count_if(coalesce(is_outlier, false)) AS outliers, sum(saved)::DOUBLE AS saved_minutes FROM u0 GROUP BY uid),
+  count(CASE WHEN category = 'code_help' THEN 1 END) AS code_queries, count(CASE WHEN category IN ('data_analysis', 'information_search') THEN 1 END) AS data_queries,
+  count(CASE WHEN coalesce(has_failure_signals, false) OR coalesce(status IN ('error', 'error_tool', 'hallucination_loop'), false) THEN 1 END) AS failures,
+  count(CASE WHEN coalesce(is_outlier, false) THEN 1 END) AS outliers, sum(saved)::DOUBLE AS saved_minutes FROM u0 GROUP BY uid),
  med AS (SELECT quantile_cont(total_queries, 0.5)::DOUBLE AS median_queries FROM prof),
  pers AS (SELECT prof.*, CASE WHEN code_queries::DOUBLE / total_queries >= 0.35::DOUBLE THEN 'code_craftsman' WHEN data_queries::DOUBLE / total_queries >= 0.35::DOUBLE THEN 'analyst'
   WHEN categories >= 5 AND total_queries >= median_queries THEN 'super_user' WHEN total_queries < greatest(5.0::DOUBLE, median_queries * 0.5::DOUBLE) THEN 'casual' ELSE 'generalist' END AS persona FROM prof, med),
@@ -80,7 +80,7 @@ def _(fx):
 
 @query(
     "P7_active_users",
-    PROFILES + "SELECT count_if(last_day >= (SELECT max(last_day) FROM prof) - 7) AS active_users FROM prof",
+    PROFILES + "SELECT count(CASE WHEN last_day >= (SELECT max(last_day) FROM prof) - 7 THEN 1 END) AS active_users FROM prof",
     J,
 )
 def _(fx):
@@ -108,7 +108,7 @@ def _(fx):
 
 @query(
     "P10_users_summary",
-    PROFILES + f"""SELECT count(*) AS total_users, count_if(last_day >= (SELECT max(last_day) FROM us) - 7) AS active_users, 7::BIGINT AS active_window_days,
+    PROFILES + f"""SELECT count(*) AS total_users, count(CASE WHEN last_day >= (SELECT max(last_day) FROM us) - 7 THEN 1 END) AS active_users, 7::BIGINT AS active_window_days,
  {r('sum(frustration_index::DECIMAL(18,1))::DOUBLE / count(*)', 1)} AS avg_frustration_index FROM us""",
     J,
 )
@@ -142,7 +142,7 @@ def _(fx):
 @query(
     "P13_model_analytics",
     MODELS + f"""SELECT model_id, count(*) AS total_queries, {pct('count(*)', '(SELECT count(*) FROM mo)')} AS share_percentage, sum(coalesce(tokens, 0))::BIGINT AS total_tokens,
- {pct("count_if(coalesce(has_failure_signals, false) OR coalesce(status IN ('error', 'error_tool'), false))", 'count(*)')} AS failure_rate_percent,
+ {pct("count(CASE WHEN coalesce(has_failure_signals, false) OR coalesce(status IN ('error', 'error_tool'), false) THEN 1 END)", 'count(*)')} AS failure_rate_percent,
  {label_sql('any_value(top)')} AS top_task_type FROM mo JOIN (SELECT model_id, category AS top FROM mc WHERE rn = 1) USING (model_id) GROUP BY model_id""",
     J,
 )

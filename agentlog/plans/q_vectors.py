@@ -64,7 +64,7 @@ def _(fx):
 
 
 def _byte(i: int) -> str:
-    return f"(('0x' || h[{2 * i + 1}:{2 * i + 2}])::INT::DOUBLE / 127.5::DOUBLE - 1.0::DOUBLE)"
+    return f"(2 * ('0x' || h[{2 * i + 1}:{2 * i + 2}])::INT - 255)"
 
 
 @query(

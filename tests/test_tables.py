@@ -212,3 +212,17 @@ def test_online_state_after_recompute(spark, sf_dir, tmp_path):
     c = spark.createDataFrame([("a:cluster_3", "a", [1.0, 0.0], 9), ("a:cluster_4", "a", [], 1)], "scenario_id string, task_type string, centroid array<double>, records_count long")
     live.hydrate(t, c)
     assert [tuple(r) for r in t.snapshot("centroids", live.CENTROIDS).collect()] == [("a:cluster_3", "a", [1.0, 0.0], 9)]
+
+
+def test_report_bundles(spark, sf_dir):
+    from agentlog.config import Filters
+    from agentlog.plans import bundles
+
+    fx = Fixtures(spark, sf_dir)
+    f = Filters(source_id="src_1", from_="2024-01-05", to="2024-01-20")
+    money = bundles.roi_document(fx.records, fx.assignments, f)
+    n = joins.apply_filters(fx.records, f).count()
+    assert money["summary"].first().total_logs == n == money["by_category"].agg(F.sum("count")).first()[0]
+    people = bundles.users_document(fx.records, fx.assignments, f)
+    assert people["users"].agg(F.sum("total_queries")).first()[0] == n
+    assert {k: v.count() > 0 for k, v in {**money, **people}.items()} == {k: True for k in {**money, **people}}
