@@ -13,6 +13,7 @@ from agentlog.functions.numeric import percent, round_to, safe_div
 from agentlog.functions.records import FAILED_RESPONSES
 from agentlog.functions.taxonomy import OTHER, UNKNOWN, filled, label
 from agentlog.operators.joins import share
+from agentlog.session import cut_lineage
 
 
 def _is_outlier() -> Column:
@@ -44,6 +45,15 @@ def rollup(assignments: DataFrame) -> DataFrame:
     )
 
 
+def stored_rollup(assignments: DataFrame) -> DataFrame:
+    """The roll-up, computed once and kept: what follows reads only its few rows.
+
+    Without it every use in a query could scan the assignments again, and the optimizer
+    would move scenario joins below the aggregate, onto all rows.
+    """
+    return assignments if _ROLLED == set(assignments.columns) else cut_lineage(rollup(assignments))
+
+
 def _scenario_counts(roll: DataFrame) -> DataFrame:
     kept = roll.where(~F.col("is_outlier") & (F.col("scenario_id") != ""))
     return kept.groupBy("scenario_id").agg(F.sum("n").alias("count"))
@@ -51,16 +61,17 @@ def _scenario_counts(roll: DataFrame) -> DataFrame:
 
 def known_scenario_counts(assignments: DataFrame, clusters: DataFrame) -> DataFrame:
     """Counts of scenarios that have a cluster row."""
-    return _scenario_counts(rollup(assignments)).join(
+    return _scenario_counts(stored_rollup(assignments)).join(
         clusters.select("scenario_id"), "scenario_id", "left_semi"
     )
 
 
 def totals(assignments: DataFrame, clusters: DataFrame) -> DataFrame:
     """Records, scenarios, unknowns and outlier share in one row (A1)."""
-    scenarios = known_scenario_counts(assignments, clusters).agg(F.count(F.lit(1))).scalar()
+    roll = stored_rollup(assignments)
+    scenarios = known_scenario_counts(roll, clusters).agg(F.count(F.lit(1))).scalar()
     zero = F.lit(0).cast("bigint")
-    sums = rollup(assignments).agg(
+    sums = roll.agg(
         F.coalesce(F.sum("n"), zero).alias("records_total"),
         F.coalesce(F.sum(F.when(F.col("task_type") == UNKNOWN, F.col("n"))), zero).alias("unknown_count"),
         F.coalesce(F.sum(F.when(F.col("is_outlier"), F.col("n"))), zero).alias("outliers"),
@@ -90,7 +101,8 @@ def topn_other(
     """The n largest keys, the rest summed up as `other`, protected keys listed last.
 
     The head is a distributed top-n and the rest an anti join with those n keys, so no
-    window ever orders all keys. Position comes as `rank`.
+    window ever orders all keys. `counts` is used several times and should be stored or
+    derive from a stored roll-up. Position comes as `rank`.
     """
     live = counts.where(F.col("count") > 0)
     guard = F.col(key).isin(*protected) if protected else F.lit(False)
@@ -116,7 +128,7 @@ def topn_other(
 
 def task_distribution(assignments: DataFrame, n: int = AggConfig.top_tasks) -> DataFrame:
     """Records per class, top n (A2)."""
-    counts = rollup(assignments).groupBy("task_type").agg(F.sum("n").alias("count"))
+    counts = stored_rollup(assignments).groupBy("task_type").agg(F.sum("n").alias("count"))
     return topn_other(counts, "task_type", n)
 
 
@@ -355,7 +367,7 @@ def scenarios_list(
     )
     count = F.coalesce("count", F.lit(0))
     out = (
-        meta.join(_scenario_counts(rollup(own)), "scenario_id", "left")
+        meta.join(_scenario_counts(stored_rollup(own)), "scenario_id", "left")
         .join(scenario_examples(own, cfg.examples), "scenario_id", "left")
         .join(scenario_trends(assignments, cfg), "scenario_id", "left")
         .withColumn("count", count)

@@ -16,6 +16,7 @@ from agentlog.functions.text import first_filled
 from agentlog.operators.joins import share
 from agentlog.operators.keyed import argmax_count
 from agentlog.operators.roi import hours, saved_minutes
+from agentlog.session import cut_lineage
 
 # --- fixed values ----------------------------------------------------------------
 PERSONA_LABELS = {
@@ -184,8 +185,12 @@ def with_guidance(users: DataFrame, cfg: UsersConfig = UsersConfig()) -> DataFra
 def users_table(
     joined: DataFrame, cfg: UsersConfig = UsersConfig(), roi: RoiConfig = RoiConfig()
 ) -> DataFrame:
-    """One finished row per user."""
-    profiles = with_frustration(with_persona(user_profiles(joined, roi), cfg), cfg)
+    """One finished row per user.
+
+    Profiles are stored once: the median and the reports above read them, not the log.
+    """
+    profiles = cut_lineage(user_profiles(joined, roi))
+    profiles = with_frustration(with_persona(profiles, cfg), cfg)
     full = profiles.withColumn("top_category", label(F.col("top_task_type"))).withColumn(
         "saved_hours", round_to(hours(F.col("saved_minutes")), 1)
     )
