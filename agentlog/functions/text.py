@@ -15,7 +15,7 @@ WHITE_SPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 # ---------------------------------------------------------------------------------
-_RUN = f"[{WHITE_SPACE}]+"
+_RUN = r"(?U)[\s\x1c-\x1f]+"  # the same set: Unicode white space and four separators
 
 
 def strip(c: Column) -> Column:

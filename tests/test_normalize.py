@@ -174,7 +174,7 @@ def test_status_of_stored_rows_is_case_sensitive(spark):
     assert value(spark, lambda c: rules.status_pair(c)["error_code"], "Error_Tool") == "tool_error"
 
 
-WORD = st.text(alphabet="abc é", min_size=0, max_size=30)
+WORD = st.text(alphabet="abc é\x1c\u00a0\u2003\n", min_size=0, max_size=30)
 
 
 @settings(max_examples=25, deadline=None)
