@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agentlog.functions import vectors as vx
-from agentlog.operators import classify, embedding, joins, keyed, scenarios
+from agentlog.operators import classify, embedding, joins, scenarios
 from agentlog.operators.roi import round_to
 from agentlog.plans.q_roi import r
 from agentlog.plans.registry import query

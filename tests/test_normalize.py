@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from agentlog.config import LongTextConfig, NormalizeConfig
 from agentlog.functions import records as rules, text as tx
 from agentlog.functions.ids import canonical_request_id, uuid5
-from agentlog.functions.numeric import parse_double, parse_long, round_to
+from agentlog.functions.numeric import parse_long, round_to
 from agentlog.functions.taxonomy import normalize_label
 from agentlog.operators import classify, normalize as nz
 from agentlog.sources.raw import read_raw, with_row_index
