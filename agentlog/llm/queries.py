@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agentlog.llm import exact
+from agentlog.llm import exact, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,3 +44,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs).select(
         "doc_id", "keep_id", F.col("group_size").cast("long"), "kept", "text_sha256"
     )
+
+
+@query("op1_two_pass_shuffle")
+def op1_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = sharding.row_bytes(F.col("text"))
+    return sharding.two_pass_shuffle(docs, size, n_shards=24, seed=1).select(
+        "doc_id", size.alias("size"),
+        F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
