@@ -54,9 +54,10 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def running_totals(
-    df: DataFrame, order: Sequence[str], value: str, out: str, group: Sequence[str] = (),
+    df: DataFrame, order: Sequence[str], totals: dict[str, str], group: Sequence[str] = (),
 ) -> DataFrame:
-    """Add `out`, the sum of `value` over all rows before this one in its group.
+    """Add, for each `out: value` of `totals`, the sum of `value` over all rows before this
+    one in its group.
 
     `df` must hold each combination of `group` and `order` once. Rows are range partitioned
     by group and order together, so a group of any size spans many tasks; the totals of the
@@ -68,21 +69,23 @@ def running_totals(
     ranged = store(
         df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()), "ranges"
     )
-    per_range = ranged.groupBy(*group, part).agg(F.sum(value).alias("__sum"))
     before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_range.select(
-        *[F.col(g).alias(f"__{g}") for g in group], F.col(part).alias("__start_of"),
-        F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"),
-    )
     inside = Window.partitionBy(*group, part).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    same = F.col(part) == F.col("__start_of")
+    per_range = ranged.groupBy(*group, part).agg(
+        *[F.sum(value).alias(f"__sum_{out}") for out, value in totals.items()]
+    )
+    starts = per_range.select(
+        *[F.col(g).alias(f"__of_{g}") for g in group], F.col(part).alias("__of_range"),
+        *[F.coalesce(F.sum(f"__sum_{out}").over(before), F.lit(0)).alias(f"__start_{out}") for out in totals],
+    )
+    same = F.col(part) == F.col("__of_range")
     for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    return (
-        ranged.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(starts, same)
-        .withColumn(out, F.col("__start") + F.col("__inside"))
-        .drop(part, "__start_of", "__start", "__inside", *[f"__{g}" for g in group])
+        same = same & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    within = ranged.select(
+        "*", *[F.coalesce(F.sum(value).over(inside), F.lit(0)).alias(f"__in_{out}") for out, value in totals.items()]
+    )
+    return within.join(starts, same).select(
+        *df.columns, *[(F.col(f"__start_{out}") + F.col(f"__in_{out}")).alias(out) for out in totals]
     )

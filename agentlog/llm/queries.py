@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agentlog.llm import exact, sharding
+from agentlog.llm import exact, mixing, sharding
+from agentlog.llm.common import store, text_or_empty, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,3 +56,53 @@ def op1_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query(
+    "op3_mix_sources",
+    r"""
+    WITH d AS (
+      SELECT doc_id, source,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+             ('0x' || substr(md5('3|' || coalesce('=' || doc_id, '-') || '|'
+               || coalesce('=' || text, '-')), 1, 15))::BIGINT AS key
+      FROM documents
+    ), s AS (
+      SELECT source, sum(size)::BIGINT AS source_size,
+             [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w,
+             row_number() OVER (ORDER BY source NULLS LAST) AS r
+      FROM d GROUP BY source
+    ), l AS (
+      SELECT *, 3 * source_size AS cap,
+             (sum(source_size) OVER () - (sum(3 * source_size) OVER o - 3 * source_size))::DOUBLE
+               / (sum(w) OVER () - (sum(w) OVER o - w)) AS rest
+      FROM s WINDOW o AS (ORDER BY 3 * source_size / w, r)
+    ), t AS (
+      SELECT source, source_size,
+             least(cap::DOUBLE, w * (SELECT min_by(rest, (cap / w, r)) FROM l WHERE cap / w >= rest)) AS target
+      FROM l
+    ), p AS (
+      SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 1e-6)::BIGINT AS budget,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    )
+    SELECT doc_id, size, source_size, target,
+           (CASE WHEN source_size = 0 THEN 0 ELSE
+              budget // source_size * size
+              + greatest(0, least(size, budget % source_size - before)) END)::BIGINT AS taken
+    FROM p
+    """,
+)
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = store(
+        docs.select(
+            "doc_id", "source", word_count(text_or_empty("text")).alias("size"),
+            mixing.hash_key(3, F.col("doc_id"), F.col("text")).alias("key"),
+        ),
+        "sizes",
+    )
+    return mixing.mix(sized, "source", "size", "key").select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
