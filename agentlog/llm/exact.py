@@ -111,8 +111,11 @@ def exact_dedup(
 
     # chunkwise comparison of the texts behind repeated fingerprints
     flat = F.regexp_replace(text_or_empty(text_col), SPACE, " ")
-    candidates = stored.join(repeated, key, "left_semi").select(
-        row, *key, F.encode(flat, "utf-8").alias("__data")
+    candidates = store(
+        stored.select(row, *key, text_col).join(repeated, key, "left_semi").select(
+            row, *key, F.encode(flat, "utf-8").alias("__data")
+        ),
+        "candidates",
     )
     chunks = candidates.select(
         *key,
@@ -123,19 +126,20 @@ def exact_dedup(
             )
         ).alias("__no", "__chunk"),
     ).filter("__bytes > 0")
-    differing = (
+    differing = store(
         chunks.groupBy(*key, "__no")
         .agg((F.min("__chunk") != F.max("__chunk")).alias("__differ"))
-        .filter("__differ").select(*key).distinct()
-    )
-    # a group with a collision is divided by the texts themselves
-    by_text = candidates.join(differing, key, "left_semi")
-    firsts = by_text.groupBy(*key, "__data").agg(F.min(row).alias("__class"))
-    divided = by_text.join(firsts, [*key, "__data"]).select(row, "__class")
-
-    classed = slim.join(divided, row, "left").withColumn(
-        "__class", F.coalesce("__class", F.lit(-1))
+        .filter("__differ").select(*key).distinct(),
+        "collisions",
     )
+    classed = slim.withColumn("__class", F.lit(-1).cast("long"))
+    if not differing.isEmpty():  # groups with a collision are divided by the texts themselves
+        by_text = candidates.join(differing, key, "left_semi")
+        firsts = by_text.groupBy(*key, "__data").agg(F.min(row).alias("__first"))
+        divided = by_text.join(firsts, [*key, "__data"]).select(row, "__first")
+        classed = slim.join(divided, row, "left").withColumn(
+            "__class", F.coalesce("__first", F.lit(-1))
+        ).drop("__first")
     group = [*key, "__class"]
     best = F.min(F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id"), F.col(row)))
     groups = classed.groupBy(*group).agg(
