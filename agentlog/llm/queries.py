@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agentlog.llm import exact, mixing, sharding
+from agentlog.llm import exact, mixing, quality, sharding
 from agentlog.llm.common import store, text_or_empty, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,59 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, "source", "size", "key").select(
         "doc_id", "size", "source_size", "target", "taken"
     )
+
+
+@query(
+    "op4_clean_lines",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+    ), l AS (
+      SELECT rid, line, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+      FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)
+    ), judged AS (
+      SELECT *, n > 0 AND (
+          (n >= 3 AND length(regexp_replace(line, '[^|]', '', 'g')) >= n * 0.2)
+          OR length(regexp_replace(line, '[^#*$%&]', '', 'g')) >= n * 0.5
+          OR (n >= 4 AND regexp_matches(line, '\p{Lu}') AND NOT regexp_matches(line, '\p{Ll}'))
+          OR regexp_matches(line, '(?i)all rights reserved|licen[sc]ed under|released under|public license|copyright \(c\)|cookie policy|privacy policy|terms of (use|service)|powered by|click here|sign up|log in to')
+          OR NOT regexp_matches(line, '[.!?…:;"\x27»”)\]][\x20\x09-\x0D]*$|[.!?…][\x20\x09]')
+        ) AS fails
+      FROM l
+    ), lines AS (
+      SELECT rid, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
+             coalesce(sum(n) FILTER (fails), 0) AS lost
+      FROM judged GROUP BY rid
+    ), w AS (
+      SELECT rid, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word,
+             generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS pos
+      FROM d
+    ), g AS (
+      SELECT rid, pos, CASE WHEN lead(word, 4) OVER o IS NOT NULL THEN
+        word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' '
+        || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o END AS gram
+      FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)
+    ), rep AS (
+      SELECT rid, pos, gram IS NOT NULL AND count(*) OVER (PARTITION BY rid, gram) > 1 AS twice FROM g
+    ), cov AS (
+      SELECT rid, count(*) FILTER (hit) AS n_repeat_words
+      FROM (SELECT rid, bool_or(twice) OVER (PARTITION BY rid ORDER BY pos ROWS 4 PRECEDING) AS hit FROM rep)
+      GROUP BY rid
+    ), base AS (
+      SELECT d.rid, doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words,
+             length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, lost
+      FROM d JOIN lines USING (rid) LEFT JOIN cov USING (rid)
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND lost <= 0.5 * n_words AS kept
+    FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+    """,
+)
+def op4_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
