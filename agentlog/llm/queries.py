@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from agentlog.llm import exact, mixing, quality, secrets, sharding
+from agentlog.llm import exact, mixing, quality, secrets, sharding, urls
 from agentlog.llm.common import store, text_or_empty, word_count
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -186,3 +186,76 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"),
     )
+
+
+URL_RULES = (
+    urls.Rule("com", "/", "allow"), urls.Rule("example.com", "/en/", "block"),
+    urls.Rule("www.example.com", "/en/", "allow"), urls.Rule("net", "/es/", "block"),
+    urls.Rule("net", "/fr/", "block"),
+)
+
+
+def _strength_sql(groups: str) -> str:
+    return f"""(
+      SELECT CASE WHEN coalesce(n, 0) = 0 OR noise = 0 OR n - n2 / n - (k - 1) <= 0 THEN 1000.0
+             ELSE (1 - rho) / rho END
+      FROM (SELECT *, least(greatest((spread - noise / n * (k - 1))
+                      / (noise / n * (n - n2 / n - (k - 1))), 1.0 / 1001), 0.5) AS rho
+            FROM (SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(n::DOUBLE * n) AS n2,
+                         sum(n * (bad::DOUBLE / n - prior) * (bad::DOUBLE / n - prior)) AS spread,
+                         sum(n * prior * (1 - prior)) AS noise
+                  FROM {groups} WHERE n > 0)))"""
+
+
+@query(
+    "op7_url_reputation",
+    rf"""
+    WITH u AS (
+      SELECT page_id,
+             translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+      FROM pages
+    ), r(rule, rhost, rpath, rv) AS (
+      VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+             ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+             ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
+    ), o AS (
+      SELECT host, greatest(1 - quality, toxic) AS bad
+      FROM u JOIN labels ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})/?$', 1) AS BIGINT)
+      UNION ALL SELECT host, NULL FROM u
+    ), h0 AS (
+      SELECT host, CASE WHEN d = '' THEN host ELSE d END AS domain, n, bad FROM (
+        SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+               regexp_extract(host, '([^.]+\.(?:co\.uk|org\.uk|ac\.uk|com\.au|co\.jp|co\.nz|com\.br|[^.]+))$', 1) AS d
+        FROM o GROUP BY host)
+    ), d0 AS (
+      SELECT domain, regexp_replace(domain, '^[^.]*\.', '') AS suffix, sum(n) AS n, sum(bad) AS bad
+      FROM h0 GROUP BY ALL
+    ), s0 AS (
+      SELECT suffix, sum(n) AS n, sum(bad) AS bad,
+             coalesce((SELECT sum(bad)::DOUBLE / nullif(sum(n), 0) FROM d0), 0) AS prior
+      FROM d0 GROUP BY suffix
+    ), s1 AS (SELECT suffix, (bad + prior * k) / (n + k) AS m FROM s0, (SELECT {_strength_sql("s0")} AS k)
+    ), d1 AS (SELECT d0.*, m AS prior FROM d0 JOIN s1 USING (suffix)
+    ), d2 AS (SELECT domain, (bad + prior * k) / (n + k) AS m FROM d1, (SELECT {_strength_sql("d1")} AS k)
+    ), h1 AS (SELECT h0.*, m AS prior FROM h0 JOIN d2 USING (domain)
+    ), h2 AS (
+      SELECT host, p - 1.645 * sqrt(p * (1 - p) / (t + 1)) AS low
+      FROM (SELECT host, (bad + prior * k) / (n + k) AS p, n + k AS t FROM h1, (SELECT {_strength_sql("h1")} AS k))
+    ), best AS (
+      SELECT page_id, host, path, rule, rv,
+             row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC NULLS LAST) AS no
+      FROM u LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+    )
+    SELECT page_id, host, path, rule,
+           coalesce(rv, CASE WHEN low > 0.3 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM best JOIN h2 USING (host) WHERE no = 1
+    """,
+)
+def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = urls.labelled_outcomes(pages, table(spark, sf_dir, "labels"))
+    return urls.filter_urls(pages, outcomes, URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
