@@ -280,12 +280,14 @@ def pack(
     n_groups = max(1, math.ceil(rest.count() / group_rows))
     dealt = rest.withColumn(group, F.pmod(F.xxhash64(F.lit(seed), row), F.lit(n_groups)))
 
+    names = full.columns
+
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(row, kind="stable", ignore_index=True)
         number, offset = pack_group(frame[length_col].to_numpy(), capacity)
         base = int(frame[group].iloc[0]) << 31
         frame["sequence_id"], frame["offset"] = (base + number) * 2, offset
-        return frame[[*pieces.columns, "sequence_id", "offset"]]
+        return frame[names]
 
     packed = dealt.groupBy(group).applyInPandas(place, full.schema)
     return full.unionByName(packed)
