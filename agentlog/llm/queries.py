@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from agentlog.llm import exact, mixing, packing, quality, secrets, sharding, urls
+from agentlog.llm import exact, mixing, neardup, packing, quality, secrets, sharding, urls
 from agentlog.llm.common import store, text_or_empty, word_count
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -265,3 +265,8 @@ def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(packing.token_pieces(docs, WORD_VOCABULARY))
+
+
+@query("op8_near_duplicates")
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
