@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from agentlog.llm import exact, html, mixing, neardup, packing, quality, secrets, sharding, urls
+from agentlog.llm import exact, html, lines, mixing, neardup, packing, quality, secrets, sharding, urls
 from agentlog.llm.common import store, text_or_empty, word_count
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -277,3 +277,8 @@ def op9_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
     )
+
+
+@query("op6_fuzzy_lines")
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(table(spark, sf_dir, "documents"))
