@@ -12,6 +12,7 @@ import math
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from agentlog.llm.common import fresh, store
 #: Pieces per group: one partly filled bin is left over in each.
 GROUP_ROWS = 16_384
 #: Words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 1_000_000
 
 
 # tokens
@@ -39,9 +40,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Token ids of a lower-case word without white space, as the whole tokenizer gives them."""
+    """Token ids of a lower-case word without white space, as the whole tokenizer gives them:
+    little-endian 32-bit numbers, ready to be joined."""
 
-    #: The vocabulary's own split pattern, for the letters below `ODD`.
+    #: The vocabulary's own split pattern, for ordinary texts (see `DocumentEncoder.ODD`).
     PARTS = re.compile(
         r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\w\s²³¹¼-¾]|_)+"
     )
@@ -51,20 +53,26 @@ class WordIds(dict):
         super().__init__()
         self.model = tokenizer.model
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for part in self.PARTS.findall(word):
-            mapped = part.encode().decode("latin-1").translate(self.LETTERS)
-            ids += [t.id for t in self.model.tokenize(mapped)]
-        self[word] = found = tuple(ids)
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(".,")
+        if stem.isalpha():  # a plain word, perhaps with its full stop or comma
+            found = self._part(word) if stem == word else self[stem] + self[word[len(stem) :]]
+        else:
+            found = b"".join(map(self._part, self.PARTS.findall(word)))
+        self[word] = found
         return found
 
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
 
 class DocumentEncoder:
     """Ids of whole texts. Ordinary texts are split into words, whose ids are remembered;
     texts with rare letters, control characters or special tokens take the tokenizer itself."""
 
-    ODD = re.compile("[^\t-\r -ɏ‐-‧]|<\\||[\u0085 ]")
+    ODD = re.compile("[^\t-\r -~\x80-\u024f\u2010-\u2027]|<\\||[\u0085\u00a0]")
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
@@ -72,18 +80,14 @@ class DocumentEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.words = WordIds(self.tokenizer)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if self.ODD.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        ids: list[int] = []
-        words = self.words
-        for word in text.lower().split():
-            ids += words[word]
-        return ids
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -117,7 +121,7 @@ def token_pieces(
             keys, texts = batch.column(0), batch.column(1)
             rows, piece, start, length, crc, kept = [], [], [], [], [], []
             for row, text in enumerate(texts):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id))
                 for no, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append(row)
