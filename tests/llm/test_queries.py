@@ -67,11 +67,11 @@ def test_op2(spark, sf_dir, documents):
 
 def test_op6(spark, sf_dir, documents):
     """Classes of lines equal the components of all pairs of lines."""
-    shingle = re.compile(r"(?s)(?:(?<![^ ])|(?<=[^ ]{16}))(?=([^ ].{0,9}))")
+    shingle = re.compile(r"(?s)(?=([^ ].{0,9}))(?:[^ ]{1,16}+(?![^ ]) ?|[^ ])")
     places = collections.defaultdict(list)
     for i in sorted(documents):
         for no, line in enumerate(documents[i].split("\n")):
-            flat = " ".join(WORD.findall(line))
+            flat = line.strip(" \t\x0b\x0c\r")
             if flat:
                 places[flat].append((i, no))
     lines = list(places)
