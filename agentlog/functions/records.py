@@ -129,7 +129,7 @@ def model_id(tools: Column) -> Column:
     """First non-blank model named in the tools."""
     names = F.transform(
         F.filter(tools, lambda t: t.startswith("model:")),
-        lambda t: strip(F.substring(t, len("model:") + 1, 1_000_000)),
+        lambda t: strip(F.substring(t, F.lit(len("model:") + 1), F.length(t))),
     )
     return F.get(F.filter(names, lambda n: n != ""), F.lit(0))
 

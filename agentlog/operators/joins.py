@@ -67,12 +67,11 @@ _ASSIGNED = (
 )
 
 
-def joined(records: DataFrame, assignments: DataFrame, cap: int | None = None) -> DataFrame:
-    """Records with their assignment, if any (J1). `cap` keeps the first rows in key order."""
+def joined(records: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Records with their assignment, if any (J1). All rows: nothing here needs a cap."""
     keys = ["source_id", "request_id"]
     cols = [c for c in _ASSIGNED if c in assignments.columns]
-    out = records.join(assignments.select(*keys, *cols), keys, "left")
-    return out if cap is None else out.orderBy(*keys).limit(cap)
+    return records.join(assignments.select(*keys, *cols), keys, "left")
 
 
 def with_scenario_name(assignments: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -82,10 +81,15 @@ def with_scenario_name(assignments: DataFrame, clusters: DataFrame) -> DataFrame
 
 
 def recompute_input(assignments: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """Assignments with their vector; a missing one is all zeros and flagged."""
+    """Assignments with their vector; a missing one is all zeros and flagged.
+
+    Joined by source and request when the vectors name their source: ids repeat between
+    sources.
+    """
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    keys = [k for k in ("source_id", "request_id") if k in vectors.columns and k in assignments.columns]
     return (
-        assignments.join(vectors.select("request_id", "embedding"), "request_id", "left")
+        assignments.join(vectors.select(*keys, "embedding"), keys, "left")
         .withColumn("has_vector", F.col("embedding").isNotNull())
         .withColumn("embedding", F.coalesce("embedding", zeros))
     )

@@ -121,17 +121,24 @@ def lookup(df: DataFrame, keys: DataFrame, on: Sequence[str] = ("request_id",))
 
 
 def update_scenarios(
-    assignments: DataFrame, new: DataFrame, now: datetime | Column, key: str = "request_id"
+    assignments: DataFrame, new: DataFrame, now: datetime | Column, key: str = "request_id",
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """Overwrite scenario and outlier flag of the listed keys only."""
+    """Overwrite scenario and outlier flag of the listed keys only.
+
+    Of several updates of a key the last in `order` counts, whatever its values; without
+    an order each key may be listed once, else which of its rows counts is arbitrary.
+    """
     stamp = (now if isinstance(now, Column) else F.lit(now)).cast("timestamp")
     change = new.where(filled(F.col(key), "") != "").select(
         key,
         F.col("scenario_id").alias("__sid"),
         F.coalesce("is_outlier", F.lit(False)).alias("__out"),
         F.lit(True).alias("__hit"),
+        *[F.col(c).alias(f"__order_{i}") for i, c in enumerate(order)],
     )
-    change = last_per(change, [key], ["__sid"])
+    by = [f"__order_{i}" for i in range(len(order))]
+    change = last_per(change, [key], by or ["__sid"]).drop(*by)
     hit = F.coalesce("__hit", F.lit(False))
     return (
         assignments.join(change, key, "left")

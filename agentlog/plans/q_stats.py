@@ -112,11 +112,11 @@ def _(fx):
 
 @query(
     "O7_row_cap",
-    "SELECT source_id, request_id FROM joined ORDER BY source_id, request_id LIMIT 500",
+    "SELECT source_id, request_id FROM joined",
     J,
 )
 def _(fx):
-    return joins.joined(fx.records, fx.assignments, cap=500).select("source_id", "request_id")
+    return joins.joined(fx.records, fx.assignments).select("source_id", "request_id")
 
 
 # --- aggregates -------------------------------------------------------------------

@@ -79,6 +79,21 @@ def _(fx):
     return tables.records().select("request_id", "status")
 
 
+@query("T2_two_writers", "SELECT source_id, request_id, status FROM fx_records", ("fx_records",))
+def _(fx):
+    """Two live sources with overlapping records, a compaction, then a new checkpoint that
+    sees everything once more: each record is stored once and none is lost."""
+    rows = fx.records.select(*schemas.RECORDS.fieldNames())
+    k = F.pmod(F.xxhash64("source_id", "request_id"), F.lit(4))
+    tables = Tables(fx.spark, _folder(fx, "tables"))
+    sink = live.append_records(tables)
+    live.run_available(_stream(fx, rows.where(k < 2), "left"), sink, _folder(fx, "ckpt"))
+    live.run_available(_stream(fx, rows.where((k == 1) | (k == 2)), "right"), sink, _folder(fx, "ckpt"))
+    tables.compact("records", schemas.RECORDS, schemas.KEYS, ["timestamp"])
+    live.run_available(_stream(fx, rows, "again"), sink, _folder(fx, "ckpt"))
+    return tables.records().select("source_id", "request_id", "status")
+
+
 def _assigned(fx) -> Tables:
     """The vectors as a stream, half of them delivered twice, through the assignment sink."""
     rows = fx.vectors.withColumn("source_id", F.concat(F.lit("src_"), F.col("proto") % 2))
@@ -111,6 +126,24 @@ def _(fx):
     return live.counters(_assigned(fx))
 
 
+@query(
+    "T5_rejected_counters",
+    """SELECT 'src_' || (proto % 2) AS source_id, count(CASE WHEN vec_id % 5 <> 0 THEN 1 END) AS accepted, count(CASE WHEN vec_id % 5 = 0 THEN 1 END) AS rejected, count(CASE WHEN vec_id % 5 <> 0 THEN 1 END) AS vectors FROM fx_vectors GROUP BY 1""",
+    V,
+)
+def _(fx):
+    """Rejected rows are set aside and counted; the others leave their vector."""
+    rows = fx.vectors.withColumn("source_id", F.concat(F.lit("src_"), F.col("proto") % 2)).withColumn(
+        "reject_reason", F.when(F.col("vec_id") % 5 == 0, "empty_text")
+    )
+    tables = Tables(fx.spark, _folder(fx, "tables"))
+    sink = live.AssignmentSink(tables, lambda df: df.withColumn("confidence", F.lit(0.9)))
+    live.run_available(_stream(fx, rows, "vectors"), sink, _folder(fx, "ckpt"))
+    stored = tables.vectors().where(F.size("embedding") > 0)
+    vectors = stored.groupBy("source_id").agg(F.count(F.lit(1)).alias("vectors"))
+    return live.counters(tables).join(vectors, "source_id").select("source_id", "accepted", "rejected", "vectors")
+
+
 @query(
     "T6_dynamics_stream",
     "SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS count FROM fx_records GROUP BY 1",
@@ -123,6 +156,24 @@ def _(fx):
     return tables.snapshot("dynamics", stream.schema)
 
 
+@query(
+    "T6_restarted_stream",
+    "SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS count FROM fx_records GROUP BY 1",
+    ("fx_records",),
+)
+def _(fx):
+    """Counts of some days first; a query with a new checkpoint then reads everything, in
+    fewer batches: its state is the one that shows."""
+    days = fx.records.select("timestamp")
+    tables = Tables(fx.spark, _folder(fx, "tables"))
+    some = live.dynamics_stream(_stream(fx, days.where("day(timestamp) % 3 = 0"), "some"))
+    live.run_totals(some, tables, "dynamics", _folder(fx, "ckpt"))
+    path = _files(fx, days, "all")
+    whole = live.dynamics_stream(fx.spark.readStream.schema(days.schema).parquet(path))
+    live.run_totals(whole, tables, "dynamics", _folder(fx, "ckpt"))
+    return tables.snapshot("dynamics", whole.schema)
+
+
 @query(
     "T7_source_totals_stream",
     "SELECT source_id, count(*) AS records, count(CASE WHEN status = 'success' THEN 1 END) AS succeeded FROM fx_records GROUP BY 1",

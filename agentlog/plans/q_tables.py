@@ -107,6 +107,27 @@ def _(fx):
     return out.select("request_id", "scenario_id", "is_outlier", _ts("updated_at"))
 
 
+@query(
+    "S9_last_update_wins",
+    """, n AS (SELECT request_id, CAST(replace(request_id, 'req_', '') AS BIGINT) AS n FROM fx_assignments),
+u AS (SELECT request_id, n, step FROM n, (VALUES (0), (1), (2)) s(step)),
+l AS (SELECT request_id, max_by(CASE step WHEN 0 THEN 'moved:cluster_9' WHEN 1 THEN 'moved:cluster_10' END, step) AS sid, max_by(step = 2, step) AS gone, count(*) AS k FROM u WHERE step <= n % 3 GROUP BY 1)
+SELECT request_id, CASE n % 3 WHEN 0 THEN 'moved:cluster_9' WHEN 1 THEN 'moved:cluster_10' END AS scenario_id, gone AS is_outlier FROM l JOIN n USING (request_id)""",
+    A,
+)
+def _(fx):
+    """One to three updates of every key; a last update without a scenario makes an outlier."""
+    n = F.replace("request_id", F.lit("req_"), F.lit("")).cast("bigint")
+    step = F.explode(F.sequence(F.lit(0), (n % 3).cast("int")))
+    change = fx.assignments.select("request_id", step.alias("step")).select(
+        "request_id", "step",
+        F.when(F.col("step") == 0, "moved:cluster_9").when(F.col("step") == 1, "moved:cluster_10").alias("scenario_id"),
+        (F.col("step") == 2).alias("is_outlier"),
+    )
+    out = keyed.update_scenarios(fx.assignments, change, F.lit(NOW), order=["step"])
+    return out.select("request_id", "scenario_id", "is_outlier")
+
+
 @query(
     "S10_merge_counters",
     """, d AS (SELECT CASE WHEN k % 50 = 0 THEN '' ELSE source_id END AS source_id, k FROM fx_records)

@@ -30,15 +30,21 @@ CENTROIDS = T.StructType(
 )
 
 
-def normalize_stream(stream: DataFrame, cfg: NormalizeConfig = NormalizeConfig(id_prefix="live_")) -> DataFrame:
-    """Valid canonical records of a raw stream.
-
-    A stream has no row number, so a missing id comes from the content of the record: a
-    record that is delivered twice gets the same id.
+def normalize_stream(
+    stream: DataFrame, cfg: NormalizeConfig = NormalizeConfig(id_prefix="live_"),
+    keep_rejected: bool = False,
+) -> DataFrame:
+    """Valid canonical records of a raw stream (T1); with `keep_rejected` all records, with
+    the reason for those that a sink has to set aside.
+
+    A stream has no row number, so a missing id is the whole digest of the record's content:
+    a record that is delivered twice gets the same id and counts as a duplicate.
     """
     content = F.sha2(F.to_json(F.struct(*[f.name for f in schemas.RAW.fields])), 256)
-    raw = stream.withColumn("row_idx", F.substring(content, 1, 16))
+    raw = stream.withColumn("row_idx", content)
     rows = nz.canonical_rows(raw, replace(cfg, synthesize=False), None, F.current_timestamp())
+    if keep_rejected:
+        return rows.select(*nz.RECORD_COLUMNS, "response_status", "error_code", "reject_reason")
     valid = rows.where(F.col("reject_reason").isNull())
     return valid.select(*nz.RECORD_COLUMNS, "response_status", "error_code")
 
@@ -80,8 +86,9 @@ class AssignmentSink:
     """Sink that assigns classified records to scenarios and stores all results.
 
     `classify` adds task_type, confidence and embedding to a batch. Every output is a batch
-    of its own table under the batch id, and inputs are read as of before that id, so a
-    repeated batch replaces itself with the same content.
+    of its own table under the query and batch id, and inputs are read as of before that id,
+    so a repeated batch replaces itself. Vectors are stored too, for a later recompute. Rows
+    with a `reject_reason` are kept in the table `rejected` and counted.
     """
 
     tables: Tables
@@ -92,6 +99,11 @@ class AssignmentSink:
         t = self.tables
         stored = t.read("assignments", schemas.ASSIGNMENTS, before=batch_id)
         incoming = cut_lineage(batch)
+        rejected = None
+        if "reject_reason" in incoming.columns:
+            rejected = incoming.where(F.col("reject_reason").isNotNull())
+            t.write_batch("rejected", rejected, batch_id)
+            incoming = incoming.where(F.col("reject_reason").isNull())
         fresh = keyed.append_new(incoming, stored, schemas.KEYS, ["timestamp"])
         typed = cut_lineage(self.classify(fresh))
         state = t.snapshot("centroids", CENTROIDS, before=batch_id)
@@ -115,17 +127,26 @@ class AssignmentSink:
             now.alias("updated_at"),
         )
         t.write_batch("assignments", rows, batch_id)
-        t.write_batch("ingest_counters", self._counters(incoming, result.rows), batch_id)
+        vectors = result.rows.select(
+            "request_id", "task_type", "scenario_id", "source_id", "query_text",
+            F.col("embedding").cast("array<float>").alias("embedding"), F.lit(False).alias("is_outlier"),
+        )
+        t.write_batch("vectors", vectors, batch_id)
+        t.write_batch("ingest_counters", self._counters(incoming, result.rows, rejected), batch_id)
         t.write_batch("centroids", result.centroids.select(*CENTROIDS.fieldNames()), batch_id)
 
     @staticmethod
-    def _counters(incoming: DataFrame, rows: DataFrame) -> DataFrame:
-        seen = incoming.groupBy("source_id").agg(F.count(F.lit(1)).alias("seen"))
-        done = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("done"))
-        n = F.coalesce("done", F.lit(0))
-        return seen.join(done, "source_id", "left").select(
-            "source_id", n.alias("accepted"), n.alias("classified"), n.alias("assigned"),
-            F.lit(0).cast("bigint").alias("rejected"), (F.col("seen") - n).alias("duplicates"),
+    def _counters(incoming: DataFrame, rows: DataFrame, rejected: DataFrame | None) -> DataFrame:
+        def tagged(df: DataFrame, kind: str) -> DataFrame:
+            return df.select("source_id", F.lit(kind).alias("kind"))
+
+        events = tagged(incoming, "seen").unionByName(tagged(rows, "done"))
+        if rejected is not None:
+            events = events.unionByName(tagged(rejected, "rejected"))
+        count = {k: F.count_if(F.col("kind") == k) for k in ("seen", "done", "rejected")}
+        return events.groupBy("source_id").agg(
+            count["done"].alias("accepted"), count["done"].alias("classified"), count["done"].alias("assigned"),
+            count["rejected"].alias("rejected"), (count["seen"] - count["done"]).alias("duplicates"),
         )
 
 
