@@ -2,7 +2,8 @@
 
 Reference vectors (centroids, queries) are broadcast only after their byte size was
 measured; past the limit the same result comes from a salted block join. Distances are
-matrix products inside Arrow batches.
+matrix products inside Arrow batches, in tiles of bounded rows times references, so a task's
+memory does not depend on how many references there are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from agentlog.functions.text import fingerprint
@@ -20,6 +22,8 @@ from agentlog.functions.vectors import plain, stack, unit_rows
 
 BROADCAST_BYTES = 64 << 20
 ROWS_PER_BLOCK = 20_000
+#: Rows and references of one tile of a similarity matrix: 32 MB of doubles.
+TILE_ROWS, TILE_REFS = 1024, 4096
 
 Embedder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
@@ -60,14 +64,34 @@ def _group_matrices(pdf: pd.DataFrame, dim: int) -> dict[str, _Group]:
     return groups
 
 
-def _similarities(vec: pd.Series, grp: pd.Series, groups: dict[str, _Group], dim: int):
-    """Yield (row positions, group, similarity matrix) for the groups of a batch."""
+def _tiles(rows: np.ndarray, refs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first reference, similarities) of every tile, references innermost."""
+    for r in range(0, len(rows), TILE_ROWS):
+        for c in range(0, len(refs), TILE_REFS):
+            yield r, c, rows[r : r + TILE_ROWS] @ refs[c : c + TILE_REFS].T
+
+
+def _by_group(vec: pd.Series, grp: pd.Series, groups: dict[str, _Group], dim: int):
+    """Yield (row positions, unit rows, group) for the groups of a batch."""
     rows = unit_rows(stack(vec, dim))
     names = grp.to_numpy()
     for name in pd.unique(grp.dropna()):
         if name in groups:
             at = np.flatnonzero(names == name)
-            yield at, groups[name], rows[at] @ groups[name].matrix.T
+            yield at, rows[at], groups[name]
+
+
+def _best_of(rows: np.ndarray, group: _Group) -> tuple[np.ndarray, np.ndarray]:
+    """Position and similarity of each row's best reference; ties go to the first."""
+    best, sim = np.zeros(len(rows), np.int64), np.full(len(rows), -np.inf)
+    for r, c, sims in _tiles(rows, group.matrix):
+        top = sims.argmax(axis=1)
+        value = sims[np.arange(len(sims)), top]
+        here = slice(r, r + len(sims))
+        better = value > sim[here]
+        best[here] = np.where(better, top + c, best[here])
+        sim[here] = np.where(better, value, sim[here])
+    return best, sim
 
 
 def _tidy_refs(refs: DataFrame, on: str | None, ref_id: str, ref_vec: str) -> DataFrame:
@@ -106,10 +130,9 @@ def nearest(
     def best(vectors: pd.Series, grp: pd.Series) -> pd.DataFrame:
         ref = np.full(len(vectors), None, dtype=object)
         sim = np.full(len(vectors), np.nan)
-        for at, group, sims in _similarities(vectors, grp, shared.value, dim):
-            top = sims.argmax(axis=1)
+        for at, rows, group in _by_group(vectors, grp, shared.value, dim):
+            top, sim[at] = _best_of(rows, group)
             ref[at] = np.asarray(group.ids, dtype=object)[top]
-            sim[at] = sims[np.arange(len(at)), top]
         return pd.DataFrame({"ref": ref, "sim": sim})
 
     grp = F.col(on) if on else F.lit("*")
@@ -148,14 +171,14 @@ def _nearest_blocks(
             return pd.DataFrame()
         found = []
         groups = _group_matrices(right, dim)
-        for at, group, sims in _similarities(left["vec"], left["grp"], groups, dim):
-            top = sims.argmax(axis=1)
+        for at, rows, group in _by_group(left["vec"], left["grp"], groups, dim):
+            top, sim = _best_of(rows, group)
             found.append(
                 pd.DataFrame(
                     {
                         "key": left["key"].to_numpy()[at],
                         "ref": np.asarray(group.ids, dtype=object)[top],
-                        "neg": -sims[np.arange(len(at)), top],
+                        "neg": -sim,
                     }
                 )
             )
@@ -195,13 +218,26 @@ def pairs_above(
         return halves[0].unionByName(halves[1])
     shared = v.sparkSession.sparkContext.broadcast(_group_matrices(tidy.toPandas(), dim) if n else {})
 
-    @F.pandas_udf(T.ArrayType(_BEST))
-    def above(vectors: pd.Series, grp: pd.Series) -> pd.Series:
-        out: list[list[dict]] = [[] for _ in range(len(vectors))]
-        for at, group, sims in _similarities(vectors, grp, shared.value, dim):
-            for i, j in zip(*np.nonzero(sims >= threshold)):
-                out[at[i]].append({"ref": group.ids[j], "sim": float(sims[i, j])})
-        return pd.Series(out)
+    hit_type = pa.struct([("ref", pa.string()), ("sim", pa.float64())])
+
+    @F.arrow_udf(T.ArrayType(_BEST))
+    def above(vectors: pa.Array, grp: pa.Array) -> pa.Array:
+        row, ref, sim = [np.zeros(0, np.int64)], [np.zeros(0, object)], [np.zeros(0)]
+        for at, rows, group in _by_group(vectors.to_pandas(), grp.to_pandas(), shared.value, dim):
+            names = np.asarray(group.ids, dtype=object)
+            for r, c, sims in _tiles(rows, group.matrix):
+                i, j = np.nonzero(sims >= threshold)
+                row.append(at[r + i])
+                ref.append(names[c + j])
+                sim.append(sims[i, j])
+        row = np.concatenate(row)
+        order = np.argsort(row, kind="stable")
+        ends = np.cumsum(np.bincount(row, minlength=len(vectors)))
+        values = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(ref)[order], pa.string()), pa.array(np.concatenate(sim)[order])],
+            fields=list(hit_type),
+        )
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), values)
 
     hits = v.withColumn("__hit", F.explode(above(F.col(vec), F.col(on))))
     return hits.withColumn("ref", F.col("__hit.ref")).withColumn("sim", F.col("__hit.sim")).drop("__hit")
@@ -240,23 +276,42 @@ def vector_search(
     floor = -math.inf if score_threshold is None else score_threshold
 
     def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame | None] = [None] * len(ids)
+        none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, "U1"))
+        best = none  # query, score, request of the k best so far
         least = np.full(len(ids), floor)  # a row below this cannot enter the k best any more
         for pdf in batches:
-            sims = unit_rows(stack(pdf["embedding"], dim)) @ shared.value.T
-            for q in np.flatnonzero((sims >= least).any(axis=0)):
-                at = np.flatnonzero(sims[:, q] >= least[q])
-                found = pd.DataFrame({"request_id": pdf["request_id"].to_numpy()[at], "score": sims[at, q]})
-                both = found if best[q] is None else pd.concat([best[q], found])
-                best[q] = both.sort_values(["score", "request_id"], ascending=[False, True]).head(k)
-                if len(best[q]) == k:
-                    least[q] = best[q]["score"].iloc[-1]
-        for q, rows in enumerate(best):
-            if rows is not None and len(rows):
-                yield plain(rows.assign(query_id=ids[q])[["query_id", "request_id", "score"]])
+            rows = unit_rows(stack(pdf["embedding"], dim))
+            names = pdf["request_id"].to_numpy().astype(str)
+            for r, c, sims in _tiles(rows, shared.value):
+                bar = least[c : c + sims.shape[1]]
+                if len(sims) > k:
+                    bar = np.maximum(bar, np.partition(sims, len(sims) - k, axis=0)[len(sims) - k])
+                i, q = np.nonzero(sims >= bar)
+                if len(q):
+                    best = _keep_best(
+                        np.r_[best[0], q + c], np.r_[best[1], sims[i, q]], np.r_[best[2], names[r + i]], k
+                    )
+                    last = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True])
+                    full = np.diff(np.r_[-1, last]) == k
+                    least[best[0][last[full]]] = best[1][last[full]]
+        if len(best[0]):
+            query = np.asarray(ids, dtype=object)[best[0]]
+            yield pd.DataFrame({"query_id": query, "request_id": best[2].astype(object), "score": best[1]})
 
     found = v.select("request_id", "embedding").mapInPandas(
         top, "query_id string, request_id string, score double"
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "request_id")
     return found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+
+
+def _keep_best(
+    query: np.ndarray, score: np.ndarray, name: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of every query, best first, ties by name."""
+    order = np.lexsort((name, -score, query))
+    query = query[order]
+    first = np.r_[True, query[1:] != query[:-1]]
+    rank = np.arange(len(query)) - np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
+    kept = order[rank < k]
+    return query[rank < k], score[kept], name[kept]
