@@ -135,6 +135,6 @@ class ScenarioConfig:
     bits_per_level: int = 8
     levels: int = 3
     seed: int = 42
-    reduce_dims: int = 64
+    reduce_dims: int | None = None  # project on so many principal components
     examples: int = 10
     boundary: int = 2

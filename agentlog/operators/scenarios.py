@@ -3,9 +3,11 @@
 Discovery is density clustering on direction cells. Rows are hashed to cells by the signs
 of random projections; cells carry a count and a mean vector, which aggregate map-side, so
 the number of rows in a class or a cell never matters. Cells of mixed directions are split
-by more bits. Only cells that hold at least 1/max_cells of their class are linked, so at
-most max_cells per class enter the linking task. Rows then join the cluster of their most
-similar linked cell; rows close to none are outliers.
+by more bits. Only cells that hold at least 1/max_cells of the rows searched are linked, so
+at most max_cells per class enter the linking task; then the rows close to no linked cell
+are searched again on their own, until a round finds nothing. So a small scenario is found
+however large the others are. Rows join the cluster of their most similar linked cell; rows
+close to none are outliers.
 """
 
 from __future__ import annotations
@@ -49,9 +51,9 @@ def effective_sizes(n: Column, cfg: ScenarioConfig) -> tuple[Column, Column]:
 
 
 def _reduced(v: DataFrame, dim: int, cfg: ScenarioConfig) -> tuple[DataFrame, int]:
-    """Vectors in a column `__x`, projected on principal components when they are long."""
+    """Vectors in a column `__x`, projected on principal components if the caller asks."""
     dense = F.col("embedding").cast("array<double>")
-    if dim <= cfg.reduce_dims:
+    if cfg.reduce_dims is None or dim <= cfg.reduce_dims:
         return v.withColumn("__x", dense), dim
     with_vector = v.withColumn("__in", array_to_vector(dense))
     model = PCA(k=cfg.reduce_dims, inputCol="__in", outputCol="__out").fit(with_vector)
@@ -154,23 +156,11 @@ def discover_scenarios(v: DataFrame, cfg: ScenarioConfig = ScenarioConfig()) ->
     sizes = cut_lineage(
         sizes.withColumn("min_size", min_size).withColumn("min_samples", min_samples)
     )
-    big = sizes.where(F.col("size") >= cfg.min_cluster_size)
-    # n · max_cells >= size holds for at most max_cells cells of a class.
-    dense = (
-        direction_cells(rows, reduced, cfg)
-        .join(big, "task_type")
-        .where(F.col("n") * F.lit(max_cells) >= F.col("size"))
-    )
-    linked = cut_lineage(
-        dense.groupBy("task_type").applyInPandas(
-            _link(cfg), "task_type string, label long, center array<double>"
-        )
-    )
-    refs = linked.withColumn("label", F.format_string("%06d", "label"))
+    refs = _linked_cells(rows, sizes, reduced, max_cells, cfg)
     near = nearest(rows, refs, vec="__x", ref_id="label", ref_vec="center")
     joined = F.col("best_sim") >= cfg.link_similarity
     # Not stored: a second pass over the vectors costs less than writing all of them.
-    found = near.withColumn("raw", F.when(joined, F.col("best_ref").cast("bigint"))).drop(
+    found = near.withColumn("raw", F.when(joined, F.col("best_ref"))).drop(
         "__x", "best_ref", "best_sim"
     )
 
@@ -206,6 +196,46 @@ def discover_scenarios(v: DataFrame, cfg: ScenarioConfig = ScenarioConfig()) ->
     return Discovery(with_scenario_ids(labelled), types)
 
 
+def _linked_cells(
+    rows: DataFrame, sizes: DataFrame, dim: int, max_cells: int, cfg: ScenarioConfig
+) -> DataFrame:
+    """Labelled cells (task_type, label, center) of all rounds of the search.
+
+    A round searches the rows that no cell so far is similar to. It ends the search when it
+    links nothing, or when its cells take no row.
+    """
+    refs: DataFrame | None = None
+    left, before, turn = rows, None, 0
+    while True:
+        open_rows = left.groupBy("task_type").agg(F.count(F.lit(1)).alias("open")).join(
+            sizes, "task_type"
+        )
+        searched = cut_lineage(
+            open_rows.where((F.col("size") >= cfg.min_cluster_size) & (F.col("open") >= F.col("min_size")))
+        )
+        count = searched.agg(F.coalesce(F.sum("open"), F.lit(0))).first()[0]
+        if refs is not None and (count == 0 or count == before):
+            return refs
+        # n * max_cells >= open holds for at most max_cells cells of a class.
+        dense = (
+            direction_cells(left, dim, cfg)
+            .join(searched, "task_type")
+            .where(F.col("n") * F.lit(max_cells) >= F.col("open"))
+        )
+        linked = dense.groupBy("task_type").applyInPandas(
+            _link(cfg), "task_type string, label long, center array<double>"
+        )
+        found = cut_lineage(
+            linked.withColumn("label", F.format_string("%06d_%06d", F.lit(turn), "label"))
+        )
+        if refs is not None and found.isEmpty():
+            return refs
+        refs = found if refs is None else refs.unionByName(found)
+        near = nearest(rows, refs, vec="__x", ref_id="label", ref_vec="center")
+        close = F.coalesce(F.col("best_sim") >= cfg.link_similarity, F.lit(False))
+        left, before, turn = near.where(~close).drop("best_ref", "best_sim"), count, turn + 1
+
+
 def with_scenario_ids(labelled: DataFrame) -> DataFrame:
     """scenario_id and is_outlier of a label column."""
     out = labelled.withColumn("is_outlier", F.col("label") < 0)

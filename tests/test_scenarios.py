@@ -238,3 +238,23 @@ def test_recompute_twice_keeps_ids_and_reuses_them(spark):
     assert ids(third) == kept
     run = third.run.first()
     assert (run.status, run.clusters_created, run.scenarios_named, run.logs_at_completion) == ("completed", 2, 2, 80)
+
+
+def test_small_scenario_beside_a_large_one(spark):
+    """Ten rows of one direction are a scenario beside thousands of others."""
+    rng = np.random.default_rng(5)
+    axes = np.linalg.qr(rng.standard_normal((16, 16)))[0]
+
+    def rows(name, axis, n):
+        return [
+            (f"{name}{i}", "T", [float(x) for x in axes[axis] + 0.02 * rng.standard_normal(16)])
+            for i in range(n)
+        ]
+
+    data = rows("a", 0, 20_000) + rows("b", 1, 20_000) + rows("c", 2, 10)
+    df = spark.createDataFrame(data, "request_id string, task_type string, embedding array<double>")
+    found = sc.discover_scenarios(df).rows
+    small = found.where("request_id LIKE 'c%'")
+    assert small.select("scenario_id").distinct().count() == 1
+    assert small.where("is_outlier").count() == 0
+    assert found.select("scenario_id").distinct().count() == 3
