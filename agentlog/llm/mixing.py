@@ -46,20 +46,15 @@ def source_targets(
     level = running_totals(
         weighed, ["__ratio", "__rank"], {"__caps_before": "__cap", "__weight_before": "__weight"}
     )
-    all_of = level.agg(
-        F.sum("source_size").alias("__total"), F.sum("__weight").alias("__all_weight")
-    )
-    level = level.crossJoin(F.broadcast(all_of))  # one row
-    rest = (F.col("__total") * share - F.col("__caps_before")) / (
-        F.col("__all_weight") - F.col("__weight_before")
+    total, weight = level.agg(F.sum("source_size"), F.sum("__weight")).head()  # two numbers
+    rest = (F.lit((total or 0) * share) - F.col("__caps_before")) / (
+        F.lit(weight or 0) - F.col("__weight_before")
     )
     below = level.withColumn("__rest", rest).filter("__ratio >= __rest")
-    first = below.agg(F.min_by("__rest", F.struct("__ratio", "__rank")).alias("__level"))
-    target = F.least(F.col("__cap").cast("double"), F.col("__weight") * F.col("__level"))
-    return level.crossJoin(F.broadcast(first)).select(  # one row
-        "__source", "source_size",
-        F.coalesce(target, F.col("__cap").cast("double")).alias("target"),
-    )
+    first = below.agg(F.min_by("__rest", F.struct("__ratio", "__rank"))).head()[0]  # one number
+    cap = F.col("__cap").cast("double")
+    target = cap if first is None else F.least(cap, F.col("__weight") * F.lit(float(first)))
+    return level.select("__source", "source_size", target.alias("target"))
 
 
 def mix(
