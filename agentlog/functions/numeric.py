@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from agentlog.functions.text import strip
+
 MINUTES_TYPE = "decimal(18,4)"
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -29,7 +31,7 @@ def safe_div(a: Column, b: Column) -> Column:
 
 def parse_double(c: Column) -> Column:
     """Text to double; anything that is not a plain finite number becomes null."""
-    text = F.trim(c.cast("string"))
+    text = strip(c.cast("string"))
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 

@@ -12,6 +12,7 @@ from agentlog.config import AggConfig
 from agentlog.functions.numeric import percent, round_to, safe_div
 from agentlog.functions.records import FAILED_RESPONSES
 from agentlog.functions.taxonomy import OTHER, UNKNOWN, filled, label
+from agentlog.functions.text import strip
 from agentlog.operators.joins import share
 from agentlog.session import cut_lineage
 
@@ -194,7 +195,7 @@ def _col(df: DataFrame, name: str, kind: str) -> Column:
 def with_bare_signals(df: DataFrame) -> DataFrame:
     """Adds `signals` (bare codes) and `has_quality_field` to every record."""
     status = F.lower(_col(df, "response_status", "string"))
-    code = F.trim(_col(df, "error_code", "string"))
+    code = strip(_col(df, "error_code", "string"))
     feedback = _col(df, "user_feedback", "int").try_cast("int")
     retries = _col(df, "retry_count", "int").try_cast("int")
     listed = F.coalesce(
