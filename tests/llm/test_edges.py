@@ -247,6 +247,23 @@ def test_fuzzy_lines_and_removal(spark):
     assert out == {1: f"{line}\nunique one here", 2: "\nsecond text"}
 
 
+def test_long_words_are_read_to_their_end(spark):
+    """Lines of times, numbers and texts without spaces: classes equal those of all pairs by
+    shingles of every character."""
+    texts = ["2024-01-15T10:22", "2024-01-15T23:59", "user_00000000001", "user_00000000002", "user_00000000002 ok"]
+    texts += ["一二三四五六七八九十甲乙丙", "一二三四五六七八九十丁戊己庚", "一二三四五六七八九十"]
+    texts += [f"https://example.org/path/item-{x}" for x in ("aaaaaa", "bbbbbb")]
+    texts += [f"{'0123456789' * 6}{x}" for x in "ab"]
+    texts += ["time 2024-01-15T10:22 by user_00000000001", "time 2024-01-15T23:59 by user_00000000001"]
+    sets = [{t[i : i + 10] for i in range(max(1, len(t) - 9))} for t in texts]
+    expected = [
+        next(a for a in range(b + 1) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])) for b in range(len(sets))
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in lines.line_classes(df).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_urls(spark):
     rules = [urls.Rule("com", "/", "allow"), urls.Rule("bad.com", "/x/", "block")]
     pages = spark.createDataFrame(
