@@ -2,12 +2,13 @@
 
 Pages of one host share a template. Every page's tree is aligned with one page of its host by
 simple tree matching; places that hold the same text on nearly all pages are template,
-places that vary are content. Regions that are never article (menus, notices, forms) are
+places that vary, few pages have or an article element holds are content. Regions that are never article (menus, notices, forms) are
 left out by their tags and names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -236,7 +237,8 @@ def noisy_attributes(attrs: str) -> bool:
 
 def main_text(page: Node, template: set[int]) -> str:
     """Blocks of the article, joined by blank lines. `template` holds the ids (`id()`) of
-    text leaves that the wrapper found constant."""
+    text leaves that the wrapper found constant; inside an article element they count as
+    content all the same."""
     holds: dict[int, bool] = {}  # whether an element holds an article or a main heading
     order, todo = [], [page]
     while todo:
@@ -268,7 +270,7 @@ def main_text(page: Node, template: set[int]) -> str:
         if n.tag == "#text":
             if inside:
                 run.append(n.text)
-                if id(n) in template:
+                if not has_article and id(n) in template:
                     constant.append(n.text)
             continue
         if n.tag in NOISE_TAGS or (n.tag == "header" and not (inside and has_article)):
@@ -288,10 +290,6 @@ def main_text(page: Node, template: set[int]) -> str:
             stack.append((n, inside, True))
         stack.extend((c, inside, False) for c in reversed(n.children))
     flush()
-    # where most of an article is constant, its pages are copies and not a template
-    lost = sum(len(b) for b, m in zip(blocks, marked) if m)
-    if has_article and 2 * lost > sum(map(len, blocks)):
-        marked = [False] * len(blocks)
     return "\n\n".join(b for b, m in zip(blocks, marked) if not m)
 
 
@@ -315,7 +313,13 @@ class Wrappers:
     """Parsed reference pages of the hosts a task meets, and the shared matcher."""
 
     def __init__(self) -> None:
-        self.matcher, self.trees = Matcher(), {}
+        self.matcher, self.trees, self.articles = Matcher(), {}, {}
+
+    def article(self, host: str) -> str:
+        """The main text of the aligned reference page, template included."""
+        if host not in self.articles:
+            self.articles[host] = main_text(self.trees[host], set())
+        return self.articles[host]
 
     def align(self, host: str, reference: str, html: str) -> tuple[Node, list[tuple[int, Node, bool]]]:
         """The page's tree, and for every matched text leaf: its number in the reference,
@@ -326,6 +330,7 @@ class Wrappers:
                 if tree is None:
                     if len(self.trees) >= 256:
                         self.trees.clear()
+                        self.articles.clear()
                     tree = self.trees[host] = parse(reference)
                     self.matcher.measure(tree)
                     for no, leaf in enumerate(leaves_of(tree)):
@@ -341,18 +346,19 @@ class Wrappers:
 
 def extract(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    min_pages: int = 3, min_equal: float = 0.8,
+    min_pages: int = 3, min_equal: float = 0.8, min_share: float = 0.5,
 ) -> DataFrame:
     """All rows and columns of `pages` with text, the main text of the whole html.
 
     Null and empty html give an empty text; pages without a host are one group. A place of
     the host's reference page (its smallest id) is template when at least `min_pages` other
-    pages have it and `min_equal` of them hold the same text. Copies of the reference do not
-    vote. Repeated rows get equal texts; an empty table gives an empty result; a column
-    named text is replaced.
+    pages and `min_share` of those that vote have it, and `min_equal` of these hold the same
+    text. Pages of one main text have one vote, those of the reference's text none. Repeated
+    rows get equal texts; an empty table gives an empty result; a column named text is
+    replaced.
 
-    The vote is counted in the tasks and summed, so a host of any size is a few numbers per
-    task; the reference page is the only html that travels with the rows.
+    Copies are reduced to one vote in the tasks first, then votes are counted in the tasks
+    and summed; the reference page is the only html that travels with the rows.
     """
     pages = pages.drop("text")
     host = fresh(pages, "__host")
@@ -365,30 +371,44 @@ def extract(
         "references",
     )
     votes_type = T.StructType(
-        [T.StructField("host", T.StringType())]
-        + [T.StructField(c, T.LongType()) for c in ("leaf", "matched", "equal")]
+        [
+            T.StructField("host", T.StringType()), T.StructField("article", T.BinaryType()),
+            T.StructField("leaves", T.ArrayType(T.IntegerType())),
+        ]
     )
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each page's host, hash of its main text, and the reference's leaves it has: twice
+        the number, and one more where the text is equal."""
         wrappers = Wrappers()
         for batch in batches:
-            counts: dict[tuple[str, int], list[int]] = {}
+            rows = []
             for name, reference, page in zip(*(c.to_pylist() for c in batch.columns)):
-                for leaf, _, equal in wrappers.align(name, reference, page)[1]:
-                    count = counts.setdefault((name, leaf), [0, 0])
-                    count[0] += 1
-                    count[1] += equal
-            rows = [(h, leaf, *c) for (h, leaf), c in counts.items()]
+                tree, leaves = wrappers.align(name, reference, page)
+                article = main_text(tree, set())
+                if article != wrappers.article(name):
+                    digest = hashlib.md5(article.encode("utf-8", "surrogatepass")).digest()
+                    rows.append((name, digest, [2 * leaf + equal for leaf, _, equal in leaves]))
+            types = (pa.string(), pa.binary(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), *[pa.int64()] * 3))],
-                names=votes_type.names,
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=votes_type.names
             )
 
-    voters = hosted.join(references, host).filter(html != F.col("__reference"))
-    votes = voters.select(host, "__reference", html.alias("html")).mapInArrow(vote, votes_type)
+    others = hosted.join(references, host).filter(html != F.col("__reference"))
+    voters = store(
+        others.select(host, "__reference", html.alias("html")).mapInArrow(vote, votes_type)
+        .groupBy("host", "article").agg(F.min("leaves").alias("leaves")),
+        "voters",
+    )
+    votes = voters.select("host", F.explode("leaves").alias("leaf")).groupBy(
+        "host", F.shiftright("leaf", 1).alias("leaf")
+    ).agg(F.count(F.lit(1)).alias("matched"), F.sum(F.col("leaf").bitwiseAND(1)).alias("equal"))
     template = (
-        votes.groupBy("host", "leaf").agg(F.sum("matched").alias("matched"), F.sum("equal").alias("equal"))
-        .filter((F.col("matched") >= min_pages) & (F.col("equal") >= min_equal * F.col("matched")))
+        votes.join(voters.groupBy("host").agg(F.count(F.lit(1)).alias("voters")), "host")
+        .filter(
+            (F.col("matched") >= min_pages) & (F.col("matched") >= min_share * F.col("voters"))
+            & (F.col("equal") >= min_equal * F.col("matched"))
+        )
         .groupBy(F.col("host").alias(host)).agg(F.collect_list("leaf").alias("__template"))
     )
     wrappers = store(references.join(template, host, "left"), "wrappers")

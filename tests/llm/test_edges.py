@@ -307,6 +307,23 @@ def test_wrapper(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_copies_of_a_long_page_are_no_template(spark, tag):
+    """A reference of 16 paragraphs, four copies with another advert, many shorter pages."""
+
+    def page(advert, blocks):
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        return f"<html><body><div>Site name</div><{tag}>{body}</{tag}><div>{advert}</div></body></html>"
+
+    long = [f"Long paragraph {k}." for k in range(16)]
+    blocks = {i: long for i in range(5)}
+    blocks |= {i: [f"Page {i} paragraph {k}." for k in range(3 + i % 8)] for i in range(5, 60)}
+    df = spark.createDataFrame([(i, "http://h.org/a", page(f"Advert {i}", b)) for i, b in blocks.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in html.extract(df).collect()}
+    advert = (lambda i: []) if tag == "article" else (lambda i: [f"Advert {i}"])
+    assert got == {i: b + advert(i) for i, b in blocks.items()}
+
+
 def test_main_text_regions():
     page = html.parse(
         '<body class="has-sidebar"><header><h1>Site</h1></header><nav>menu</nav><main><article><header><h1>T</h1></header>'
