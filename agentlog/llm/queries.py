@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from agentlog.llm import exact, html, lines, mixing, neardup, packing, quality, secrets, sharding, urls
+from agentlog.llm import (
+    exact, html, lines, mining, mixing, neardup, packing, quality, secrets, sharding, tokenfile, trie, urls,
+)
 from agentlog.llm.common import store, text_or_empty, word_count
+from agentlog.session import shared_folder
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,3 +292,93 @@ def op9_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_fuzzy_lines")
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_classes(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of a decimal number's digits, a bit at a time.
+_CRC_SQL = """xor(list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda x, y: list_reduce(
+    [xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, b: xor(a >> 1, 3988292384::BIGINT * (a & 1)))), 4294967295::BIGINT)"""
+
+
+@query(
+    "op11_prefix_trie",
+    rf"""
+    WITH t AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[:32] AS key, turn
+      FROM conversations WHERE conv_id IS NOT NULL
+    ), o AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) - 1 AS pos,
+             strlen(text) AS bytes
+      FROM t
+    ), n AS (SELECT conv_id, count(*) AS own, conv_id - conv_id % 5 AS donor FROM o GROUP BY conv_id
+    ), h AS (
+      SELECT a.conv_id, a.donor, a.own, {_CRC_SQL.format("a.conv_id")} % 9 AS h, coalesce(b.own, 0) AS n_donor
+      FROM n a LEFT JOIN n b ON a.donor = b.conv_id
+    ), r AS (
+      SELECT h.conv_id AS c, o.pos, key, bytes FROM h JOIN o ON o.conv_id = h.donor AND o.pos < h
+      UNION ALL
+      SELECT h.conv_id, o.pos - h + least(h, n_donor), key, bytes FROM h JOIN o ON o.conv_id = h.conv_id AND o.pos >= h
+    ), m AS (
+      SELECT c, pos + 1 AS depth, bytes, string_agg(key, '') OVER (PARTITION BY c ORDER BY pos) AS path FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM h
+    ), total AS (SELECT conv_id AS c, least(h, n_donor) + greatest(own - h, 0) AS n FROM h
+    ), node AS (
+      SELECT path, depth, any_value(bytes) AS bytes, min(m.c) AS conv_id, count(*) AS n_convs,
+             string_agg(m.c::VARCHAR, ',' ORDER BY m.c) FILTER (total.n = depth) AS ends
+      FROM m JOIN total USING (c) GROUP BY path, depth
+    ), child AS (
+      SELECT left(path, length(path) - 32) AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1
+    ), below AS (
+      SELECT m.path, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * u.bytes)::BIGINT AS saved
+      FROM node u LEFT JOIN child USING (path) JOIN m ON m.c = u.conv_id AND m.depth <= u.depth
+      GROUP BY m.path
+    )
+    SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children,
+           n_leaves, saved AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+    FROM node v LEFT JOIN child USING (path) JOIN below ON v.path = below.path
+    LEFT JOIN node p ON v.depth > 0 AND p.path = left(v.path, length(v.path) - 32)
+    """,
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END::BIGINT AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+    ), s AS (
+      SELECT a.vec_id AS anchor, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+    ), p AS (
+      SELECT * FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT p.anchor AS anchor_id, p.vec_id AS positive_id,
+           row_number() OVER w::INTEGER AS rank, s.vec_id AS negative_id,
+           p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same
+      AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+    WINDOW w AS (PARTITION BY p.anchor, p.vec_id ORDER BY s.score DESC, s.vec_id)
+    QUALIFY row_number() OVER w <= 10
+    """,
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
+@query("op13_token_files")
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/llm-token-files-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenfile.write_tokens(docs, path, WORD_VOCABULARY, end_id=1)
+    return tokenfile.read_tokens(spark, path)
