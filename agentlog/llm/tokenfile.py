@@ -34,8 +34,8 @@ PRECISION = 20
 LOWEST = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 MAGIC = b"RTK1"
-#: Magic, lanes, precision, sections, ids, code words.
-HEADER = struct.Struct("<4sHHIQQ")
+#: Magic, lanes, precision, sections, ids, code words, checksum of all that follows.
+HEADER = struct.Struct("<4sHHIQQI")
 #: First id, words before it and checksum of a section; the lanes' states follow.
 SECTION = struct.Struct("<QQII")
 
@@ -98,14 +98,15 @@ class Coder:
                 own = ids[row * lanes : (row + rows_of) * lanes]
                 marks.append((row * lanes, n_words, len(own), zlib.crc32(own.astype("<u4").tobytes()), state.copy()))
         code = np.concatenate(words)[::-1] if words else np.empty(0, np.uint32)
-        out = [HEADER.pack(MAGIC, lanes, self.precision, len(marks), len(ids), n_words)]
+        out = []
         for first, left, n, crc, states in reversed(marks):
             out += [SECTION.pack(first, n_words - left, n, crc), states.astype("<u8").tobytes()]
-        return b"".join([*out, code.astype("<u4").tobytes()])
+        body = b"".join([*out, code.astype("<u4").tobytes()])
+        return HEADER.pack(MAGIC, lanes, self.precision, len(marks), len(ids), n_words, zlib.crc32(body)) + body
 
     def decode(self, block: bytes, first: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids of the sections that overlap [first, stop), cut to it."""
-        magic, lanes, precision, n_sections, n_ids, n_words = HEADER.unpack_from(block)
+        magic, lanes, precision, n_sections, n_ids, n_words, crc_of_body = HEADER.unpack_from(block)
         if magic != MAGIC or precision != self.precision:
             raise ValueError("not a block of this format")
         stop = n_ids if stop is None else min(stop, n_ids)
@@ -113,6 +114,8 @@ class Coder:
         at = HEADER.size + n_sections * step
         if len(block) != at + 4 * n_words:
             raise ValueError("a block of the wrong length")
+        if zlib.crc32(memoryview(block)[HEADER.size :]) != crc_of_body:
+            raise ValueError("checksum of the block differs")
         code = np.frombuffer(block, "<u4", offset=at)
         out = []
         for no in range(n_sections):
