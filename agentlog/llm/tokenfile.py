@@ -27,8 +27,8 @@ from agentlog.llm.common import store
 from agentlog.llm.packing import encoder
 
 BLOCK_IDS = 1 << 18
-SECTION_IDS = 1 << 16
-LANES = 256
+SECTION_IDS = 1 << 17
+LANES = 512
 #: Frequencies sum up to 2^PRECISION; states stay in [2^31, 2^63) and shed 32-bit words.
 PRECISION = 20
 LOWEST = np.uint64(1 << 31)
@@ -85,15 +85,18 @@ class Coder:
         words: list[np.ndarray] = []
         n_words = 0
         marks = []
+        freq, below = self.freq[ids], self.below[ids]
+        limit, gap = self.limit * freq, (np.uint64(1) << self.shift) - freq
         for row in range(n_rows - 1, -1, -1):
-            part = ids[row * lanes : (row + 1) * lanes]
-            x, f, c = state[: len(part)], self.freq[part], self.below[part]
-            full = x >= self.limit * f
-            if full.any():
+            here = slice(row * lanes, min((row + 1) * lanes, len(ids)))
+            x = state[: here.stop - here.start]
+            full = np.flatnonzero(x >= limit[here])
+            if len(full):
                 words.append(x[full][::-1].astype(np.uint32))  # turned round with all words
-                n_words += len(words[-1])
-                x = np.where(full, x >> _WORD, x)
-            state[: len(part)] = ((x // f) << self.shift) + x % f + c
+                n_words += len(full)
+                x[full] >>= _WORD
+            # x // f * 2^precision + x % f + below
+            x += (x // freq[here]) * gap[here] + below[here]
             if row % rows_of == 0:
                 own = ids[row * lanes : (row + rows_of) * lanes]
                 marks.append((row * lanes, n_words, len(own), zlib.crc32(own.astype("<u4").tobytes()), state.copy()))
@@ -203,14 +206,21 @@ _BLOCK_ARROW = pa.schema(
 )
 
 
-def tokenised(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tie, ids): the ids of whole texts and `end_id`, as little-endian bytes.
+def id_type(n_ids: int) -> str:
+    """Little-endian numbers that hold all ids below `n_ids`."""
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
+
+
+def tokenised(
+    docs: DataFrame, vocabulary: str, end_id: int, kind: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, tie, ids): the ids of whole texts and `end_id`, as numbers of type `kind`.
     `tie` orders rows of equal id by their text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        tail = np.uint32(end_id).tobytes()
+        tail = np.array(end_id, kind).tobytes()
         for batch in batches:
-            ids = [encode(t.as_py() or "").astype("<u4").tobytes() + tail for t in batch.column(2)]
+            ids = [encode(t.as_py() or "").astype(kind).tobytes() + tail for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"]
             )
@@ -221,14 +231,14 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_
     ).mapInArrow(run, "doc_id long, tie long, ids binary")
 
 
-def id_counts(tokens: DataFrame, n_ids: int) -> np.ndarray:
+def id_counts(tokens: DataFrame, n_ids: int, kind: str) -> np.ndarray:
     """How often each id below `n_ids` occurs. Tasks count whole partitions; at most one row
     per id and task is shuffled, one per id reaches the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n_ids, np.int64)
         for batch in batches:
             ids = b"".join(x.as_buffer() for x in batch.column(0))
-            counts += np.bincount(np.frombuffer(ids, "<u4"), minlength=n_ids)
+            counts += np.bincount(np.frombuffer(ids, kind), minlength=n_ids)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
 
@@ -239,7 +249,7 @@ def id_counts(tokens: DataFrame, n_ids: int) -> np.ndarray:
     return counts
 
 
-def _blocks(freq, block_ids: int, section_ids: int, lanes: int):
+def _blocks(freq, kind: str, block_ids: int, section_ids: int, lanes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq.value, lanes=lanes)
         part = TaskContext.get().partitionId()
@@ -258,7 +268,7 @@ def _blocks(freq, block_ids: int, section_ids: int, lanes: int):
 
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                ids = np.frombuffer(ids.as_buffer(), "<u4")
+                ids = np.frombuffer(ids.as_buffer(), kind)
                 if row["n_ids"] == block_ids:
                     yield flush(n_docs)
                 row["doc_ids"].append(doc_id)
@@ -292,9 +302,10 @@ def write_tokens(
     of any length spans as many blocks as it needs. Other columns are ignored. An empty table
     writes no block. `vocabulary` must be readable on every executor.
     """
-    tokens = store(tokenised(docs, vocabulary, end_id, id_col, text_col), "tokens")
     n_ids = max(len(encoder(vocabulary).tokenizer.get_vocab(with_added_tokens=True)), end_id + 1)
-    freq = normalised(id_counts(tokens, n_ids))
+    kind = id_type(n_ids)
+    tokens = store(tokenised(docs, vocabulary, end_id, kind, id_col, text_col), "tokens")
+    freq = normalised(id_counts(tokens, n_ids, kind))
     spark = docs.sparkSession
     used = np.flatnonzero(freq)
     spark.createDataFrame(
@@ -302,7 +313,7 @@ def write_tokens(
     ).coalesce(1).write.parquet(f"{path}/frequencies")
     (
         tokens.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
-        .mapInArrow(_blocks(spark.sparkContext.broadcast(freq), block_ids, section_ids, lanes), BLOCK)
+        .mapInArrow(_blocks(spark.sparkContext.broadcast(freq), kind, block_ids, section_ids, lanes), BLOCK)
         .write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     )
 
