@@ -128,12 +128,16 @@ class ScenarioConfig:
     max_clusters: int = 5
     match_threshold: float = 0.75
     join_threshold: float = 0.85
-    # Cosine at which two dense cells belong together, and the least mean-vector
-    # length a cell may have before it counts as a mix of directions.
-    link_similarity: float = 0.75
-    cell_purity: float = 0.93
-    bits_per_level: int = 8
-    levels: int = 3
+    # Neighbour search: tables of direction cells, rows of a cell that choose its bits, rows
+    # compared with each other, neighbours kept per row and table.
+    hash_tables: int = 8
+    cell_rows: int = 256
+    block_rows: int = 512
+    neighbours: int = 8
+    # Share of a class's rows that may lie outside its radius, and the least length of the
+    # mean unit vector below which rows do not point one way.
+    radius_quantile: float = 0.05
+    coherence: float = 0.6
     seed: int = 42
     reduce_dims: int | None = None  # project on so many principal components
     examples: int = 10

@@ -37,7 +37,8 @@ def mean_vector(c: Column) -> Column:
 def unit(c: Column) -> Column:
     """The vector scaled to length 1; a zero vector stays as it is."""
     size = F.coalesce(F.nullif(norm(c), F.lit(0.0)), F.lit(1.0))
-    return F.transform(c, lambda x: x.cast("double") / size)
+    # the outer transform computes the length once per row, not once per component
+    return F.transform(F.array(size), lambda s: F.transform(c, lambda x: x.cast("double") / s))[0]
 
 
 def mean_pool(df: DataFrame, group: list[str], vec: str = "embedding") -> DataFrame:

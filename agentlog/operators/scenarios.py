@@ -1,13 +1,7 @@
 """Scenario discovery, capping, stable ids, representatives, online assignment, recompute.
 
-Discovery is density clustering on direction cells. Rows are hashed to cells by the signs
-of random projections; cells carry a count and a mean vector, which aggregate map-side, so
-the number of rows in a class or a cell never matters. Cells of mixed directions are split
-by more bits. Only cells that hold at least 1/max_cells of the rows searched are linked, so
-at most max_cells per class enter the linking task; then the rows close to no linked cell
-are searched again on their own, until a round finds nothing. So a small scenario is found
-however large the others are. Rows join the cluster of their most similar linked cell; rows
-close to none are outliers.
+Discovery is density clustering on a graph of neighbours (`density.py`): classes of any size
+and groups of any density, a small tight group beside large loose or shapeless ones.
 """
 
 from __future__ import annotations
@@ -20,24 +14,20 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agentlog.config import ScenarioConfig
 from agentlog.functions.ids import cluster_number, scenario_id, technical_name
 from agentlog.functions.taxonomy import UNKNOWN, filled
 from agentlog.functions.text import squash, strip
-from agentlog.functions.vectors import mean_vector, norm, plain, stack, unit_rows
+from agentlog.functions.vectors import mean_vector, plain, unit_rows
+from agentlog.operators.density import density_clusters, row_node
 from agentlog.operators.embedding import nearest, pairs_above, vector_search
 from agentlog.operators.joins import broadcast_checked, recompute_input
 from agentlog.operators.keyed import first_per
 from agentlog.operators.ranking import rank_within
 from agentlog.session import cut_lineage
 
-CELL_BYTES = 32 << 20
-MAX_CELLS = 1024
-MIN_CELLS = 64
-
 
 # --- discovery --------------------------------------------------------------------
 
@@ -61,75 +51,6 @@ def _reduced(v: DataFrame, dim: int, cfg: ScenarioConfig) -> tuple[DataFrame, in
     return out.drop("__in", "__out"), cfg.reduce_dims
 
 
-def _signature(dim: int, cfg: ScenarioConfig):
-    """UDF: struct(sig, unit vector) where sig packs the signs of all projections."""
-    bits = cfg.bits_per_level * cfg.levels
-    planes = np.random.default_rng(cfg.seed).standard_normal((dim, bits))
-    powers = (1 << np.arange(bits, dtype=np.int64))[::-1]
-
-    @F.pandas_udf("sig long, unit array<double>")
-    def sign(vectors: pd.Series) -> pd.DataFrame:
-        rows = unit_rows(stack(vectors, dim))
-        return pd.DataFrame({"sig": (rows @ planes > 0) @ powers, "unit": list(rows)})
-
-    return sign
-
-
-def direction_cells(v: DataFrame, dim: int, cfg: ScenarioConfig = ScenarioConfig()) -> DataFrame:
-    """Pure cells (task_type, sig, level, n, center): the coarsest pure one of each direction.
-
-    Coarser levels are rolled up from the finest one, so rows are read once.
-    """
-    signed = v.select("task_type", _signature(dim, cfg)(F.col("__x")).alias("s"))
-    fine = cut_lineage(
-        signed.groupBy("task_type", F.col("s.sig").alias("sig")).agg(
-            F.count(F.lit(1)).alias("n"), mean_vector(F.col("s.unit")).alias("center")
-        )
-    )
-    pure: DataFrame | None = None
-    for level in range(1, cfg.levels + 1):
-        shift = cfg.bits_per_level * (cfg.levels - level)
-        cells = fine.groupBy("task_type", F.shiftright("sig", shift).alias("sig")).agg(
-            F.sum("n").alias("total"),
-            vector_to_array(
-                Summarizer.mean(array_to_vector("center"), F.col("n").cast("double"))
-            ).alias("center"),
-        )
-        cells = cells.select("task_type", "sig", F.lit(level).alias("level"), F.col("total").alias("n"), "center")
-        good = cells.where(norm(F.col("center")) >= cfg.cell_purity)
-        if pure is not None:
-            # Leave out what lies inside a coarser pure cell.
-            for upper in range(1, level):
-                above = pure.where(F.col("level") == upper).select("task_type", F.col("sig").alias("__up"))
-                inside = F.shiftright("sig", cfg.bits_per_level * (level - upper))
-                good = good.withColumn("__up", inside).join(above, ["task_type", "__up"], "left_anti").drop("__up")
-        pure = good if pure is None else pure.unionByName(good)
-    return pure
-
-
-def _link(cfg: ScenarioConfig):
-    """Group function: connected dense cells of one class get a common label."""
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["level", "sig"]).reset_index(drop=True)
-        centers = unit_rows(np.array(pdf["center"].tolist(), dtype=np.float64))
-        near = centers @ centers.T >= cfg.link_similarity
-        core = near @ pdf["n"].to_numpy(dtype=np.float64) >= pdf["min_samples"].iloc[0]
-        label = np.arange(len(pdf))
-        linked = near & core[:, None] & core[None, :]
-        while True:  # smallest label among the neighbours until nothing changes
-            low = np.where(linked, label[None, :], len(pdf)).min(axis=1)
-            new = np.where(core, np.minimum(label, low), label)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        out = pdf.assign(label=label, center=list(centers))[core]
-        return plain(out[["task_type", "label", "center"]]) if len(out) else pd.DataFrame()
-
-    return link
-
-
 @dataclass(frozen=True)
 class Discovery:
     """Labelled rows (label -1 = outlier) and one row per class with its status."""
@@ -141,36 +62,25 @@ class Discovery:
 def discover_scenarios(v: DataFrame, cfg: ScenarioConfig = ScenarioConfig()) -> Discovery:
     """Scenario labels per class with the fallbacks for small or shapeless classes (M7).
 
-    `v` has request_id, task_type and embedding and is a stored table or close to one: its
-    vectors are read once per step and never shuffled or written. Adds label, scenario_id
-    and is_outlier.
+    `v` has request_id, task_type and embedding, perhaps source_id, and is a stored table or
+    close to one: its vectors are read a fixed number of times. Rows of equal keys count once
+    and get one label. Adds label, scenario_id and is_outlier.
     """
     v = v.withColumn("task_type", filled(F.col("task_type"), UNKNOWN))
-    shape = v.agg(F.max(F.size("embedding")).alias("d"), F.count_distinct("task_type").alias("t")).first()
-    dim, kinds = int(shape["d"] or 0), int(shape["t"] or 0)
-    rows, reduced = _reduced(v, dim, cfg)
-    max_cells = max(MIN_CELLS, min(MAX_CELLS, CELL_BYTES // max(1, 8 * reduced * kinds)))
-
-    sizes = v.groupBy("task_type").agg(F.count(F.lit(1)).alias("size"))
+    sizes = v.groupBy("task_type").agg(F.count(F.lit(1)).alias("size"), F.max(F.size("embedding")).alias("dim"))
     min_size, min_samples = effective_sizes(F.col("size"), cfg)
-    sizes = cut_lineage(
-        sizes.withColumn("min_size", min_size).withColumn("min_samples", min_samples)
-    )
-    refs = _linked_cells(rows, sizes, reduced, max_cells, cfg)
-    near = nearest(rows, refs, vec="__x", ref_id="label", ref_vec="center")
-    joined = F.col("best_sim") >= cfg.link_similarity
-    # Not stored: a second pass over the vectors costs less than writing all of them.
-    found = near.withColumn("raw", F.when(joined, F.col("best_ref"))).drop(
-        "__x", "best_ref", "best_sim"
-    )
+    sizes = cut_lineage(sizes.withColumn("min_size", min_size).withColumn("min_samples", min_samples))
+    dim = int(sizes.agg(F.max("dim")).first()[0] or 0)
+    rows, reduced = _reduced(v, dim, cfg)
+    keys = [c for c in ("source_id", "request_id") if c in v.columns]
+    rows = rows.withColumn("node", row_node(v, keys))
+    searched = sizes.drop("dim").where(F.col("size") >= cfg.min_cluster_size)
+    found = density_clusters(rows.select("task_type", "node", "__x"), searched, reduced, cfg)
 
-    counts = found.where(F.col("raw").isNotNull()).groupBy("task_type", "raw").agg(
-        F.count(F.lit(1)).alias("rows")
-    )
+    counts = found.groupBy("task_type", "raw").agg(F.count(F.lit(1)).alias("rows"))
     kept = counts.join(sizes, "task_type").where(F.col("rows") >= F.col("min_size"))
-    by_size = Window.partitionBy("task_type").orderBy(F.desc("rows"), "raw")  # at most max_cells rows
-    names = kept.withColumn("label", F.row_number().over(by_size).cast("bigint") - 1)
-    names = cut_lineage(names.select("task_type", "raw", "label"))
+    by_size = rank_within(kept.select("task_type", "raw", (-F.col("rows")).alias("order")), ["task_type"], ["order", "raw"], "label")
+    names = cut_lineage(by_size.select("task_type", "raw", F.col("label").cast("bigint").alias("label")))
 
     clusters = names.groupBy("task_type").agg(F.count(F.lit(1)).alias("clusters"))
     small = F.col("size") < cfg.min_cluster_size
@@ -186,56 +96,17 @@ def discover_scenarios(v: DataFrame, cfg: ScenarioConfig = ScenarioConfig()) ->
     ).withColumn(
         "statistical_reliability", F.when(F.col("fallback") == "none", F.lit("high")).otherwise(F.lit("low"))
     )
+    labels = cut_lineage(found.join(names, ["task_type", "raw"]).select("node", "label"))
     label = F.when(F.col("fallback") != "none", F.lit(0)).otherwise(F.coalesce("label", F.lit(-1)))
     labelled = (
-        found.join(broadcast_checked(names), ["task_type", "raw"], "left")
+        rows.drop("__x").join(labels, "node", "left")
         .join(broadcast_checked(types.select("task_type", "fallback")), "task_type")
         .withColumn("label", label.cast("bigint"))
-        .drop("raw", "fallback")
+        .drop("node", "fallback")
     )
     return Discovery(with_scenario_ids(labelled), types)
 
 
-def _linked_cells(
-    rows: DataFrame, sizes: DataFrame, dim: int, max_cells: int, cfg: ScenarioConfig
-) -> DataFrame:
-    """Labelled cells (task_type, label, center) of all rounds of the search.
-
-    A round searches the rows that no cell so far is similar to. It ends the search when it
-    links nothing, or when its cells take no row.
-    """
-    refs: DataFrame | None = None
-    left, before, turn = rows, None, 0
-    while True:
-        open_rows = left.groupBy("task_type").agg(F.count(F.lit(1)).alias("open")).join(
-            sizes, "task_type"
-        )
-        searched = cut_lineage(
-            open_rows.where((F.col("size") >= cfg.min_cluster_size) & (F.col("open") >= F.col("min_size")))
-        )
-        count = searched.agg(F.coalesce(F.sum("open"), F.lit(0))).first()[0]
-        if refs is not None and (count == 0 or count == before):
-            return refs
-        # n * max_cells >= open holds for at most max_cells cells of a class.
-        dense = (
-            direction_cells(left, dim, cfg)
-            .join(searched, "task_type")
-            .where(F.col("n") * F.lit(max_cells) >= F.col("open"))
-        )
-        linked = dense.groupBy("task_type").applyInPandas(
-            _link(cfg), "task_type string, label long, center array<double>"
-        )
-        found = cut_lineage(
-            linked.withColumn("label", F.format_string("%06d_%06d", F.lit(turn), "label"))
-        )
-        if refs is not None and found.isEmpty():
-            return refs
-        refs = found if refs is None else refs.unionByName(found)
-        near = nearest(rows, refs, vec="__x", ref_id="label", ref_vec="center")
-        close = F.coalesce(F.col("best_sim") >= cfg.link_similarity, F.lit(False))
-        left, before, turn = near.where(~close).drop("best_ref", "best_sim"), count, turn + 1
-
-
 def with_scenario_ids(labelled: DataFrame) -> DataFrame:
     """scenario_id and is_outlier of a label column."""
     out = labelled.withColumn("is_outlier", F.col("label") < 0)

@@ -28,6 +28,52 @@ def _(fx):
     )
 
 
+def _with_noise(fx, groups: int, share: float):
+    """Rows of one class around the first `groups` vectors; `share` of the own vector is added,
+    so a row's cosine to its centre is about 1 / sqrt(1 + share^2)."""
+    v = fx.table("embeddings")
+    p = v.where(F.col("vec_id") < groups).select(F.col("vec_id").alias("proto"), F.col("embedding").alias("p"))
+    mixed = F.zip_with("p", "embedding", lambda a, b: a.cast("double") + share * b.cast("double"))
+    return v.withColumn("proto", F.col("vec_id") % groups).join(p, "proto").select(
+        F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("request_id"), "proto", F.lit("T").alias("task_type"),
+        mixed.alias("embedding"),
+    )
+
+
+@query(
+    "M7_loose_groups",
+    "SELECT vec_id % 5 AS proto, count(*) AS n, 1::BIGINT AS scenarios, true AS few_outliers FROM embeddings GROUP BY 1",
+)
+def _(fx):
+    """Five groups whose members lie at cosine 0.78 to their centre come apart."""
+    found = scenarios.discover_scenarios(_with_noise(fx, 5, 0.8))
+    return found.rows.groupBy("proto").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("scenario_id").alias("scenarios"),
+        (F.count_if("is_outlier") * 20 <= F.count(F.lit(1))).alias("few_outliers"),
+    )
+
+
+@query(
+    "M7_small_group",
+    "SELECT 10::BIGINT AS members, 1::BIGINT AS scenarios, 0::BIGINT AS outliers, true AS mostly_alone",
+)
+def _(fx):
+    """Ten rows of one direction beside all vectors of the table, which have no common one."""
+    v = fx.table("embeddings")
+    names = F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("request_id")
+    rows = v.select(names, F.lit(False).alias("small"), F.lit("T").alias("task_type"), F.col("embedding").cast("array<double>"))
+    near = _with_noise(fx, 1, 0.3).join(v.where("vec_id BETWEEN 1 AND 10").select(names), "request_id").select(
+        F.concat(F.lit("near_"), "request_id").alias("request_id"), F.lit(True).alias("small"), "task_type", "embedding"
+    )
+    found = scenarios.discover_scenarios(rows.unionByName(near)).rows.select("small", "scenario_id", "is_outlier")
+    mine = found.where("small").select("scenario_id").distinct()
+    others = found.where("NOT small").join(mine, "scenario_id").agg(F.count(F.lit(1)).alias("others"))
+    return found.where("small").agg(
+        F.count(F.lit(1)).alias("members"), F.count_distinct("scenario_id").alias("scenarios"),
+        F.count_if("is_outlier").alias("outliers"), (others.scalar() <= 10).alias("mostly_alone"),
+    )
+
+
 @query(
     "M8_cap_clusters",
     """, sz AS (SELECT task_type, proto, count(*) AS n, row_number() OVER (PARTITION BY task_type ORDER BY count(*) DESC, proto) AS rk FROM fx_vectors GROUP BY task_type, proto),

@@ -258,3 +258,83 @@ def test_small_scenario_beside_a_large_one(spark):
     assert small.select("scenario_id").distinct().count() == 1
     assert small.where("is_outlier").count() == 0
     assert found.select("scenario_id").distinct().count() == 3
+
+
+def around(rng, dim, n, cosine):
+    """Unit vectors at one cosine to a random centre."""
+    centre = rng.standard_normal(dim)
+    centre /= np.linalg.norm(centre)
+    side = rng.standard_normal((n, dim))
+    side -= np.outer(side @ centre, centre)
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return cosine * centre + np.sqrt(1 - cosine**2) * side
+
+
+def labelled_groups(spark, parts, kind="T"):
+    """`parts` maps a name to its vectors; request ids start with the name."""
+    items = [(f"{name}_{i}", kind, v.tolist()) for name, vectors in parts.items() for i, v in enumerate(vectors)]
+    return spark.createDataFrame(items, "request_id string, task_type string, embedding array<double>")
+
+
+def found_groups(found):
+    """Per name, the rows of each label."""
+    out = {}
+    for r in found.rows.groupBy(F.split("request_id", "_")[0].alias("g"), "label").count().collect():
+        out.setdefault(r.g, {})[r.label] = r["count"]
+    return out
+
+
+@pytest.mark.parametrize("dim", [32, 128])
+def test_loose_groups_come_apart(spark, dim):
+    """Members at cosine 0.78 to their centre, hence about 0.6 to each other."""
+    rng = np.random.default_rng(dim)
+    found = sc.discover_scenarios(labelled_groups(spark, {f"g{k}": around(rng, dim, 300, 0.78) for k in range(5)}))
+    got = found_groups(found)
+    assert all(len(labels) == 1 for labels in got.values()), got
+    assert sorted(label for labels in got.values() for label in labels) == [0, 1, 2, 3, 4]
+
+
+def test_small_group_beside_shapeless_rows(spark):
+    """A group of the least size beside 1,000 times as many rows without shape."""
+    rng = np.random.default_rng(64)
+    noise = rng.standard_normal((10_000, 64))
+    found = sc.discover_scenarios(labelled_groups(spark, {"small": around(rng, 64, 10, 0.95), "noise": noise}))
+    got = found_groups(found)
+    assert got["small"] == {0: 10} and got["noise"][-1] >= 9_995 and got["noise"].keys() <= {-1, 0}
+    assert {r.fallback for r in found.types.collect()} == {"none"}
+
+
+def test_groups_of_unlike_density(spark):
+    rng = np.random.default_rng(9)
+    parts = {"a": around(rng, 64, 1000, 0.78), "b": around(rng, 64, 50, 0.95), "c": around(rng, 64, 30, 0.99)}
+    assert found_groups(sc.discover_scenarios(labelled_groups(spark, parts))) == {"a": {0: 1000}, "b": {1: 50}, "c": {2: 30}}
+
+
+def test_blocks_of_a_hot_cell(spark):
+    """A third of the rows are copies of one vector; blocks are far smaller than the cell."""
+    rng = np.random.default_rng(4)
+    hot = np.repeat(around(rng, 16, 1, 0.9), 1500, axis=0)
+    parts = {"hot": hot, "b": around(rng, 16, 1500, 0.97), "c": around(rng, 16, 1500, 0.97)}
+    cfg = ScenarioConfig(cell_rows=64, block_rows=100)
+    got = found_groups(sc.discover_scenarios(labelled_groups(spark, parts), cfg))
+    assert got["hot"].keys() & {0, 1, 2} and len(got["hot"]) == 1
+    assert all(max(x.values()) > 1400 for x in got.values()) and len({max(x, key=x.get) for x in got.values()}) == 3
+
+
+def test_odd_vectors_are_outliers(spark):
+    """Null, empty and zero vectors take part in no cluster and break nothing."""
+    rng = np.random.default_rng(6)
+    parts = labelled_groups(spark, {"a": around(rng, 16, 40, 0.97), "b": around(rng, 16, 40, 0.97)})
+    odd = spark.createDataFrame([("z_1", "T", [0.0] * 16), ("z_2", "T", None), ("z_3", "T", []), ("z_4", "T", [1.0])], parts.schema)
+    got = found_groups(sc.discover_scenarios(parts.unionByName(odd)))
+    assert got == {"a": {0: 40}, "b": {1: 40}, "z": {-1: 4}} or got == {"a": {1: 40}, "b": {0: 40}, "z": {-1: 4}}
+    assert sc.discover_scenarios(parts.limit(0)).rows.count() == 0
+
+
+def test_components_within_graphs(spark):
+    from agentlog.operators.graph import components
+
+    chain = [(0, i, i + 1) for i in range(60)] + [(1, i, i + 1) for i in range(60) if i % 10]
+    got = components(spark.createDataFrame(chain, "g long, a long, b long"), ["g"]).collect()
+    assert {r.root for r in got if r.g == 0} == {0}
+    assert {(r.node, r.root) for r in got if r.g == 1} == {(i, max(1, (i - 1) // 10 * 10 + 1)) for i in range(1, 61)}
