@@ -12,7 +12,7 @@ from agentlog.plans.registry import query
 from agentlog.session import shared_folder
 from agentlog.sources.raw import read_live
 from agentlog.sources.tables import Tables
-from agentlog.streaming import live
+from agentlog.streaming import live, state
 
 
 TOKENS_PLAIN = int_sql("total_tokens")
@@ -68,30 +68,67 @@ def _(fx):
     return tables.records().select(rid.alias("request_id"), "query_text", "status")
 
 
+def _stored_once(fx, feeds: list[DataFrame]) -> DataFrame:
+    """Every feed through a query of its own, with repeats dropped in state and at the sink."""
+    table = state.StreamTable(fx.spark, _folder(fx, "records"))
+    for no, feed in enumerate(feeds):
+        once = state.once_within(_stream(fx, feed, f"feed{no}"))
+        state.run(once, state.store_once(table, schemas.RECORDS, f"query{no}"), _folder(fx, "ckpt"))
+    return table.read(schemas.RECORDS)
+
+
 @query("T2_store_once", "SELECT request_id, status FROM fx_records", ("fx_records",))
 def _(fx):
     """Every record arrives twice, in different files, and is stored once."""
     rows = fx.records.select(*schemas.RECORDS.fieldNames())
-    tables = Tables(fx.spark, _folder(fx, "tables"))
-    live.run_available(
-        _stream(fx, rows.unionByName(rows), "records"), live.append_records(tables), _folder(fx, "ckpt")
-    )
-    return tables.records().select("request_id", "status")
+    return _stored_once(fx, [rows.unionByName(rows)]).select("request_id", "status")
 
 
 @query("T2_two_writers", "SELECT source_id, request_id, status FROM fx_records", ("fx_records",))
 def _(fx):
-    """Two live sources with overlapping records, a compaction, then a new checkpoint that
-    sees everything once more: each record is stored once and none is lost."""
+    """Two queries with overlapping records, then a new one that sees everything once more:
+    each record is stored once and none is lost."""
     rows = fx.records.select(*schemas.RECORDS.fieldNames())
     k = F.pmod(F.xxhash64("source_id", "request_id"), F.lit(4))
-    tables = Tables(fx.spark, _folder(fx, "tables"))
-    sink = live.append_records(tables)
-    live.run_available(_stream(fx, rows.where(k < 2), "left"), sink, _folder(fx, "ckpt"))
-    live.run_available(_stream(fx, rows.where((k == 1) | (k == 2)), "right"), sink, _folder(fx, "ckpt"))
-    tables.compact("records", schemas.RECORDS, schemas.KEYS, ["timestamp"])
-    live.run_available(_stream(fx, rows, "again"), sink, _folder(fx, "ckpt"))
-    return tables.records().select("source_id", "request_id", "status")
+    stored = _stored_once(fx, [rows.where(k < 2), rows.where((k == 1) | (k == 2)), rows])
+    return stored.select("source_id", "request_id", "status")
+
+
+def _two_sources(fx, clusters: DataFrame | None) -> DataFrame:
+    """The vectors as two live sources, united before the one query that owns the state."""
+    rows = fx.vectors.withColumn("source_id", F.concat(F.lit("src_"), F.col("vec_id") % 2))
+    feeds = [_stream(fx, rows.where(F.col("source_id") == s), s) for s in ("src_0", "src_1")]
+    assigned = state.assign_stream(feeds[0].unionByName(feeds[1]), clusters)
+    table = state.StreamTable(fx.spark, _folder(fx, "assigned"))
+    state.run(assigned, lambda batch, number: table.write(batch, number, "live"), _folder(fx, "ckpt"))
+    return table.read(assigned.schema)
+
+
+@query(
+    "T3_two_sources",
+    "SELECT proto, count(*) AS n, 1::BIGINT AS scenarios, 1::BIGINT AS opened FROM fx_vectors GROUP BY proto",
+    ("fx_vectors",),
+)
+def _(fx):
+    """Two sources, one state: every group has one scenario, opened once."""
+    return _two_sources(fx, None).groupBy("proto").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("scenario_id").alias("scenarios"), F.count_if("is_new_cluster").alias("opened")
+    )
+
+
+@query(
+    "T4_hydrated_stream",
+    "SELECT request_id, task_type || ':cluster_' || (proto + 20) AS scenario_id, false AS is_new_cluster FROM fx_vectors",
+    ("fx_vectors",),
+)
+def _(fx):
+    """State that starts from a cluster table: rows join its scenarios and open none."""
+    from agentlog.operators.scenarios import cluster_number, scenario_id
+    from agentlog.plans.q_vectors import _centroids
+
+    known = _centroids(fx)
+    known = known.withColumn("scenario_id", scenario_id(F.col("task_type"), cluster_number(F.col("scenario_id")) + 20))
+    return _two_sources(fx, known).select("request_id", "scenario_id", "is_new_cluster")
 
 
 def _assigned(fx) -> Tables:
@@ -144,34 +181,49 @@ def _(fx):
     return live.counters(tables).join(vectors, "source_id").select("source_id", "accepted", "rejected", "vectors")
 
 
-@query(
-    "T6_dynamics_stream",
-    "SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS count FROM fx_records GROUP BY 1",
-    ("fx_records",),
-)
+def _by_arrival(fx, rows: DataFrame, name: str) -> DataFrame:
+    """A stream of files in the order of arrival."""
+    path, at = _folder(fx, name), F.unix_timestamp("arrived")
+    ends = rows.agg(F.min(at), F.max(at)).first()
+    part = F.floor(4 * (at - ends[0]) / max(1, ends[1] - ends[0] + 1))
+    for no in range(4):
+        rows.where(part == no).coalesce(1).write.mode("append").parquet(path)
+    return fx.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _counted_days(fx, feeds: list[DataFrame]) -> DataFrame:
+    """Days of every feed in turn, each by queries of its own: the last one's count shows."""
+    days, late = (state.StreamTable(fx.spark, _folder(fx, n)) for n in ("days", "late"))
+    for no, rows in enumerate(feeds):
+        feed = _by_arrival(fx, rows, f"feed{no}")
+        counts = state.daily_counts(feed, "7 days", F.col("arrived"))
+        state.run(counts, lambda batch, n: days.write(batch, n, f"query{no}"), _folder(fx, "ckpt"), "update")
+        rest = state.late_counts(feed, "7 days", F.col("arrived"))
+        state.run(rest, state.count_late(late, f"query{no}"), _folder(fx, "ckpt"))
+    return state.dynamics(days, late)
+
+
+def _arrivals(fx) -> DataFrame:
+    """Records that arrive an hour after their time, one in eight of them 30 days after it."""
+    late = F.pmod(F.xxhash64("request_id"), F.lit(8)) == 0
+    hours = F.when(late, 30 * 24).otherwise(1)
+    return fx.records.select("timestamp", F.timestamp_add("HOUR", hours, F.col("timestamp")).alias("arrived"))
+
+
+DAYS_SQL = "SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS count FROM fx_records GROUP BY 1"
+
+
+@query("T6_dynamics_stream", DAYS_SQL, ("fx_records",))
 def _(fx):
-    stream = live.dynamics_stream(_stream(fx, fx.records.select("timestamp"), "days"))
-    tables = Tables(fx.spark, _folder(fx, "tables"))
-    live.run_totals(stream, tables, "dynamics", _folder(fx, "ckpt"))
-    return tables.snapshot("dynamics", stream.schema)
+    """Windows of days that the watermark closes, and the rows that come too late for them."""
+    return _counted_days(fx, [_arrivals(fx)])
 
 
-@query(
-    "T6_restarted_stream",
-    "SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS count FROM fx_records GROUP BY 1",
-    ("fx_records",),
-)
+@query("T6_restarted_stream", DAYS_SQL, ("fx_records",))
 def _(fx):
-    """Counts of some days first; a query with a new checkpoint then reads everything, in
-    fewer batches: its state is the one that shows."""
-    days = fx.records.select("timestamp")
-    tables = Tables(fx.spark, _folder(fx, "tables"))
-    some = live.dynamics_stream(_stream(fx, days.where("day(timestamp) % 3 = 0"), "some"))
-    live.run_totals(some, tables, "dynamics", _folder(fx, "ckpt"))
-    path = _files(fx, days, "all")
-    whole = live.dynamics_stream(fx.spark.readStream.schema(days.schema).parquet(path))
-    live.run_totals(whole, tables, "dynamics", _folder(fx, "ckpt"))
-    return tables.snapshot("dynamics", whole.schema)
+    """Some days first; queries with new checkpoints then read everything."""
+    rows = _arrivals(fx)
+    return _counted_days(fx, [rows.where("day(timestamp) % 3 = 0"), rows])
 
 
 @query(
@@ -180,10 +232,10 @@ def _(fx):
     ("fx_records",),
 )
 def _(fx):
-    stream = live.source_totals_stream(_stream(fx, fx.records.select("source_id", "status"), "totals"))
-    tables = Tables(fx.spark, _folder(fx, "tables"))
-    live.run_totals(stream, tables, "source_totals", _folder(fx, "ckpt"))
-    return tables.snapshot("source_totals", stream.schema)
+    table = state.StreamTable(fx.spark, _folder(fx, "totals"))
+    totals = state.source_totals(_stream(fx, fx.records.select("source_id", "status"), "rows"))
+    state.run(totals, lambda batch, n: table.write(batch, n, "live"), _folder(fx, "ckpt"), "update")
+    return table.last(state.TOTALS, ["source_id"])
 
 
 # --- readers and writers over files ------------------------------------------------

@@ -94,6 +94,10 @@ class Tables:
         """The last row of every key over the version and its batches."""
         return last_per(self.read(name, schema), keys, order)
 
+    def other_writers(self, name: str) -> set[str]:
+        """Writers besides the current one whose batches are newer than the version."""
+        return {b.writer for b in self._current(name)[1]} - {current_writer(self.spark)}
+
     def replace(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> str:
         """Write a new version; the old one stays readable for running queries."""
         return self._replace(name, df, partition_by, self._next(name))

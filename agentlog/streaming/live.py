@@ -1,8 +1,7 @@
-"""Live records: normalise, keep once, classify, assign, count.
+"""Live records: normalise, classify, assign through the stored tables.
 
-Stateful work goes through `foreachBatch` on the stored tables. Repeats are found against
-the stored keys, however late they come, so no watermark ever drops a row; running counts
-keep one state row per day or source.
+`AssignmentSink` serves one query; several live sources are united before it, or go through
+`state.assign_stream`, whose state has one owner anyway.
 """
 
 from __future__ import annotations
@@ -49,33 +48,6 @@ def normalize_stream(
     return valid.select(*nz.RECORD_COLUMNS, "response_status", "error_code")
 
 
-def dynamics_stream(stream: DataFrame) -> DataFrame:
-    """Running count per day; one state row per day."""
-    dated = stream.where(F.col("timestamp").isNotNull())
-    return dated.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("date")).agg(
-        F.count(F.lit(1)).alias("count")
-    )
-
-
-def source_totals_stream(stream: DataFrame) -> DataFrame:
-    """Running totals per source; one state row per source."""
-    return stream.groupBy(filled(F.col("source_id"), "_unknown").alias("source_id")).agg(
-        F.count(F.lit(1)).alias("records"), F.count_if(F.col("status") == "success").alias("succeeded")
-    )
-
-
-def append_records(tables: Tables, name: str = "records") -> Callable[[DataFrame, int], None]:
-    """Sink that stores every (source, request) once."""
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        stored = tables.read(name, schemas.RECORDS, before=batch_id)
-        columns = [f.name for f in schemas.RECORDS.fields]
-        fresh = keyed.append_new(batch.select(*columns), stored, schemas.KEYS, ["timestamp"])
-        tables.write_batch(name, fresh, batch_id)
-
-    return sink
-
-
 def hydrate(tables: Tables, clusters: DataFrame) -> None:
     """Start online assignment from a cluster table, e.g. after a recompute (T4)."""
     tables.replace("centroids", initial_centroids(clusters).select(*CENTROIDS.fieldNames()))
@@ -97,6 +69,8 @@ class AssignmentSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         t = self.tables
+        if t.other_writers("centroids"):
+            raise ValueError("another query writes these scenarios: unite the sources, or hydrate after it has ended")
         stored = t.read("assignments", schemas.ASSIGNMENTS, before=batch_id)
         incoming = cut_lineage(batch)
         rejected = None
@@ -126,7 +100,6 @@ class AssignmentSink:
             now.alias("created_at"),
             now.alias("updated_at"),
         )
-        t.write_batch("assignments", rows, batch_id)
         vectors = result.rows.select(
             "request_id", "task_type", "scenario_id", "source_id", "query_text",
             F.col("embedding").cast("array<float>").alias("embedding"), F.lit(False).alias("is_outlier"),
@@ -134,6 +107,7 @@ class AssignmentSink:
         t.write_batch("vectors", vectors, batch_id)
         t.write_batch("ingest_counters", self._counters(incoming, result.rows, rejected), batch_id)
         t.write_batch("centroids", result.centroids.select(*CENTROIDS.fieldNames()), batch_id)
+        t.write_batch("assignments", rows, batch_id)  # last: what they refer to is there
 
     @staticmethod
     def _counters(incoming: DataFrame, rows: DataFrame, rejected: DataFrame | None) -> DataFrame:
@@ -166,18 +140,3 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     )
     query.awaitTermination()
 
-
-def run_totals(stream: DataFrame, tables: Tables, name: str, checkpoint: str) -> None:
-    """Keep the newest value of a running aggregate: each batch holds all rows."""
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        tables.write_batch(name, batch, batch_id)
-
-    query = (
-        stream.writeStream.foreachBatch(sink)
-        .outputMode("complete")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()

@@ -28,13 +28,10 @@ from agentlog.functions.taxonomy import UNKNOWN, filled
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-ASSIGNED = T.StructType(
-    [
-        T.StructField("source_id", T.StringType()), T.StructField("request_id", T.StringType()),
-        T.StructField("task_type", T.StringType()), T.StructField("timestamp", T.TimestampType()),
-        T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("scenario_id", T.StringType()),
-        T.StructField("similarity", T.DoubleType()), T.StructField("is_new_cluster", T.BooleanType()),
-    ]
+#: What `assign_stream` adds to the columns of its rows.
+_ADDED = (
+    T.StructField("scenario_id", T.StringType()), T.StructField("similarity", T.DoubleType()),
+    T.StructField("is_new_cluster", T.BooleanType()),
 )
 _CENTROID = T.StructType(
     [T.StructField("centroid", T.ArrayType(T.DoubleType())), T.StructField("count", T.LongType())]
@@ -97,13 +94,9 @@ class OnlineScenarios(StatefulProcessor):
         for at in changed:
             self.scenarios.updateValue((numbers[at],), (centroids[at].tolist(), counts[at]))
         kind = key[0]
-        yield pd.DataFrame(
-            {
-                "source_id": batch["source_id"].tolist(), "request_id": batch["request_id"].tolist(), "task_type": kind,
-                "timestamp": batch["timestamp"].tolist(), "embedding": batch["embedding"].tolist(),
-                "scenario_id": [None if n is None else f"{kind}:cluster_{n}" for n, _, _ in found],
-                "similarity": [s for _, s, _ in found], "is_new_cluster": [new for _, _, new in found],
-            }
+        yield batch.assign(
+            scenario_id=[None if n is None else f"{kind}:cluster_{n}" for n, _, _ in found],
+            similarity=[s for _, s, _ in found], is_new_cluster=[new for _, _, new in found],
         )
 
     def close(self) -> None:
@@ -113,20 +106,19 @@ class OnlineScenarios(StatefulProcessor):
 def assign_stream(
     stream: DataFrame, clusters: DataFrame | None = None, threshold: float = ScenarioConfig.join_threshold,
 ) -> DataFrame:
-    """Scenario of every row of a stream (T3), from state that starts with the centroids of a
-    cluster table (T4).
+    """A stream's rows with scenario_id, similarity and is_new_cluster (T3), from state that
+    starts with the centroids of a cluster table (T4).
 
-    `stream` has source_id, request_id, task_type, timestamp and embedding; unite all sources
-    first. A class is one key of state, its rows are read in order: that is what running
+    `stream` has request_id, task_type, timestamp and embedding and any other columns; unite
+    all sources first. A class is one key of state, its rows are read in order: that is what running
     means need; back-fill large histories with `scenarios.assign_online` and start the
     stream from its centroids. After a recompute start a query with a new checkpoint from the
     new cluster table. Needs the RocksDB state store, which is set for the session.
     """
     spark = stream.sparkSession
     spark.conf.set(_PROVIDER, _ROCKS)
-    rows = stream.select(
-        "source_id", "request_id", filled(F.col("task_type"), UNKNOWN).alias("task_type"), "timestamp",
-        F.col("embedding").cast("array<double>").alias("embedding"),
+    rows = stream.withColumns(
+        {"task_type": filled(F.col("task_type"), UNKNOWN), "embedding": F.col("embedding").cast("array<double>")}
     )
     state = None
     if clusters is not None:
@@ -137,10 +129,15 @@ def assign_stream(
             F.greatest(F.lit(1), F.coalesce("records_count", F.lit(1))).cast("long").alias("count"),
         ).where("n IS NOT NULL").groupBy("task_type")
     return rows.groupBy("task_type").transformWithStateInPandas(
-        OnlineScenarios(threshold), ASSIGNED, "Append", "None", initialState=state
+        OnlineScenarios(threshold), assigned_schema(rows.schema), "Append", "None", initialState=state
     )
 
 
+def assigned_schema(rows: T.StructType) -> T.StructType:
+    """Schema of assigned rows."""
+    return T.StructType([*rows.fields, *_ADDED])
+
+
 def online_centroids(spark: SparkSession, checkpoint: str) -> DataFrame:
     """scenario_id, task_type, centroid and count out of a query's state, as of its last
     batch."""

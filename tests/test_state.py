@@ -71,7 +71,7 @@ def assigned(spark, tmp_path):
         both = stream(spark, tmp_path / "s0", ROW).unionByName(stream(spark, tmp_path / "s1", ROW))
         st.run(st.assign_stream(both, clusters, 0.9), sink, checkpoint)
     seen = {}
-    rows = table.read(st.ASSIGNED).collect()
+    rows = table.read(st.assigned_schema(T._parse_datatype_string(ROW))).collect()
     for r in rows:
         seen.setdefault(r.batch_id, set()).add(r.source_id)
     order = [[x for b in batches for x in b if (x[0], x[1]) in {(r.source_id, r.request_id) for r in rows if r.batch_id == n}]
