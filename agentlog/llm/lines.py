@@ -4,9 +4,8 @@ distributed union-find. DataFrame operations only.
 A shingle is the ten characters from the start of a word on. A word of more than ten has one
 more, its last ten; in words of more than 16 (scripts without spaces, addresses) every
 character starts one, up to the last ten. So each character but spaces lies in a shingle, at
-about a sixth of the shingles of every character. Not read are spaces behind a word of ten
-or more and, in runs of spaces, those further than ten from the word's start. Shingles are
-compared by 32-bit hashes: of a million pairs about two have one in common by chance.
+about a sixth of the shingles of every character. Runs of white space count as one space;
+the space behind a word of ten or more is not read. Shingles are compared by 32-bit hashes: of a million pairs about two have one in common by chance.
 """
 
 from __future__ import annotations
@@ -44,13 +43,16 @@ def shingles(line: Column, rules: LineRules) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line, key): lines with more than spaces and returns, trimmed."""
+    """(id, line_no, line, key): lines with more than white space, trimmed, each run of white
+    space as one space."""
+    runs = F.col("line").rlike("[\t\x0b\x0c\r]|  ")
     return (
         docs.select(
             F.col(id_col).alias("id"),
             F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "line"),
         )
         .withColumn("line", F.btrim("line", F.lit(" \t\x0b\x0c\r"))).filter("line <> ''")
+        .withColumn("line", F.when(runs, F.regexp_replace("line", "[ \t\x0b\x0c\r]+", " ")).otherwise(F.col("line")))
         .withColumn("key", F.unhex(F.md5("line")))
     )
 
