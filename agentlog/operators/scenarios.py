@@ -149,16 +149,30 @@ def cap_clusters(rows: DataFrame, max_clusters: int = ScenarioConfig.max_cluster
 # --- stable ids -------------------------------------------------------------------
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best remaining pair first; at most k² pairs of one class (k = its new scenarios)."""
-    taken_new, taken_old, out = set(), set(), []
-    ordered = pdf.sort_values(["sim", "n_new", "n_old"], ascending=[False, True, True])
-    for row in ordered.itertuples():
-        if row.new_id not in taken_new and row.old_id not in taken_old:
-            taken_new.add(row.new_id)
-            taken_old.add(row.old_id)
-            out.append((row.task_type, row.new_id, row.old_id))
-    return pd.DataFrame(out, columns=["task_type", "new_id", "stable_id"])
+def match_pairs(pairs: DataFrame) -> DataFrame:
+    """One-to-one matching, the best remaining pair first: task_type, new_id, stable_id.
+
+    `pairs` has task_type, new_id, old_id, sim, n_new and n_old. A pair that is the best of
+    both its sides is taken before any that shares one with it, so all such pairs of a round
+    are taken at once; rounds go on until no pair is left. The order is strict, so the result
+    is that of one sorted pass. No class is gathered in one task.
+    """
+    rank = F.struct((-F.col("sim")).alias("neg"), "n_new", "n_old", "new_id", "old_id")
+    left = cut_lineage(pairs.select("task_type", "new_id", "old_id", rank.alias("rank")))
+    matched = None
+    while not left.isEmpty():
+        by_new = left.groupBy("task_type", "new_id").agg(F.min("rank").alias("rank"))
+        by_old = left.groupBy("task_type", "old_id").agg(F.min("rank").alias("rank"))
+        found = cut_lineage(
+            by_new.join(by_old, ["task_type", "rank"]).select("task_type", "new_id", "old_id")
+        )
+        matched = found if matched is None else matched.unionByName(found)
+        left = cut_lineage(
+            left.join(found.select("task_type", "new_id"), ["task_type", "new_id"], "left_anti")
+            .join(found.select("task_type", "old_id"), ["task_type", "old_id"], "left_anti")
+        )
+    out = left.select("task_type", "new_id", "old_id") if matched is None else matched
+    return out.withColumnRenamed("old_id", "stable_id")
 
 
 def free_indices(unmatched: DataFrame, used: DataFrame) -> DataFrame:
@@ -185,10 +199,8 @@ def stabilize_ids(new: DataFrame, old: DataFrame, threshold: float = ScenarioCon
 
     Both sides have task_type, scenario_id, centroid. Pairs are matched most similar
     first; unmatched scenarios take free numbers; a class without earlier scenarios keeps
-    its ids. Of k new scenarios each needs only its k best partners, since at most k - 1
-    of them can be taken by the others, so one class never holds more than k² pairs.
+    its ids.
     """
-    n_new = new.groupBy("task_type").agg(F.count(F.lit(1)).alias("k"))
     # Roles are swapped so the (few) new centroids are the side that is held in memory.
     pairs = pairs_above(old.withColumnRenamed("scenario_id", "old_id"), new, threshold).select(
         "task_type", F.col("ref").alias("new_id"), "old_id", "sim"
@@ -196,16 +208,7 @@ def stabilize_ids(new: DataFrame, old: DataFrame, threshold: float = ScenarioCon
     pairs = pairs.withColumn("n_new", cluster_number(F.col("new_id"))).withColumn(
         "n_old", cluster_number(F.col("old_id"))
     )
-    best = Window.partitionBy("task_type", "new_id").orderBy(F.desc("sim"), "n_old")
-    few = (
-        pairs.withColumn("rank", F.row_number().over(best))
-        .join(n_new, "task_type")
-        .where(F.col("rank") <= F.col("k"))
-        .drop("rank", "k")
-    )
-    matched = cut_lineage(
-        few.groupBy("task_type").applyInPandas(_greedy, "task_type string, new_id string, stable_id string")
-    )
+    matched = cut_lineage(match_pairs(pairs))
     ids = new.select("task_type", F.col("scenario_id").alias("new_id"), cluster_number(F.col("scenario_id")).alias("n"))
     known = old.select("task_type").distinct()
     first = ids.join(known, "task_type", "left_anti").select("task_type", "new_id", F.col("new_id").alias("stable_id"))

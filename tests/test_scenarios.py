@@ -178,6 +178,20 @@ def test_greedy_matching_equals_brute_force(spark):
     assert len(set(got.values())) == len(new)
 
 
+def test_matching_of_many_scenarios_equals_one_sorted_pass(spark):
+    """Every new scenario of one class is similar to many old ones; ties in similarity."""
+    rng = np.random.default_rng(11)
+    pairs = [("a", f"n{i:03d}", f"o{j:03d}", round(float(rng.random()), 2), i, j) for i in range(150) for j in range(130) if rng.random() < 0.3]
+    df = spark.createDataFrame(pairs, "task_type string, new_id string, old_id string, sim double, n_new long, n_old long")
+    want, used = {}, set()
+    for _, new, old, *_ in sorted(pairs, key=lambda p: (-p[3], p[4], p[5])):
+        if new not in want and old not in used:
+            want[new] = old
+            used.add(old)
+    assert {r.new_id: r.stable_id for r in sc.match_pairs(df).collect()} == want
+    assert sc.match_pairs(df.limit(0)).count() == 0
+
+
 def test_block_join_equals_broadcast(spark):
     v = groups(spark, [50, 50, 50], outliers=30)
     refs = v.where("request_id LIKE '%_1'").select("task_type", F.col("request_id").alias("scenario_id"), F.col("embedding").alias("centroid"))
