@@ -120,7 +120,7 @@ def _(fx):
 
 @query(
     "W7_free_indices",
-    """, un AS (SELECT task_type, query_text AS new_id, count(*) AS n FROM fx_assignments WHERE task_type <> 'unknown' GROUP BY ALL),
+    """, un AS (SELECT task_type, query_text AS new_id, count(*) AS n FROM fx_assignments GROUP BY ALL),
  us AS (SELECT DISTINCT task_type, CAST(regexp_extract(scenario_id, '([0-9]+)$', 1) AS BIGINT) AS n FROM fx_assignments WHERE scenario_id IS NOT NULL),
  fr AS (SELECT t.task_type, g.n, row_number() OVER (PARTITION BY t.task_type ORDER BY g.n) AS pos FROM (SELECT DISTINCT task_type FROM un) t, (SELECT unnest(range(0, 2000)) AS n) g WHERE (t.task_type, g.n) NOT IN (SELECT (task_type, n) FROM us)),
  up AS (SELECT task_type, new_id, row_number() OVER (PARTITION BY task_type ORDER BY n, new_id) AS pos FROM un)
@@ -129,7 +129,7 @@ SELECT up.task_type, up.new_id, fr.n AS free_n FROM up JOIN fr USING (task_type,
 )
 def _(fx):
     a = fx.assignments
-    wanted = a.where("task_type <> 'unknown'").groupBy("task_type", F.col("query_text").alias("new_id")).agg(
+    wanted = a.groupBy("task_type", F.col("query_text").alias("new_id")).agg(
         F.count(F.lit(1)).alias("n")
     )
     used = a.where("scenario_id IS NOT NULL").select("task_type", scenarios.cluster_number(F.col("scenario_id")).alias("n")).distinct()

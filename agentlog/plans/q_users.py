@@ -195,12 +195,12 @@ def _(fx):
 
 @query(
     "W3_argmax_count",
-    """, c AS (SELECT department, style, count(*) AS n FROM fx_records WHERE style IS NOT NULL GROUP BY ALL)
-SELECT department, style FROM c QUALIFY row_number() OVER (PARTITION BY department ORDER BY n DESC, style) = 1""",
+    """, c AS (SELECT department, style, count(*) AS n FROM fx_records GROUP BY ALL)
+SELECT department, style FROM c QUALIFY row_number() OVER (PARTITION BY department ORDER BY n DESC, style NULLS FIRST) = 1""",
     R,
 )
 def _(fx):
-    return keyed.argmax_count(fx.records.where("style IS NOT NULL"), ["department"], "style")
+    return keyed.argmax_count(fx.records, ["department"], "style")
 
 
 # --- pages ------------------------------------------------------------------------

@@ -44,12 +44,13 @@ def _(fx):
 
 @query(
     "X9_cosine",
-    f"SELECT a.request_id, {r('list_cosine_similarity(a.embedding, b.embedding)', 6)} AS sim FROM fx_vectors a JOIN fx_vectors b ON b.vec_id = a.vec_id + 12",
+    f"SELECT a.request_id, {r('list_cosine_similarity(a.embedding, b.embedding)', 6)} AS sim FROM fx_vectors a JOIN fx_vectors b ON b.vec_id = (a.vec_id + 12) % (SELECT max(vec_id) + 1 FROM fx_vectors)",
     V,
 )
 def _(fx):
     a = fx.vectors.select("request_id", "vec_id", "embedding")
-    b = fx.vectors.select((F.col("vec_id") - 12).alias("vec_id"), F.col("embedding").alias("other"))
+    n = fx.vectors.agg(F.max("vec_id") + 1).scalar()
+    b = fx.vectors.select(F.pmod(F.col("vec_id") - 12, n).alias("vec_id"), F.col("embedding").alias("other"))
     return a.join(b, "vec_id").select("request_id", round_to(vx.cosine(F.col("embedding"), F.col("other")), 6).alias("sim"))
 
 
