@@ -315,7 +315,13 @@ def near_duplicates(
     def late_links(apart: DataFrame) -> DataFrame:
         return _block_links(apart.filter(F.col("place") < omh.late_sketches), texts, omh)
 
-    labels = group_rows(members.drop("key"), verify, late_links, _size_fits(omh), ["n"], omh.cell)
+    # most rows of a large group meet in the first sketches; later ones find the rest
+    first = F.col("place") < 1
+    second = F.col("place").between(1, 2)
+    labels = group_rows(
+        members.drop("key"), verify, late_links, _size_fits(omh), ["n"], omh.cell,
+        [first, second, F.col("place") > 2],
+    )
 
     classed = whole.join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
