@@ -97,15 +97,17 @@ def exact_dedup(
     """
     names = ["keep_id", "group_size", "kept", "text_sha256"]
     docs = docs.drop(*names)
-    row = fresh(docs, "__row")
+    row, fp, size, found = (fresh(docs, n) for n in ("__row", "__fp", "__bytes", "__print"))
     stored = store(
-        docs.withColumn("__print", _prints(chunk_bytes, prime)(text_or_empty(text_col)))
+        docs.withColumn(found, _prints(chunk_bytes, prime)(text_or_empty(text_col)))
         .withColumn(row, F.monotonically_increasing_id())
-        .select("*", "__print.*").drop("__print")
-        .withColumnsRenamed({"fp": "__fp", "n_bytes": "__bytes", "sha256": "text_sha256"}),
+        .select(
+            "*", F.col(found)["fp"].alias(fp), F.col(found)["n_bytes"].alias(size),
+            F.col(found)["sha256"].alias("text_sha256"),
+        ).drop(found),
         "fingerprints",
     )
-    key = ["__fp", "__bytes"]
+    key = [fp, size]
     slim = stored.select(row, F.col(id_col).alias("__id"), *key)
     repeated = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
 
@@ -121,11 +123,11 @@ def exact_dedup(
         *key,
         F.posexplode(
             F.transform(
-                F.sequence(F.lit(0), F.floor((F.col("__bytes") - 1) / chunk_bytes).cast("int")),
+                F.sequence(F.lit(0), F.floor((F.col(size) - 1) / chunk_bytes).cast("int")),
                 lambda i: F.substring(F.col("__data"), i * chunk_bytes + 1, F.lit(chunk_bytes)),
             )
         ).alias("__no", "__chunk"),
-    ).filter("__bytes > 0")
+    ).filter(F.col(size) > 0)
     differing = store(
         chunks.groupBy(*key, "__no")
         .agg((F.min("__chunk") != F.max("__chunk")).alias("__differ"))
