@@ -62,9 +62,10 @@ class Guesser:
         best = [0.0] + [math.inf] * n
         low = value.lower()
         plain = low.translate(LEET)
+        ends = _run_ends(value)
         for i in range(n):
             here = best[i] + (0.3 if i else 0.0)
-            for end, cost in self._segments(value, low, plain, i):
+            for end, cost in self._segments(value, low, plain, ends[i], i):
                 if here + cost < best[end]:
                     best[end] = here + cost
             brute = best[i] + _brute(value[i])  # brute force goes on letter by letter
@@ -72,7 +73,9 @@ class Guesser:
                 best[i + 1] = brute
         return best[n]
 
-    def _segments(self, value: str, low: str, plain: str, i: int) -> Iterator[tuple[int, float]]:
+    def _segments(
+        self, value: str, low: str, plain: str, run_end: int, i: int
+    ) -> Iterator[tuple[int, float]]:
         n = len(value)
         for end in range(i + 2, min(n, i + self.longest) + 1):
             word = low[i:end]
@@ -86,16 +89,21 @@ class Guesser:
         dated = DATE.match(value, i)
         if dated:
             yield dated.end(), math.log10(365.0 * 120) if dated.end() - i > 4 else math.log10(120)
-        end = i + 1
-        while end < n and value[end] == value[i]:
-            end += 1
-        if end - i >= 3:
-            yield end, _brute(value[i]) + math.log10(end - i)
+        if run_end - i >= 3:
+            yield run_end, _brute(value[i]) + math.log10(run_end - i)
         end = _walk_end(low, i)
         if end - i >= 3:
             yield end, math.log10(60.0 * 2 * (end - i))
 
 
+def _run_ends(value: str) -> list[int]:
+    """For every place the end of the run of equal letters around it."""
+    ends = [len(value)] * len(value)
+    for i in range(len(value) - 2, -1, -1):
+        ends[i] = ends[i + 1] if value[i] == value[i + 1] else i + 1
+    return ends
+
+
 def _brute(letter: str) -> float:
     if letter.isdigit():
         return 1.0
