@@ -217,9 +217,14 @@ class Bins:
     def _step(self, source: int) -> bool:
         """One improving step out of `source`: a move, else a swap, else two for one."""
         have = self.fill[source]
+        if have == self.capacity:
+            return False
         room = np.where((self.fill > 0), self.capacity - self.fill, 0)
         room[source] = 0
-        mine = sorted(self.items[source], key=lambda i: (-self.sizes[i], i))
+        alike: dict[int, list[int]] = {}  # items of equal size allow the same steps
+        for item in sorted(self.items[source], key=lambda i: (-self.sizes[i], i)):
+            alike.setdefault(int(self.sizes[item]), []).append(item)
+        mine = [same[0] for same in alike.values()]
         for item in mine:
             size = self.sizes[item]
             fits = np.flatnonzero((room >= size) & (self.fill + size > have))
@@ -230,7 +235,9 @@ class Bins:
         others = np.flatnonzero(their_room)
         theirs, their_room = self.sizes[others], their_room[others]
         their_fill = self.fill[self.bin_of[others]]
-        pairs = [(a,) for a in mine] + [(a, b) for i, a in enumerate(mine) for b in mine[i + 1 :]]
+        pairs = [(a,) for a in mine]
+        for i, same in enumerate(alike.values()):
+            pairs += [(same[0], b) for b in same[1:2] + mine[i + 1 :]]
         for given in pairs:
             gain = int(self.sizes[list(given)].sum()) - theirs
             good = np.flatnonzero((gain > 0) & (gain <= their_room) & (their_fill + gain > have))
