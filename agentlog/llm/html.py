@@ -28,7 +28,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp".split())
+RAW = frozenset("script style textarea title iframe xmp".split())
+FOREIGN = frozenset({"svg", "math"})
 BLOCKS = frozenset(
     "html body div section article main header footer aside nav p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd "
     "table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary "
@@ -111,6 +112,13 @@ def parse(html: str) -> Node:
 
 
 def _close_before(stack: list[Node], tag: str) -> None:
+    if tag in BLOCKS:  # a block ends an open drawing or formula, as in browsers
+        for depth in range(len(stack) - 1, 0, -1):
+            if stack[depth].tag == "foreignobject":
+                break
+            if stack[depth].tag in FOREIGN:
+                del stack[depth:]
+                break
     kinds, barrier = SIBLINGS.get(tag, ((), ()))
     if tag in ENDS_P:
         kinds, barrier = {"p", *kinds}, {*barrier, "button", "td", "th", "li"} - {*kinds}

@@ -376,3 +376,65 @@ def test_guess_costs():
     assert cost("password") < cost("Password1") < cost("x8Kq!2vL")
     assert cost("qwertyuiop") < 4 and cost("aaaaaaaaaaaa") < 4 and cost("12/05/1990") < 6
     assert cost("") == 0
+
+
+def test_exact_dedup_with_clashing_names(spark):
+    rows = [(1, "a  b", "x"), (2, "a b", "y"), (3, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sha256 string")
+    for name in ("n_bytes", "fp", "__fp", "__bytes", "__print", "__row"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    out = exact.exact_dedup(docs)
+    assert set(docs.columns) < set(out.columns)
+    found = {r.doc_id: (r.keep_id, r.kept, r.sha256, r.fp, r["__fp"]) for r in out.collect()}
+    assert found == {
+        1: (1, True, "x", "mine", "mine"), 2: (1, False, "y", "mine", "mine"), 3: (3, True, "z", "mine", "mine"),
+    }
+
+
+def _cheapest(guesser, value, at=0):
+    """Least cost over every segmentation, by plain recursion."""
+    if at == len(value):
+        return 0.0
+    low = value.lower()
+    plain = low.translate(secrets.LEET)
+    end = at + 1
+    while end < len(value) and value[end] == value[at]:
+        end += 1
+    ways = [secrets._brute(value[at]) + _cheapest(guesser, value, at + 1)]
+    for stop, cost in guesser._segments(value, low, plain, end, at):
+        ways.append((0.3 if at else 0.0) + cost + _cheapest(guesser, value, stop))
+    return min(ways)
+
+
+@pytest.mark.parametrize("value", ["aaaa1999", "Passw0rd12", "qwerty99x", "zzzxxx", "日本語xyz", "hello2world"])
+def test_guess_cost_is_the_least_over_all_segmentations(value):
+    guesser = secrets.Guesser(secrets.word_ranks(VOCABULARY))
+    assert guesser.cost(value) == pytest.approx(_cheapest(guesser, value))
+
+
+def test_guess_cost_of_long_runs_is_linear():
+    guesser = secrets.Guesser(secrets.word_ranks(VOCABULARY))
+    assert secrets._run_ends("aabccc") == [2, 2, 3, 6, 6, 6]
+    assert guesser.cost("*" * 200_000) < 8  # quadratic work would not end
+
+
+def test_packing_many_short_pieces():
+    """Sequences of a long and very many one-token pieces: equal sizes are tried once."""
+    sizes = np.array([1100] * 300 + [1] * 3000)
+    number, offset = packing.pack_group(sizes, 2048)
+    fill = np.bincount(number, weights=sizes)
+    assert fill.max() <= 2048 and fill.sum() == sizes.sum() and len(fill) == 300
+    assert len(set(zip(number.tolist(), offset.tolist()))) == len(sizes)
+
+
+@pytest.mark.parametrize(
+    "drawing",
+    [
+        '<svg class="i"/>', "<svg><path d='M0'/>", "<math><mi>x</mi>", "<svg><text>no</text></svg>",
+        "<svg><foreignObject><div>no</div></foreignObject></svg>", "<noscript><img src=x></noscript>",
+        "<template><b>no</b></template>",
+    ],
+)
+def test_drawings_take_no_text_with_them(drawing):
+    page = html.parse(f"<article><p>Before.</p>{drawing}<p>After one.</p><p>Last.</p></article>")
+    assert html.main_text(page, set()) == "Before.\n\nAfter one.\n\nLast."
