@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from agentlog.functions.taxonomy import filled
+from agentlog.schemas import KEYS
 
 _ROW = "__row"
 
@@ -121,27 +122,27 @@ def lookup(df: DataFrame, keys: DataFrame, on: Sequence[str] = ("request_id",))
 
 
 def update_scenarios(
-    assignments: DataFrame, new: DataFrame, now: datetime | Column, key: str = "request_id",
-    order: Sequence[str] = (),
+    assignments: DataFrame, new: DataFrame, now: datetime | Column, order: Sequence[str],
+    keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Overwrite scenario and outlier flag of the listed keys only.
 
-    Of several updates of a key the last in `order` counts, whatever its values; without
-    an order each key may be listed once, else which of its rows counts is arbitrary.
+    Of several updates of a key the last in `order` counts, whatever its values; rows
+    without a request id are left out. Ids repeat between sources, so both are the key.
     """
     stamp = (now if isinstance(now, Column) else F.lit(now)).cast("timestamp")
-    change = new.where(filled(F.col(key), "") != "").select(
-        key,
+    by = [f"__order_{i}" for i in range(len(order))]
+    change = new.where(filled(F.col("request_id"), "") != "").select(
+        *keys,
         F.col("scenario_id").alias("__sid"),
         F.coalesce("is_outlier", F.lit(False)).alias("__out"),
         F.lit(True).alias("__hit"),
-        *[F.col(c).alias(f"__order_{i}") for i, c in enumerate(order)],
+        *[F.col(c).alias(name) for c, name in zip(order, by)],
     )
-    by = [f"__order_{i}" for i in range(len(order))]
-    change = last_per(change, [key], by or ["__sid"]).drop(*by)
+    change = last_per(change, keys, by).drop(*by)
     hit = F.coalesce("__hit", F.lit(False))
     return (
-        assignments.join(change, key, "left")
+        assignments.join(change, list(keys), "left")
         .withColumn("scenario_id", F.when(hit, F.col("__sid")).otherwise(F.col("scenario_id")))
         .withColumn("is_outlier", F.when(hit, F.col("__out")).otherwise(F.col("is_outlier")))
         .withColumn("updated_at", F.when(hit, stamp).otherwise(F.col("updated_at")))

@@ -6,7 +6,7 @@ and groups of any density, a small tight group beside large loose or shapeless o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -528,10 +528,14 @@ def recompute(
     job_id: str,
     cfg: ScenarioConfig = ScenarioConfig(),
     dim: int | None = None,
+    summarise: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Recompute:
     """Rebuild all scenarios: discover, cap, keep ids stable, describe, record the run.
 
-    All classes run in the same jobs. `rows` feeds `keyed.update_scenarios`, `clusters`
+    All classes run in the same jobs. `summarise` turns representatives (scenario_id,
+    query_text, request_id, position) into replies (scenario_id, name, summary, user_goal,
+    pain_points, automation_potential, examples), a few rows per scenario; a scenario
+    without a usable reply keeps its technical name. `rows` feeds `keyed.update_scenarios`, `clusters`
     feeds `keyed.replace_clusters`.
     """
     dim = dim or int(vectors.agg(F.max(F.size("embedding"))).first()[0] or 1)
@@ -560,6 +564,12 @@ def recompute(
             stamp.alias("updated_at"),
         )
     )
+    if summarise is not None:
+        shown = representatives(
+            apply_mapping(capped, mapping).where("has_vector"),
+            described.select("task_type", "scenario_id", "centroid"),
+        )
+        table = cut_lineage(_summarised(table, cut_lineage(shown), summarise))
     logs = assignments.agg(F.count(F.lit(1))).scalar()
     fallback = found.types.agg(F.coalesce(F.bool_or(F.col("fallback") != "none"), F.lit(False))).scalar()
     kinds = found.types.agg(F.array_sort(F.collect_list("task_type"))).scalar()
@@ -577,3 +587,16 @@ def recompute(
         stamp.alias("completed_at"),
     )
     return Recompute(rows, table, run)
+
+
+def _summarised(
+    table: DataFrame, shown: DataFrame, summarise: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """The cluster table with the replies on its representatives."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("position", "query_text"))), lambda x: x["query_text"])
+    examples = shown.groupBy("scenario_id").agg(texts.alias("examples"))  # few per scenario
+    replies = first_per(sanitize_summaries(summarise(shown), examples), ["scenario_id"], ["name"])
+    told = ("name", "summary", "user_goal", "pain_points", "automation_potential")
+    found = replies.select("scenario_id", *[F.col(c).alias(f"__{c}") for c in told])
+    out = table.join(found, "scenario_id", "left")
+    return out.withColumns({c: F.coalesce(f"__{c}", c) for c in told}).select(*table.columns)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from agentlog.operators import keyed, scenarios
+from agentlog import schemas
+from agentlog.operators import committing, keyed, scenarios
 from agentlog.plans.q_vectors import CENT, _centroids, _labelled
 from agentlog.plans.registry import query
+from agentlog.session import shared_folder
+from agentlog.sources.generations import Generations
 
 V = ("fx_vectors",)
 
@@ -218,3 +222,98 @@ def _(fx):
     table = _recompute(fx).clusters
     old = _old_centroids(fx).withColumn("statistical_reliability", F.lit("low"))
     return keyed.replace_clusters(old, table).select("scenario_id", "records_count", "statistical_reliability")
+
+
+#: Two sources that use the same request ids.
+TWO_SOURCES = MAPPING.rstrip() + """, tw AS (SELECT concat('s', v.vec_id % 2) AS source_id, concat('r', v.vec_id // 2) AS request_id, v.task_type, mp.stable_id FROM fx_vectors v JOIN mp ON mp.new_id = v.task_type || ':cluster_' || v.proto)
+"""
+
+
+def _committed(fx):
+    """State after a recompute over two sources was stored and read again."""
+    spark = fx.spark
+    ids = {
+        "source_id": F.concat(F.lit("s"), (F.col("vec_id") % 2).cast("string")),
+        "request_id": F.concat(F.lit("r"), F.floor(F.col("vec_id") / 2).cast("string")),
+    }
+    vectors = fx.vectors.withColumns(ids)
+
+    def table(df, schema):
+        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+    failed = F.when(F.col("source_id") == "s1", "failed").otherwise("classified").alias("status")
+    sources = vectors.select("source_id", failed).distinct()
+    state = committing.LogState(
+        table(vectors, schemas.ASSIGNMENTS), table(_old_centroids(fx), schemas.CLUSTERS),
+        table(sources, schemas.SOURCES), spark.createDataFrame([], schemas.RECOMPUTE_RUNS),
+        spark.createDataFrame([], schemas.CENTROIDS),
+    )
+    now = datetime(2024, 3, 1)
+    result = scenarios.recompute(state.assignments, vectors, state.clusters, now, "job")
+    store = Generations(spark, f"{shared_folder(spark)}/generations-{uuid.uuid4()}")
+    for _ in range(2):  # a repeated commit changes nothing
+        committing.commit_state(store, "job", committing.after_recompute(state, result, now))
+    return committing.load_state(store), table(vectors, schemas.VECTORS)
+
+
+@query(
+    "M14_commit_assignments",
+    TWO_SOURCES + "SELECT source_id, request_id, stable_id AS scenario_id, false AS is_outlier, '2024-03-01' AS day FROM tw",
+    V,
+)
+def _(fx):
+    state, _ = _committed(fx)
+    day = F.date_format("updated_at", "yyyy-MM-dd").alias("day")
+    return state.assignments.select("source_id", "request_id", "scenario_id", "is_outlier", day)
+
+
+@query(
+    "M14_commit_vectors",
+    TWO_SOURCES + "SELECT source_id, request_id, task_type, stable_id AS scenario_id, false AS is_outlier, 64 AS dim FROM tw",
+    V,
+)
+def _(fx):
+    state, vectors = _committed(fx)
+    out = committing.labelled_vectors(vectors, state.assignments)
+    return out.select(
+        "source_id", "request_id", "task_type", "scenario_id", "is_outlier", F.size("embedding").alias("dim")
+    )
+
+
+@query(
+    "M14_commit_state",
+    TWO_SOURCES + """SELECT 'centroid' AS kind, stable_id AS name, count(*) AS n FROM tw GROUP BY stable_id
+UNION ALL SELECT 'source', source_id || ' ' || CASE source_id WHEN 's0' THEN 'recomputed' ELSE 'failed' END, 1 FROM (VALUES ('s0'), ('s1')) s(source_id)
+UNION ALL SELECT 'run', 'job completed', count(*) FROM tw""",
+    V,
+)
+def _(fx):
+    """Online centroids, source status and the run after the commit."""
+    state, _ = _committed(fx)
+    one = F.lit(1).cast("bigint").alias("n")
+    cents = state.centroids.select(F.lit("centroid").alias("kind"), F.col("scenario_id").alias("name"), F.col("count").alias("n"))
+    source = state.sources.select(F.lit("source").alias("kind"), F.concat_ws(" ", "source_id", "status").alias("name"), one)
+    run = state.recompute_runs.select(
+        F.lit("run").alias("kind"), F.concat_ws(" ", "job_id", "status").alias("name"), F.col("logs_at_completion").alias("n")
+    )
+    return cents.unionByName(source).unionByName(run)
+
+
+@query(
+    "M14_recompute_summaries",
+    MAPPING + "SELECT DISTINCT stable_id AS scenario_id, CASE WHEN task_type = 'T0' THEN 'Сценарий T0 ' || regexp_extract(stable_id, '([0-9]+)$', 1) ELSE 'About a few of' END AS name, CASE WHEN task_type <> 'T0' THEN 'texts 10' END AS summary, CASE WHEN task_type <> 'T0' THEN 'low' END AS automation_potential FROM mp",
+    V,
+)
+def _(fx):
+    """Replies on ten representatives of each scenario; class T0 gets none."""
+    def replies(shown):
+        texts = F.concat(F.lit("texts "), F.count(F.lit(1)).cast("string"))
+        return shown.where("scenario_id NOT LIKE 'T0:%'").groupBy("scenario_id").agg(texts.alias("summary")).select(
+            "scenario_id", F.lit("About a few of these").alias("name"), "summary", F.lit("x").alias("user_goal"),
+            F.array(F.lit("slow")).alias("pain_points"), F.lit("sure").alias("automation_potential"),
+            F.array().cast("array<string>").alias("examples"),
+        )
+
+    a = fx.vectors.select("request_id", "task_type", "timestamp", F.col("request_id").alias("query_text"))
+    out = scenarios.recompute(a, fx.vectors, _old_centroids(fx), datetime(2024, 3, 1), "job", summarise=replies)
+    return out.clusters.select("scenario_id", "name", "summary", "automation_potential")

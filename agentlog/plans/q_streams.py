@@ -254,6 +254,27 @@ def _(fx):
     return rows.select("agent_id", "user_query", "tools_used", "total_tokens", "is_object")
 
 
+@query(
+    "S1_read_json_arrays",
+    "SELECT row_idx::VARCHAR AS agent_id, user_query, tools_used, total_tokens, true AS is_object FROM fx_raw",
+    ("fx_raw",),
+)
+def _(fx):
+    """Files that are one JSON array each, of 5,000 records at most."""
+    from agentlog.sources.raw import read_raw
+
+    raw = fx.raw.withColumn("agent_id", F.col("row_idx").cast("string"))
+    file = F.floor(F.col("row_idx") / 5000).alias("file")
+    record = F.struct(*[c for c in raw.columns if c != "row_idx"])
+    arrays = raw.select(file, record.alias("record")).groupBy("file").agg(
+        F.to_json(F.collect_list("record")).alias("value")
+    )
+    path = _folder(fx, "arrays")
+    arrays.write.partitionBy("file").text(path)
+    rows = read_raw(fx.spark, path, "json")
+    return rows.select("agent_id", "user_query", "tools_used", "total_tokens", "is_object")
+
+
 @query(
     "S3_read_csv",
     f"SELECT row_idx::VARCHAR AS agent_id, user_name, {TOKENS_PLAIN} AS tokens, array_to_string({OWN}, '|') AS tools FROM fx_raw",

@@ -101,9 +101,9 @@ FROM fx_assignments a LEFT JOIN ch USING (request_id)""",
 def _(fx):
     n = F.replace("request_id", F.lit("req_"), F.lit("")).cast("bigint")
     change = fx.assignments.withColumn("n", n).where("n % 4 = 0").select(
-        "request_id", F.lit("moved:cluster_1").alias("scenario_id"), (F.col("n") % 2 == 0).alias("is_outlier")
+        "source_id", "request_id", F.lit("moved:cluster_1").alias("scenario_id"), (F.col("n") % 2 == 0).alias("is_outlier"), "n"
     )
-    out = keyed.update_scenarios(fx.assignments, change, F.lit(NOW))
+    out = keyed.update_scenarios(fx.assignments, change, F.lit(NOW), ["n"])
     return out.select("request_id", "scenario_id", "is_outlier", _ts("updated_at"))
 
 
@@ -119,8 +119,8 @@ def _(fx):
     """One to three updates of every key; a last update without a scenario makes an outlier."""
     n = F.replace("request_id", F.lit("req_"), F.lit("")).cast("bigint")
     step = F.explode(F.sequence(F.lit(0), (n % 3).cast("int")))
-    change = fx.assignments.select("request_id", step.alias("step")).select(
-        "request_id", "step",
+    change = fx.assignments.select("source_id", "request_id", step.alias("step")).select(
+        "source_id", "request_id", "step",
         F.when(F.col("step") == 0, "moved:cluster_9").when(F.col("step") == 1, "moved:cluster_10").alias("scenario_id"),
         (F.col("step") == 2).alias("is_outlier"),
     )

@@ -62,4 +62,6 @@ VECTORS = _struct(
     embedding=T.ArrayType(T.FloatType()), is_outlier=B,
 )
 
+CENTROIDS = _struct(scenario_id=S, task_type=S, centroid=T.ArrayType(D), count=L)
+
 KEYS = ("source_id", "request_id")

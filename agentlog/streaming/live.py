@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from agentlog import schemas
 from agentlog.config import NormalizeConfig, ScenarioConfig
@@ -19,14 +19,7 @@ from agentlog.operators.scenarios import assign_online, initial_centroids
 from agentlog.session import cut_lineage
 from agentlog.sources.tables import Tables
 
-CENTROIDS = T.StructType(
-    [
-        T.StructField("scenario_id", T.StringType()),
-        T.StructField("task_type", T.StringType()),
-        T.StructField("centroid", T.ArrayType(T.DoubleType())),
-        T.StructField("count", T.LongType()),
-    ]
-)
+CENTROIDS = schemas.CENTROIDS
 
 
 def normalize_stream(
