@@ -1,45 +1,116 @@
 """Fuzzy line deduplication: MinHash over character shingles, banding, exact Jaccard,
-distributed union-find. DataFrame operations only.
+distributed union-find.
 
-A shingle is the ten characters from the start of a word on. A word of more than ten has one
-more, its last ten; in words of more than 16 (scripts without spaces, addresses) every
-character starts one, up to the last ten. So each character but spaces lies in a shingle, at
-about a sixth of the shingles of every character. Runs of white space count as one space;
-the space behind a word of ten or more is not read. Shingles are compared by 32-bit hashes: of a million pairs about two have one in common by chance.
+A shingle is any ten characters in a row; a shorter line is one shingle. Runs of white space
+count as one space. Spark splits, groups, joins and shuffles; numpy inside Arrow batches
+hashes shingles, takes minima and compares. Shingles are compared by 44 bits of their hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from agentlog.llm.common import let, store, text_or_empty
+from agentlog.llm.common import store, text_or_empty
+from agentlog.llm.neardup import GOLD, mixed
 from agentlog.llm.rounds import group_rows, thinned
 
+BASE = np.uint64(0x9FB21C651E98DF25)
+#: Characters that are hashed at once: bounds a worker's memory for lines of any length.
+CHUNK = 1 << 18
+PAIR_BITS = 20
+
 
 @dataclass(frozen=True)
 class LineRules:
     """At similarity 0.8 a pair meets in one of 8 bands of 3 minima with chance 0.997."""
 
     shingle: int = 10
-    long_word: int = 16
     bands: int = 8
     rows: int = 3
     similarity: float = 0.8
     cell: int = 4
-    #: Rows of one block of a large bucket.
+    #: Rows and characters of one block of a large bucket, columns of one matrix product.
     block_rows: int = 128
+    block_chars: int = 250_000
+    columns: int = 4096
 
 
-def shingles(line: Column, rules: LineRules) -> Column:
-    k = rules.shingle
-    rest = rf"[^ ]{{1,{k}}}+(?![^ ]) ?"
-    to_last = rf"(?<![^ ])[^ ]{{1,{rules.long_word - k}}}?(?=[^ ]{{{k}}}(?![^ ]))"
-    return F.transform(
-        F.regexp_extract_all(line, F.lit(rf"(?s)(?=([^ ].{{0,{k - 1}}}))(?:{rest}|{to_last}|[^ ])"), F.lit(1)),
-        lambda s: F.hash(s),
-    )
+def shingles(lines: Sequence[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all lines, line after line, and the number of each line's."""
+    padded = [line.ljust(k, "\n") for line in lines]  # no line holds a line feed
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(codes) - k + 1
+    out = codes[:n].copy()
+    for i in range(1, k):
+        out *= BASE
+        out += codes[i : i + n]
+    inside = np.ones(len(codes), bool)
+    inside[(np.cumsum(sizes)[:, None] - np.arange(1, k)).ravel()] = False  # they reach into the next line
+    return mixed(out[inside[:n]]), sizes - k + 1
+
+
+def chunks(lines: Sequence[str], k: int) -> Iterator[tuple[list[int], list[str]]]:
+    """(numbers, texts) of bounded size. A longer line comes in pieces that overlap, each in a
+    chunk of its own, so that no shingle is lost."""
+    numbers, texts, size = [], [], 0
+    for number, line in enumerate(lines):
+        for at in range(0, max(1, len(line) - k + 1), CHUNK):
+            piece = line[at : at + CHUNK + k - 1]
+            if texts and (at or size + len(piece) > CHUNK):
+                yield numbers, texts
+                numbers, texts, size = [], [], 0
+            numbers.append(number)
+            texts.append(piece)
+            size += len(piece)
+    if texts:
+        yield numbers, texts
+
+
+def bucket_numbers(lines: Sequence[str], rules: LineRules) -> np.ndarray:
+    """One row per line, one column per band: the hash of the band's minima. Each minimum is
+    taken after multiplication by an odd number of its own."""
+    n = rules.bands * rules.rows
+    factors = mixed(np.arange(1, n + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
+    minima = np.full((n, len(lines)), np.iinfo(np.uint64).max, np.uint64)
+    for numbers, texts in chunks(lines, rules.shingle):
+        hashes, sizes = shingles(texts, rules.shingle)
+        starts = np.cumsum(sizes) - sizes
+        product = np.empty_like(hashes)
+        for i, factor in enumerate(factors):
+            low = np.minimum.reduceat(np.multiply(hashes, factor, out=product), starts)
+            minima[i, numbers] = np.minimum(minima[i, numbers], low)
+    out = np.empty((len(lines), rules.bands), np.uint64)
+    for band in range(rules.bands):
+        value = np.full(len(lines), np.uint64(band + 1))
+        for low in minima[band * rules.rows : (band + 1) * rules.rows]:
+            value = mixed(value * GOLD + low)
+        out[:, band] = value
+    return out.view(np.int64)
+
+
+def similar(left: Sequence[str], right: Sequence[str], rules: LineRules) -> np.ndarray:
+    """Whether the n-th lines of both sides reach the similarity, for at most 2^20 pairs."""
+
+    def tagged(lines: Sequence[str]) -> np.ndarray:
+        """Each line's different shingles, tagged with its number."""
+        hashes, sizes = shingles(lines, rules.shingle)
+        owner = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
+        tags = np.sort((owner << np.uint64(64 - PAIR_BITS)) | (hashes >> np.uint64(PAIR_BITS)))
+        return tags[np.r_[True, tags[1:] != tags[:-1]]]
+
+    def counted(tags: np.ndarray) -> np.ndarray:
+        return np.bincount((tags >> np.uint64(64 - PAIR_BITS)).astype(np.int64), minlength=len(left))
+
+    a, b = tagged(left), tagged(right)
+    both = np.sort(np.concatenate([a, b]))
+    common = counted(both[1:][both[1:] == both[:-1]])
+    return common >= rules.similarity * (counted(a) + counted(b) - common)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,69 +129,134 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sketches(lines: DataFrame, rules: LineRules) -> DataFrame:
-    """(row, key, buckets) of each distinct line. Shingles, four at a time, and copies of a
-    line are reduced together, before the shuffle. Each minimum has a seeded hash of its own."""
-    n, wide = rules.bands * rules.rows, 4
-    hashed = lines.select(
-        "key", F.monotonically_increasing_id().alias("row"), shingles(F.col("line"), rules).alias("h")
-    ).select("key", "row", "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1, F.lit(wide))).alias("at"))
-    # past the end the first of the four again, for a hash of null is that of the seed
-    some = hashed.select(
-        "key", "row",
-        *[F.coalesce(F.get("h", F.col("at") + k), F.get("h", "at")).alias(f"h{k}") for k in range(wide)],
-    )
-    minima = some.groupBy("key").agg(
-        F.min("row").alias("row"),
-        *[
-            F.min(F.least(*[F.hash(F.lit(i), f"h{k}") for k in range(wide)])).alias(f"m{i}")
-            for i in range(n)
-        ],
-    )
-    buckets = [
-        F.xxhash64(F.lit(b), *[f"m{b * rules.rows + i}" for i in range(rules.rows)])
-        for b in range(rules.bands)
-    ]
-    return minima.select("row", "key", F.array(*buckets).alias("buckets"))
+    """(row, key, buckets) of each distinct line. Copies of a line are reduced in their batch
+    and then in their task, before the shuffle."""
+    names = [f"b{i}" for i in range(rules.bands)]
+    schema = "key binary, row long, " + ", ".join(f"{n} long" for n in names)
 
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first: dict[bytes, int] = {}
+            for at, key in enumerate(batch.column(0).to_pylist()):
+                first.setdefault(key, at)
+            once = batch.take(pa.array(list(first.values()), pa.int64()))
+            buckets = bucket_numbers(once.column(2).to_pylist(), rules)
+            columns = [once.column(0), once.column(1), *(pa.array(c) for c in np.ascontiguousarray(buckets.T))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "row", *names])
 
-def _similar(a: Column, b: Column, rules: LineRules) -> Column:
-    return let(
-        F.size(F.array_intersect(a, b)),
-        lambda c: c >= rules.similarity * (F.size(a) + F.size(b) - c),
+    found = lines.select("key", F.monotonically_increasing_id().alias("row"), "line").mapInArrow(sketch, schema)
+    return found.groupBy("key").agg(F.min("row").alias("row"), *[F.min(n).alias(n) for n in names]).select(
+        "row", "key", F.array(*names).alias("buckets")
     )
 
 
-def _block_links(apart: DataFrame, sets: DataFrame, rules: LineRules) -> DataFrame:
-    """Links between components inside open buckets. Every two blocks of a bucket meet in
-    one row of bounded size, where all lines are compared by their shingles; only links
-    leave it."""
-    blocked = apart.withColumn("blocks", F.ceil(F.col("size") / rules.block_rows).cast("int"))
-    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    groups = blocked.select("bucket", "row", "root", own.alias("own"), other.alias("other"))
-    met = (
-        groups.join(sets, "row")
-        .groupBy("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-        .agg(F.collect_list(F.struct("row", "root", "set")).alias("rows"))
+def _verified(pairs: DataFrame, texts: DataFrame, rules: LineRules) -> DataFrame:
+    """The pairs (a, b) whose lines are similar enough."""
+    left, right = (texts.select(F.col("row").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(i).to_pylist() for i in (2, 3))
+            keep, at = [], 0
+            while at < len(left):
+                end, size = at, 0
+                while end < len(left) and (end == at or size + len(left[end]) + len(right[end]) <= 2 * CHUNK):
+                    size += len(left[end]) + len(right[end])
+                    end += 1
+                keep.append(similar(left[at:end], right[at:end], rules))
+                at = end
+            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def linked_lines(rows: Sequence[tuple[int, int, str]], rules: LineRules) -> list[tuple[int, int]]:
+    """Similar pairs among (row, root, line) that join different roots, as a forest. Common
+    shingles of all pairs are counted by products of matrices of bounded width."""
+    if len({root for _, root, _ in rows}) < 2:
+        return []
+    hashes, sizes = shingles([line for _, _, line in rows], rules.shingle)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    values, place = np.unique(hashes, return_inverse=True)
+    cells = np.sort(place * len(rows) + owner)
+    cells = cells[np.r_[True, cells[1:] != cells[:-1]]]  # each shingle of a line once, by shingle
+    place, owner = np.divmod(cells, len(rows))
+    sizes = np.bincount(owner, minlength=len(rows))
+    several = np.bincount(place, minlength=len(values)) > 1  # only shingles of two lines or more count
+    number = np.cumsum(several) - 1
+    owner, place = owner[several[place]], number[place[several[place]]]
+    common = np.zeros((len(rows), len(rows)), np.float64)
+    for at in range(0, int(number[-1]) + 1, rules.columns):
+        low, high = np.searchsorted(place, [at, at + rules.columns])
+        marks = np.zeros((len(rows), rules.columns), np.float32)
+        marks[owner[low:high], place[low:high] - at] = 1
+        common += marks @ marks.T
+    union = sizes[:, None] + sizes[None, :] - common
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in np.argwhere(np.triu(common >= rules.similarity * union, 1)).tolist():
+        left, right = find(rows[a][1]), find(rows[b][1])
+        if left != right:
+            parent[left] = right
+            out.append((min(rows[a][0], rows[b][0]), max(rows[a][0], rows[b][0])))
+    return out
+
+
+def _block_links(apart: DataFrame, texts: DataFrame, rules: LineRules) -> DataFrame:
+    """Links between components inside open buckets.
+
+    Rows of a bucket's largest component are one already, so only rows outside it look for
+    others. Both kinds are cut into blocks of bounded rows and characters; a block of rows
+    outside meets every block, and only links leave a group.
+    """
+    outside = F.col("root") != F.col("main")
+
+    def blocks(kind: Column) -> Column:
+        rows = F.count_if(kind) / rules.block_rows
+        return F.ceil(F.greatest(rows, F.sum(F.when(kind, F.col("n"))) / rules.block_chars)).cast("int")
+
+    counts = apart.groupBy("bucket").agg(blocks(outside).alias("n_outside"), blocks(~outside).alias("n_main"))
+    whole = F.col("n_outside") + F.col("n_main")
+    deal = F.xxhash64("row")
+    own = F.when(outside, F.pmod(deal, F.col("n_outside"))).otherwise(
+        F.col("n_outside") + F.pmod(deal, F.col("n_main"))
+    ).cast("int")
+    last = F.when(outside, whole).otherwise(F.col("n_outside")) - 1
+    groups = (
+        apart.join(counts, "bucket")
+        .select("bucket", "row", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+        .select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "row", "root")
     )
-    links = met.select(F.explode("rows").alias("x"), "rows").select(
-        F.col("x.row").alias("a"),
-        F.explode(
-            F.filter(
-                "rows",
-                lambda y: (y["row"] > F.col("x.row")) & (y["root"] != F.col("x.root"))
-                & _size_fits(F.size("x.set"), F.size(y["set"]), rules)
-                & _similar(F.col("x.set"), y["set"], rules),
-            )["row"]
-        ).alias("b"),
+    dealt = (
+        groups.join(texts, "row").select("group", "row", "root", "line")
+        .repartition("group").sortWithinPartitions("group", "row")
     )
-    return links.distinct()
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
 
-def _size_fits(a: Column, b: Column, rules: LineRules) -> Column:
-    """Whether sets of these sizes can be similar: their union is no smaller than the larger
-    and what they share no larger than the smaller."""
-    return F.least(a, b) >= rules.similarity * F.greatest(a, b)
+        def links() -> pa.RecordBatch:
+            found = linked_lines(rows, rules)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"]
+            )
+
+        for batch in batches:
+            for key, row, root, line in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if key != group:
+                    yield links()
+                    group, rows = key, []
+                rows.append((row, root, line))
+        yield links()
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def line_classes(
@@ -129,7 +265,7 @@ def line_classes(
     """One row per line with a word: id, line_no (from 0), class_id, class_line, class_size
     and kept.
 
-    Lines are trimmed; white space inside stays. A class is a connected component of links
+    Lines are trimmed; runs of white space count as one space. A class is a connected component of links
     between lines of Jaccard similarity `rules.similarity` or more over their shingles,
     with all copies; class_id and class_line name its first line by id (null last) and
     number, which is the one kept. Null and empty texts and blank lines have no row.
@@ -140,33 +276,29 @@ def line_classes(
         lines.select(F.monotonically_increasing_id().alias("place"), "id", "line_no", "key"), "lines"
     )
     sketches = store(_sketches(lines, rules), "line-sketches")
-    spread = sketches.select("row", F.explode("buckets").alias("bucket"))
+    spread = sketches.select("row", F.posexplode("buckets").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = store(spread.join(shared, "bucket"), "line-buckets")
     wanted = store(
         sketches.select("row", "key").join(met.select("row").distinct(), "row", "left_semi"), "wanted"
     )
-    sets = store(
+    texts = store(
         thinned(lines.select("key", "line"), "key", wanted)
         .groupBy("key").agg(F.first("line").alias("line"))  # copies shrink before the shuffle
-        .join(wanted, "key")
-        .select("row", F.array_distinct(shingles(F.col("line"), rules)).alias("set")),
-        "line-sets",
+        .join(wanted, "key").select("row", "line"),
+        "line-texts",
     )
-    members = store(met.join(sets.select("row", F.size("set").alias("n")), "row"), "line-members")
-    fits = _size_fits(F.col("n_a"), F.col("n_b"), rules)
+    members = store(met.join(texts.select("row", F.length("line").cast("long").alias("n")), "row"), "line-members")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (
-            sets.select(F.col("row").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab"
-        )
-        both = pairs.join(left, "a").join(right, "b")
-        return both.filter(_similar(F.col("set_a"), F.col("set_b"), rules)).select("a", "b")
+        return _verified(pairs, texts, rules)
 
     def late_links(apart: DataFrame) -> DataFrame:
-        return _block_links(apart, sets, rules)
+        return _block_links(apart, texts, rules)
 
-    labels = group_rows(members, verify, late_links, fits, ["n"], rules.cell)
+    # most rows of a large group meet in the first band; later ones find the rest
+    steps = [F.col("band") < 1, F.col("band") > 0]
+    labels = group_rows(members, verify, late_links, F.lit(True), (), rules.cell, steps)
     roots = sketches.select("row", "key").join(
         labels.withColumnRenamed("node", "row"), "row", "left"
     ).select("key", F.coalesce("root", "row").alias("root"))

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import collections
+import random
 
 import numpy as np
 import public_tokenizers
@@ -438,3 +439,50 @@ def test_packing_many_short_pieces():
 def test_drawings_take_no_text_with_them(drawing):
     page = html.parse(f"<article><p>Before.</p>{drawing}<p>After one.</p><p>Last.</p></article>")
     assert html.main_text(page, set()) == "Before.\n\nAfter one.\n\nLast."
+
+
+def test_line_methods_against_plain_python(monkeypatch):
+    """Shingles, pieces of long lines, comparisons and block links against sets of strings."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc ä😀") for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts += [t[:-1] + "z" for t in texts[:20]] + ["short", "ab", "same line of text", "same line of text"]
+    sets = [{t[i : i + 10] for i in range(max(1, len(t) - 9))} for t in texts]
+    hashes, sizes = lines.shingles(texts, 10)
+    parts = np.split(hashes, np.cumsum(sizes)[:-1])
+    assert [len(set(p.tolist())) for p in parts] == [len(s) for s in sets]
+    rules = lines.LineRules(columns=16)
+    near = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    n = len(texts)
+    got = lines.similar([t for t in texts for _ in texts], texts * n, rules)
+    assert got.tolist() == [x for row in near for x in row]
+
+    links = lines.linked_lines([(i, i, t) for i, t in enumerate(texts)], rules)
+    root = list(range(n))
+    for a, b in links:
+        root = [root[a] if r == root[b] else r for r in root]
+    expected = list(range(n))
+    for a in range(n):
+        for b in range(a):
+            if near[a][b]:
+                expected = [expected[b] if r == expected[a] else r for r in expected]
+    assert len(set(zip(root, expected))) == len(set(root)) == len(set(expected)) == n - len(links)
+
+    whole = lines.bucket_numbers(texts, rules)
+    monkeypatch.setattr(lines, "CHUNK", 7)
+    assert (lines.bucket_numbers(texts, rules) == whole).all()
+
+
+def test_bands_find_similar_lines():
+    """Of pairs at 0.8 a share near 0.997 meets in a band, in short and in long lines."""
+    rng = random.Random(6)
+    rules = lines.LineRules()
+    left, right = [], []
+    for _ in range(3000):
+        size = rng.choice([40, 100, 300])
+        text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(size))
+        cut = (size - 9) // 9  # both lose as many of their shingles as 0.8 allows
+        left.append(text[cut:])
+        right.append(text[: size - cut])
+    wanted = lines.similar(left, right, rules)
+    met = (lines.bucket_numbers(left, rules) == lines.bucket_numbers(right, rules)).any(axis=1)
+    assert wanted.sum() > 1000 and met[wanted].mean() > 0.99
