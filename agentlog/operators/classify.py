@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -9,14 +10,15 @@ from operator import or_
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agentlog.functions.numeric import parse_double
 from agentlog.functions.taxonomy import CORE_TYPES, OTHER, UNKNOWN, literal_map, normalize_label
 from agentlog.functions.text import let, strip
 from agentlog.functions.vectors import mean_vector
 from agentlog.operators.embedding import nearest
-from agentlog.operators.ranking import rank_within
+from agentlog.operators.joins import broadcast_checked
+from agentlog.session import cut_lineage
 
 # --- fixed values: keyword rules, first match wins --------------------------------
 KEYWORD_RULES = (
@@ -139,26 +141,105 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def _shuffled_rank(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    hashed = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
-    return rank_within(hashed, [label], ["__h", key], "__rank", "__n").drop("__h")
+def split_hash(key: Column, seed: int) -> Column:
+    """60 bits of the key's MD5, the same in any engine."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 15)
+    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(0))
+
+
+def hash_cuts(
+    df: DataFrame, label: str, key: str, seed: int, shares: Sequence[float]
+) -> DataFrame:
+    """Per class (`__label`) the array `__cuts`: for each share the place (hash, key) of the last
+    row among that share of the class with the smallest places; null where the share has no row.
+
+    No sort: three passes of counts narrow each cut down to 1/2^12, then 1/2^24 of the hashes,
+    then to single keys. They read label and key only, and counts of at most 4,096 ranges a
+    class and cut meet in a window.
+    """
+    rows = df.select(
+        F.col(label).alias("__label"), split_hash(F.col(key), seed).alias("__h"),
+        F.col(key).cast("string").alias("__key"),
+    )
+    coarse = cut_lineage(
+        rows.groupBy("__label", F.shiftright("__h", 48).alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    )
+    sizes = coarse.groupBy("__label").agg(F.sum("__n").alias("__rows"))
+    numbered = F.posexplode(F.array(*[F.lit(float(x)) for x in shares])).alias("__cut", "__share")
+    wanted = sizes.select("__label", "__rows", numbered).select(
+        "__label", "__cut", F.floor(F.col("__rows") * F.col("__share") + 0.5).alias("__take")
+    )
+    first = _reached(_per_cut(coarse, wanted), ["__range"])
+    fine = _per_cut(rows, first, F.shiftright("__h", 48) == F.col("__range")).groupBy(
+        "__label", "__cut", "__take", F.shiftright("__h", 36).alias("__range")
+    ).agg(F.count(F.lit(1)).alias("__n"))
+    second = _reached(fine, ["__range"])
+    single = _per_cut(rows, second, F.shiftright("__h", 36) == F.col("__range")).groupBy(
+        "__label", "__cut", "__take", "__h", "__key"
+    ).agg(F.count(F.lit(1)).alias("__n"))
+    last = _reached(single, ["__h", "__key"]).select(
+        "__label", "__cut", F.struct("__h", "__key").alias("__place")
+    )
+    placed = wanted.drop("__take").alias("w").join(
+        last.alias("l"),
+        F.col("w.__label").eqNullSafe(F.col("l.__label")) & (F.col("w.__cut") == F.col("l.__cut")), "left",
+    )
+    listed = F.array_sort(F.collect_list(F.struct(F.col("w.__cut"), F.col("l.__place"))))
+    return placed.groupBy(F.col("w.__label").alias("__label")).agg(
+        F.transform(listed, lambda x: x["__place"]).alias("__cuts")
+    )
+
+
+def _per_cut(rows: DataFrame, cuts: DataFrame, also: Column | None = None) -> DataFrame:
+    """`rows` beside the cuts of their class; cuts are as few as classes and shares."""
+    named = broadcast_checked(cuts.withColumnRenamed("__label", "__of"))
+    same = F.col("__label").eqNullSafe(F.col("__of"))
+    return rows.join(named, same if also is None else same & also).drop("__of")
+
+
+def _reached(counts: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The first range of each class and cut in which the running count reaches `__take`, which
+    becomes what is left to take inside it."""
+    upto = Window.partitionBy("__label", "__cut").orderBy(*order)
+    before = F.sum("__n").over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    return cut_lineage(
+        counts.withColumn("__before", F.coalesce(before, F.lit(0)))
+        .where((F.col("__before") < F.col("__take")) & (F.col("__before") + F.col("__n") >= F.col("__take")))
+        .select("__label", "__cut", *order, (F.col("__take") - F.col("__before")).alias("__take"))
+    )
+
+
+def _with_cuts(df: DataFrame, label: str, key: str, seed: int, shares: Sequence[float]) -> DataFrame:
+    cuts = broadcast_checked(cut_lineage(hash_cuts(df, label, key, seed, shares)))
+    place = F.struct(split_hash(F.col(key), seed).alias("__h"), F.col(key).cast("string").alias("__key"))
+    return df.join(cuts, F.col(label).eqNullSafe(F.col("__label"))).drop("__label").withColumn("__place", place)
 
 
 def stratified_split(
     df: DataFrame, label: str = "label", share: float = 0.2, seed: int = 42, key: str = "request_id"
 ) -> DataFrame:
-    """Adds `is_test`: an exact share of every class, chosen by hash order."""
-    ranked = _shuffled_rank(df, label, key, seed)
-    take = F.floor(F.col("__n") * F.lit(share) + 0.5)
-    return ranked.withColumn("is_test", F.col("__rank") < take).drop("__rank", "__n")
+    """Adds `is_test`: an exact share of every class, chosen by hash order.
+
+    Rows that repeat a key stay on one side, so a share is exact where keys are unique. Null
+    labels are a class, null keys come as one key. The table is not sorted or shuffled.
+    """
+    cut = F.get("__cuts", F.lit(0))
+    test = F.coalesce(F.col("__place") <= cut, F.lit(False))
+    return _with_cuts(df, label, key, seed, [share]).withColumn("is_test", test).drop("__cuts", "__place")
 
 
 def stratified_folds(
     df: DataFrame, label: str = "label", k: int = 5, seed: int = 42, key: str = "request_id"
 ) -> DataFrame:
-    """Adds `fold` 0..k-1 with class shares equal to within one row."""
-    ranked = _shuffled_rank(df, label, key, seed)
-    return ranked.withColumn("fold", F.pmod("__rank", F.lit(k)).cast("bigint")).drop("__rank", "__n")
+    """Adds `fold` 0..k-1 with class shares equal to within one row.
+
+    Repeated keys, null labels and null keys as in `stratified_split`.
+    """
+    if k == 1:
+        return df.withColumn("fold", F.lit(0).cast("bigint"))
+    passed = F.filter("__cuts", lambda c: c.isNull() | (c < F.col("__place")))
+    cut = _with_cuts(df, label, key, seed, [i / k for i in range(1, k)])
+    return cut.withColumn("fold", F.size(passed).cast("bigint")).drop("__cuts", "__place")
 
 
 @dataclass(frozen=True)

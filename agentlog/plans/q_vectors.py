@@ -232,24 +232,29 @@ def _gold(fx):
     return fx.records.where("gold_category IS NOT NULL").select("request_id", F.col("gold_category").alias("label"))
 
 
+PLACED = """, r AS (SELECT request_id, gold_category AS label, ('0x' || md5('42:' || request_id)[1:15])::BIGINT AS h
+ FROM fx_records WHERE gold_category IS NOT NULL),
+ p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, request_id) AS place, count(*) OVER (PARTITION BY label) AS n FROM r)
+"""
+
+
 @query(
     "M18_stratified_split",
-    "SELECT gold_category AS label, count(*) AS n, floor(count(*) * 0.2::DOUBLE + 0.5::DOUBLE)::BIGINT AS test FROM fx_records WHERE gold_category IS NOT NULL GROUP BY 1",
+    PLACED + "SELECT request_id, label, place <= floor(n * 0.2::DOUBLE + 0.5::DOUBLE) AS is_test FROM p",
     ("fx_records",),
 )
 def _(fx):
-    split = classify.stratified_split(_gold(fx))
-    return split.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("test"))
+    return classify.stratified_split(_gold(fx)).select("request_id", "label", "is_test")
 
 
 @query(
     "M18_stratified_folds",
-    """, c AS (SELECT gold_category AS label, count(*) AS n FROM fx_records WHERE gold_category IS NOT NULL GROUP BY 1)
-SELECT label, f AS fold, n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END AS n FROM c, (SELECT unnest(range(0, 5)) AS f)""",
+    PLACED + """SELECT request_id, label, (SELECT count(*) FROM (SELECT unnest([0.2::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS x)
+ WHERE place > floor(n * x + 0.5::DOUBLE)) AS fold FROM p""",
     ("fx_records",),
 )
 def _(fx):
-    return classify.stratified_folds(_gold(fx)).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return classify.stratified_folds(_gold(fx)).select("request_id", "label", "fold")
 
 
 def _trained(fx):
