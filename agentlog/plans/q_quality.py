@@ -150,3 +150,30 @@ def _(fx):
     from agentlog.plans.bundles import dashboard
 
     return quality.statistics_violations(dashboard(fx.assignments, fx.clusters))
+
+
+@query(
+    "Q8_broken_bundle",
+    """, t AS (SELECT task_type, count(*) - 20 AS count FROM fx_assignments GROUP BY 1),
+ s AS (SELECT scenario_id, count(*) - 4 AS count FROM fx_assignments GROUP BY 1)
+SELECT 'section' AS section, 'missing:dynamics' AS violation
+UNION ALL SELECT 'tasks_distribution', 'missing:task_type'
+UNION ALL SELECT 'totals', 'negative:records_total' WHERE (SELECT count(*) FROM fx_assignments) > 0
+UNION ALL SELECT 'tasks_distribution', 'negative:count' FROM t WHERE count < 0
+UNION ALL SELECT 'top_scenarios', 'negative:count' FROM s WHERE count < 0
+UNION ALL SELECT 'top_scenarios', 'trend_unknown' FROM s WHERE count % 2 <> 0
+UNION ALL SELECT 'top_scenarios', 'reliability_unknown' FROM s WHERE count % 3 <> 0""",
+    ("fx_assignments",),
+)
+def _(fx):
+    def counts(key, less):
+        return fx.assignments.groupBy(key).agg((F.count(F.lit(1)) - less).alias("count"))
+
+    bundle = {
+        "totals": fx.assignments.agg((-F.count(F.lit(1))).alias("records_total")),
+        "tasks_distribution": counts("task_type", 20).withColumnRenamed("task_type", "kind"),
+        "top_scenarios": counts("scenario_id", 4)
+        .withColumn("trend", F.when(F.col("count") % 2 == 0, "up").otherwise("sideways"))
+        .withColumn("statistical_reliability", F.when(F.col("count") % 3 == 0, "low").otherwise("unsure")),
+    }
+    return quality.statistics_violations(bundle)
