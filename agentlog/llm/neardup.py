@@ -30,7 +30,7 @@ BLOCK = 1 << 21
 @dataclass(frozen=True)
 class Omh:
     """Sizes of the sketch. At similarity 0.8 a sketch of three k-mers agrees with chance
-    0.51, so one of 24 agrees with chance above 0.9999999 and one of 12 with 0.9998."""
+    0.51, so one of 24 agrees with chance above 0.9999999."""
 
     k: int = 5
     picked: int = 3
@@ -38,8 +38,6 @@ class Omh:
     similarity: float = 0.8
     #: Expected members of one cell when a large bucket is dealt into cells.
     cell: int = 4
-    #: Sketches whose buckets are searched for links between components at the end.
-    late_sketches: int = 12
     #: Rows and k-mers of one block of a large bucket, columns of one matrix product.
     block_rows: int = 256
     block_kmers: int = 500_000
@@ -284,8 +282,8 @@ def near_duplicates(
     pairing. An empty table gives an empty result.
 
     Pairs inside a bucket are never emitted as a whole. Large buckets are dealt into small
-    cells, which joins large groups of copies; buckets of any size that then still hold
-    several components are searched block by block for links between these.
+    cells, which joins large groups of copies; buckets of any size and sketch that then still
+    hold several components are searched block by block for links between these.
     """
     keyed = docs.select(F.col(id_col).alias("id"), _flat(text_col).alias("text")).withColumn(
         "key", F.md5("text")
@@ -313,7 +311,7 @@ def near_duplicates(
         return _verified(pairs, texts, omh)
 
     def late_links(apart: DataFrame) -> DataFrame:
-        return _block_links(apart.filter(F.col("place") < omh.late_sketches), texts, omh)
+        return _block_links(apart, texts, omh)
 
     # most rows of a large group meet in the first sketches; later ones find the rest
     first = F.col("place") < 1

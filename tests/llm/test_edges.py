@@ -486,3 +486,35 @@ def test_bands_find_similar_lines():
     wanted = lines.similar(left, right, rules)
     met = (lines.bucket_numbers(left, rules) == lines.bucket_numbers(right, rules)).any(axis=1)
     assert wanted.sum() > 1000 and met[wanted].mean() > 0.99
+
+
+def _pair_of_late_sketches(rng):
+    """Two texts of aligned similarity 0.8 that agree on one or two sketches after the twelfth
+    only, and the numbers and values of these."""
+    omh, words = neardup.Omh(), neardup.WordHashes()
+    while True:
+        tokens = [f"w{x}" for x in rng.integers(10**9, size=9)]
+        long, short = " ".join(tokens), " ".join(tokens[:8])
+        a, b = (neardup.order_sketches(neardup.labelled_kmers(t, omh.k, words), omh) for t in (long, short))
+        agree = np.flatnonzero(a == b)
+        if 0 < len(agree) <= 2 and agree[0] >= 12:
+            return long, short, {int(place): a[place] for place in agree}
+
+
+def test_large_buckets_of_late_sketches_are_searched(spark):
+    """A pair whose only common buckets are large ones of late sketches is still linked."""
+    rng = np.random.default_rng(15)  # its pair is dealt into different cells
+    omh, words = neardup.Omh(), neardup.WordHashes()
+    long, short, agree = _pair_of_late_sketches(rng)
+    others = []
+    for place, value in agree.items():
+        found = 0
+        while found < 80:  # texts of another kind that fall into the same bucket
+            text = f"{long} " + " ".join(f"w{x}" for x in rng.integers(10**9, size=2))
+            if neardup.order_sketches(neardup.labelled_kmers(text, omh.k, words), omh)[place] == value:
+                others.append(text)
+                found += 1
+    rows = list(enumerate([long, short, *others]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: 0 if i == 1 else i for i in range(len(rows))}
