@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from agentlog.llm.common import store, text_or_empty
 from agentlog.llm.neardup import GOLD, mixed
-from agentlog.llm.rounds import group_rows, thinned
+from agentlog.llm.rounds import block_groups, group_rows, thinned
 
 BASE = np.uint64(0x9FB21C651E98DF25)
 #: Characters that are hashed at once: bounds a worker's memory for lines of any length.
@@ -210,30 +210,9 @@ def linked_lines(rows: Sequence[tuple[int, int, str]], rules: LineRules) -> list
 
 
 def _block_links(apart: DataFrame, texts: DataFrame, rules: LineRules) -> DataFrame:
-    """Links between components inside open buckets.
-
-    Rows of a bucket's largest component are one already, so only rows outside it look for
-    others. Both kinds are cut into blocks of bounded rows and characters; a block of rows
-    outside meets every block, and only links leave a group.
-    """
-    outside = F.col("root") != F.col("main")
-
-    def blocks(kind: Column) -> Column:
-        rows = F.count_if(kind) / rules.block_rows
-        return F.ceil(F.greatest(rows, F.sum(F.when(kind, F.col("n"))) / rules.block_chars)).cast("int")
-
-    counts = apart.groupBy("bucket").agg(blocks(outside).alias("n_outside"), blocks(~outside).alias("n_main"))
-    whole = F.col("n_outside") + F.col("n_main")
-    deal = F.xxhash64("row")
-    own = F.when(outside, F.pmod(deal, F.col("n_outside"))).otherwise(
-        F.col("n_outside") + F.pmod(deal, F.col("n_main"))
-    ).cast("int")
-    last = F.when(outside, whole).otherwise(F.col("n_outside")) - 1
-    groups = (
-        apart.join(counts, "bucket")
-        .select("bucket", "row", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
-        .select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "row", "root")
-    )
+    """Links between components inside open buckets, as `block_groups` deals them; only links
+    leave a group."""
+    groups = block_groups(apart, rules.block_rows, rules.block_chars)
     dealt = (
         groups.join(texts, "row").select("group", "row", "root", "line")
         .repartition("group").sortWithinPartitions("group", "row")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from agentlog.llm.common import SPACE, store, text_or_empty
-from agentlog.llm.rounds import group_rows, marked, thinned
+from agentlog.llm.rounds import block_groups, group_rows, marked, thinned
 
 CACHE_WORDS = 500_000
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -189,23 +189,10 @@ def _block_links(apart: DataFrame, texts: DataFrame, omh: Omh) -> DataFrame:
     """Links between components inside open buckets, at most one per pair of components and
     task.
 
-    A bucket is cut into blocks of bounded rows and k-mers, and every two of its blocks meet
-    in one group. A group counts shared k-mers of all its texts at once by matrix products
+    A group of `block_groups` counts shared k-mers of all its texts at once by matrix products
     and aligns only pairs that reach the similarity; nothing else leaves it.
     """
-    sizes = apart.groupBy("bucket").agg(
-        F.ceil(
-            F.greatest(F.count(F.lit(1)) / omh.block_rows, F.sum("n") / omh.block_kmers)
-        ).cast("int").alias("blocks")
-    )
-    blocked = apart.join(sizes, "bucket").withColumn(
-        "own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    groups = blocked.select("bucket", "row", "root", "own", other.alias("other")).select(
-        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"),
-        "row", "root",
-    )
+    groups = block_groups(apart, omh.block_rows, omh.block_kmers)
     dealt = (
         groups.join(texts, "row").select("group", "row", "root", "text")
         .repartition("group").sortWithinPartitions("group", "row")

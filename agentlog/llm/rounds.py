@@ -29,7 +29,8 @@ def _side(members: DataFrame, side: str, keys: Sequence[str], carry: Sequence[st
 def cell_pairs(members: DataFrame, cell: int, carry: Sequence[str], fits: Column) -> DataFrame:
     """Pairs (a, b) of different components that meet in a cell. A bucket of n rows is dealt
     into n / cell cells, each bucket in its own way, so pairs grow with the rows; a small
-    bucket is one cell."""
+    bucket is one cell. Pairs that no cell lists are left to `open_members`, which takes every
+    larger bucket that still holds several components."""
     cells = F.ceil(F.col("size") / cell)
     dealt = members.withColumn("cell", F.pmod(F.xxhash64("bucket", "row"), cells))
     keys = ["bucket", "cell"]
@@ -53,6 +54,34 @@ def open_members(members: DataFrame, cell: int) -> DataFrame:
     return members.join(main, "bucket")
 
 
+def block_groups(apart: DataFrame, block_rows: int, block_size: int) -> DataFrame:
+    """(group, row, root): groups of bounded size in which every two rows of an open bucket
+    meet that may join two of its components; none is left out.
+
+    Rows of a bucket's largest component are one already, so only rows outside it look for
+    others. Both kinds are cut into blocks of `block_rows` rows and a sum of `n` of
+    `block_size`; a block of rows outside meets every block.
+    """
+    outside = F.col("root") != F.col("main")
+
+    def blocks(kind: Column) -> Column:
+        rows = F.count_if(kind) / block_rows
+        return F.ceil(F.greatest(rows, F.sum(F.when(kind, F.col("n"))) / block_size)).cast("int")
+
+    counts = apart.groupBy("bucket").agg(blocks(outside).alias("n_outside"), blocks(~outside).alias("n_main"))
+    whole = F.col("n_outside") + F.col("n_main")
+    deal = F.xxhash64("row")
+    own = F.when(outside, F.pmod(deal, F.col("n_outside"))).otherwise(
+        F.col("n_outside") + F.pmod(deal, F.col("n_main"))
+    ).cast("int")
+    last = F.when(outside, whole).otherwise(F.col("n_outside")) - 1
+    return (
+        apart.join(counts, "bucket")
+        .select("bucket", "row", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+        .select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "row", "root")
+    )
+
+
 def group_rows(
     members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     late_links: Callable[[DataFrame], DataFrame], fits: Column,

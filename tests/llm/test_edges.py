@@ -8,7 +8,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from agentlog.llm import exact, html, lines, mixing, neardup, packing, quality, secrets, sharding, urls
+import corpus_pipeline
+from agentlog.llm import exact, html, lines, mixing, neardup, packing, quality, rounds, secrets, sharding, urls
 from agentlog.llm.components import components
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -501,8 +502,9 @@ def _pair_of_late_sketches(rng):
             return long, short, {int(place): a[place] for place in agree}
 
 
-def test_large_buckets_of_late_sketches_are_searched(spark):
-    """A pair whose only common buckets are large ones of late sketches is still linked."""
+def _late_rows():
+    """Rows of which only 0 and 1 are near; their only common buckets are large ones of late
+    sketches."""
     rng = np.random.default_rng(15)  # its pair is dealt into different cells
     omh, words = neardup.Omh(), neardup.WordHashes()
     long, short, agree = _pair_of_late_sketches(rng)
@@ -514,7 +516,33 @@ def test_large_buckets_of_late_sketches_are_searched(spark):
             if neardup.order_sketches(neardup.labelled_kmers(text, omh.k, words), omh)[place] == value:
                 others.append(text)
                 found += 1
-    rows = list(enumerate([long, short, *others]))
+    return list(enumerate([long, short, *others]))
+
+
+def test_large_buckets_of_late_sketches_are_searched(spark):
+    rows = _late_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
     assert got == {i: 0 if i == 1 else i for i in range(len(rows))}
+
+
+def test_pipeline_stage_searches_large_buckets(spark):
+    """The pipeline's stage keeps one document of such a pair, and all others."""
+    rows = _late_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert got == {i for i, _ in rows} - {1}
+
+
+def test_block_groups_meet_all_that_may_join(spark):
+    """Every two rows of a bucket that lie in different components meet in a group."""
+    rows = [(b, r, 0 if r < 70 else r // 3, 40) for b in (1, 2) for r in range(100)]
+    members = spark.createDataFrame(rows, "bucket long, row long, root long, n long").withColumn("size", F.lit(100))
+    groups = collections.defaultdict(set)
+    for r in rounds.block_groups(rounds.open_members(members, 4), 16, 1000).collect():
+        groups[r.group].add(r.row)
+    assert max(map(len, groups.values())) < 70
+    root = {r: 0 if r < 70 else r // 3 for r in range(100)}
+    for a in range(100):
+        for b in range(a):
+            assert root[a] == root[b] or sum({a, b} <= g for g in groups.values()) >= 2
