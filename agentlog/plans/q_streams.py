@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
@@ -16,22 +17,30 @@ from agentlog.streaming import live, state
 
 
 TOKENS_PLAIN = int_sql("total_tokens")
+#: Rows of one written file, about: files and the tasks that write them grow in number, not in size.
+FILE_ROWS = 200_000
 
 
 def _folder(fx, name: str) -> str:
     return f"{shared_folder(fx.spark)}/{name}-{uuid.uuid4()}"
 
 
-def _files(fx, df: DataFrame, name: str, fmt: str = "parquet") -> str:
-    """The rows as several files, the unit a file stream reads."""
+def _file_count(df: DataFrame) -> int:
+    return max(4, math.ceil(df.count() / FILE_ROWS))
+
+
+def _files(fx, df: DataFrame, name: str, fmt: str = "parquet", **options) -> str:
+    """The rows as several files of bounded size, the unit a file stream reads."""
     path = _folder(fx, name)
-    df.repartition(4).write.format(fmt).save(path)
+    df.repartition(_file_count(df)).write.format(fmt).options(**options).save(path)
     return path
 
 
 def _stream(fx, df: DataFrame, name: str) -> DataFrame:
+    """The rows as a stream of two batches."""
     path = _files(fx, df, name)
-    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    half = math.ceil(_file_count(df) / 2)
+    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", half).parquet(path)
 
 
 @query("S16_read_live", f"SELECT row_idx::VARCHAR AS agent_id, {TEXT} <> '' AS filled FROM fx_raw", ("fx_raw",))
