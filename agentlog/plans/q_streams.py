@@ -294,9 +294,8 @@ def _(fx):
     from agentlog.functions.numeric import parse_long
     from agentlog.sources.raw import read_raw
 
-    path = _folder(fx, "csv")
     raw = fx.raw.withColumn("agent_id", F.col("row_idx").cast("string")).drop("row_idx", "metadata")
-    raw.repartition(4).write.csv(path, header=True, escape='"', quote='"')
+    path = _files(fx, raw, "csv", "csv", header=True, escape='"', quote='"')
     rows = read_raw(fx.spark, path, "csv")
     tools = F.array_join(tools_array(F.col("tools_used")), "|")
     return rows.select("agent_id", "user_name", parse_long(F.col("total_tokens")).alias("tokens"), tools.alias("tools"))

@@ -11,7 +11,7 @@ from agentlog.plans.registry import QUERIES, runner
 @pytest.mark.parametrize(
     "name, folder, rows",
     [
-        ("S2_read_jsonl", "jsonl", 1000), ("S16_read_live", "live", 1000),
+        ("S2_read_jsonl", "jsonl", 1000), ("S3_read_csv", "csv", 1000), ("S16_read_live", "live", 1000),
         ("T1_normalize_stream", "live", 1000), ("T2_store_once", "feed0", 2000),
     ],
 )
