@@ -116,14 +116,16 @@ def similar(left: Sequence[str], right: Sequence[str], rules: LineRules) -> np.n
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line, key): lines with more than white space, trimmed, each run of white
     space as one space."""
-    runs = F.col("line").rlike("[\t\x0b\x0c\r]|  ")
+    line, space = F.col("line"), " \t\x0b\x0c\r"
+    # most texts have single spaces only, which one look at the whole text tells
+    odd = F.contains("text", F.lit("  "))
+    for c in space[1:]:
+        odd = odd | F.contains("text", F.lit(c))
+    runs = F.btrim(F.regexp_replace(line, f"[{space}]+", " "), F.lit(" "))
     return (
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "line"),
-        )
-        .withColumn("line", F.btrim("line", F.lit(" \t\x0b\x0c\r"))).filter("line <> ''")
-        .withColumn("line", F.when(runs, F.regexp_replace("line", "[ \t\x0b\x0c\r]+", " ")).otherwise(F.col("line")))
+        docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("odd", odd)
+        .select("id", "odd", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        .withColumn("line", F.when(F.col("odd"), runs).otherwise(F.trim(line))).filter("line <> ''").drop("odd")
         .withColumn("key", F.unhex(F.md5("line")))
     )
 

@@ -1,7 +1,9 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import collections
+import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -546,3 +548,23 @@ def test_block_groups_meet_all_that_may_join(spark):
     for a in range(100):
         for b in range(a):
             assert root[a] == root[b] or sum({a, b} <= g for g in groups.values()) >= 2
+
+
+def test_white_space_is_sought_by_text_not_by_line(spark, capsys):
+    """Lines of texts with and without odd white space come out alike, with no regular
+    expression tried on every line."""
+    texts = [
+        "one two\nthree", " one two \n\n three", "one\ttwo\r\nthree\x0b", "  \n\t\r\nx  y\x0c\x0cz \n  a", " ", "", None,
+        "a\r\nb", "a b\nc d",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lines._lines(df, "doc_id", "text")
+    expected = []
+    for i, text in enumerate(texts):
+        for n, line in enumerate((text or "").split("\n")):
+            line = re.sub("[ \t\x0b\x0c\r]+", " ", line).strip(" ")
+            if line:
+                expected.append((i, n, line, hashlib.md5(line.encode()).digest()))
+    assert sorted((r.id, r.line_no, r.line, bytes(r.key)) for r in got.collect()) == expected
+    got.explain()
+    assert "RLIKE" not in capsys.readouterr().out
