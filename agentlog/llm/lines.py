@@ -3,7 +3,7 @@ distributed union-find.
 
 A shingle is any ten characters in a row; a shorter line is one shingle. Runs of white space
 count as one space. Spark splits, groups, joins and shuffles; numpy inside Arrow batches
-hashes shingles, takes minima and compares. Shingles are compared by 44 bits of their hashes.
+hashes shingles, takes minima (of 32-bit hashes) and compares, by 44 bits of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from agentlog.llm.neardup import GOLD, mixed
 from agentlog.llm.rounds import block_groups, group_rows, thinned
 
 BASE = np.uint64(0x9FB21C651E98DF25)
+BASE_32 = np.uint32(0x9E3779B1)
 #: Characters that are hashed at once: bounds a worker's memory for lines of any length.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 PAIR_BITS = 20
 
 
@@ -40,19 +41,40 @@ class LineRules:
     columns: int = 4096
 
 
-def shingles(lines: Sequence[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of all lines, line after line, and the number of each line's."""
+def windows(lines: Sequence[str], k: int, base: np.unsignedinteger) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for every k characters in a row of all lines joined, with the place of each
+    line's first and how many it has; those between reach into the next line."""
+    kind = type(base)
     padded = [line.ljust(k, "\n") for line in lines]  # no line holds a line feed
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(kind, copy=False)
     n = len(codes) - k + 1
-    out = codes[:n].copy()
-    for i in range(1, k):
-        out *= BASE
-        out += codes[i : i + n]
-    inside = np.ones(len(codes), bool)
-    inside[(np.cumsum(sizes)[:, None] - np.arange(1, k)).ravel()] = False  # they reach into the next line
-    return mixed(out[inside[:n]]), sizes - k + 1
+    # a polynomial of k characters from those of 1, 2, 4 ... characters
+    out, done, power, width, scale = np.zeros(n, kind), 0, codes, 1, int(base)
+    while True:
+        if k & width:
+            out *= kind(scale)
+            out += power[done : done + n]
+            done += width
+        if done == k:
+            return out, np.cumsum(sizes) - sizes, sizes - k + 1
+        power = power[:-width] * kind(scale) + power[width:]
+        width, scale = 2 * width, scale * scale & int(np.iinfo(kind).max)
+
+
+def shingles(lines: Sequence[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all lines, line after line, and the number of each line's."""
+    out, starts, sizes = windows(lines, k, BASE)
+    inside = np.ones(len(out), bool)
+    inside[(starts[1:, None] - np.arange(1, k)).ravel()] = False
+    return mixed(out[inside]), sizes
+
+
+def mixed_32(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 32-bit numbers."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
 
 
 def chunks(lines: Sequence[str], k: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -74,16 +96,17 @@ def chunks(lines: Sequence[str], k: int) -> Iterator[tuple[list[int], list[str]]
 
 def bucket_numbers(lines: Sequence[str], rules: LineRules) -> np.ndarray:
     """One row per line, one column per band: the hash of the band's minima. Each minimum is
-    taken after multiplication by an odd number of its own."""
+    that of 32-bit hashes after multiplication by an odd number of its own."""
     n = rules.bands * rules.rows
-    factors = mixed(np.arange(1, n + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
-    minima = np.full((n, len(lines)), np.iinfo(np.uint64).max, np.uint64)
+    factors = (mixed(np.arange(1, n + 1, dtype=np.uint64) * GOLD) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    minima = np.full((n, len(lines)), np.iinfo(np.uint32).max, np.uint32)
     for numbers, texts in chunks(lines, rules.shingle):
-        hashes, sizes = shingles(texts, rules.shingle)
-        starts = np.cumsum(sizes) - sizes
+        hashes, starts, sizes = windows(texts, rules.shingle, BASE_32)
+        hashes = mixed_32(hashes)
+        ends = np.stack([starts, starts + sizes], axis=1).ravel()[:-1]
         product = np.empty_like(hashes)
         for i, factor in enumerate(factors):
-            low = np.minimum.reduceat(np.multiply(hashes, factor, out=product), starts)
+            low = np.minimum.reduceat(np.multiply(hashes, factor, out=product), ends)[::2]
             minima[i, numbers] = np.minimum(minima[i, numbers], low)
     out = np.empty((len(lines), rules.bands), np.uint64)
     for band in range(rules.bands):
@@ -131,8 +154,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sketches(lines: DataFrame, rules: LineRules) -> DataFrame:
-    """(row, key, buckets) of each distinct line. Copies of a line are reduced in their batch
-    and then in their task, before the shuffle."""
+    """(row, key, buckets) of each distinct line; `row` is the place of its first copy. Copies
+    are reduced in their batch and then in their task, before the shuffle."""
     names = [f"b{i}" for i in range(rules.bands)]
     schema = "key binary, row long, " + ", ".join(f"{n} long" for n in names)
 
@@ -146,12 +169,24 @@ def _sketches(lines: DataFrame, rules: LineRules) -> DataFrame:
             columns = [once.column(0), once.column(1), *(pa.array(c) for c in np.ascontiguousarray(buckets.T))]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "row", *names])
 
-    found = lines.select("key", F.monotonically_increasing_id().alias("row"), "line").mapInArrow(sketch, schema)
+    found = lines.select("key", F.col("place").alias("row"), "line").mapInArrow(sketch, schema)
     return found.groupBy("key").agg(F.min("row").alias("row"), *[F.min(n).alias(n) for n in names]).select(
         "row", "key", F.array(*names).alias("buckets")
     )
 
 
+def _shared_buckets(sketches: DataFrame) -> DataFrame:
+    """(bucket, band, row, size) of buckets with several rows. Counting and joining use one
+    shuffle, so both need the same columns of it; only shared buckets are held for the join."""
+    keys = ["bucket", "band"]
+    spread = sketches.select("row", F.posexplode("buckets").alias("band", "bucket")).repartition(*keys)
+    shared = (
+        spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("low"), F.max("row").alias("high"))
+        .filter("low < high").select(*keys, "size")
+    )
+    return spread.join(shared.hint("shuffle_hash"), keys)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, rules: LineRules) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough."""
     left, right = (texts.select(F.col("row").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
@@ -252,21 +287,16 @@ def line_classes(
     number, which is the one kept. Null and empty texts and blank lines have no row.
     Repeated rows are copies of each other's lines. An empty table gives an empty result.
     """
-    lines = _lines(docs, id_col, text_col)
-    places = store(
-        lines.select(F.monotonically_increasing_id().alias("place"), "id", "line_no", "key"), "lines"
+    # split and hashed once; later steps read the columns they need
+    lines = store(
+        _lines(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("place"), "*"), "lines"
     )
     sketches = store(_sketches(lines, rules), "line-sketches")
-    spread = sketches.select("row", F.posexplode("buckets").alias("band", "bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = store(spread.join(shared, "bucket"), "line-buckets")
-    wanted = store(
-        sketches.select("row", "key").join(met.select("row").distinct(), "row", "left_semi"), "wanted"
-    )
-    texts = store(
-        thinned(lines.select("key", "line"), "key", wanted)
-        .groupBy("key").agg(F.first("line").alias("line"))  # copies shrink before the shuffle
-        .join(wanted, "key").select("row", "line"),
+    met = store(_shared_buckets(sketches), "line-buckets")
+    wanted = store(met.select("row").distinct(), "wanted")
+    texts = store(  # only numbers are held for the join, so no text is sorted
+        thinned(lines.select(F.col("place").alias("row"), "line"), "row", wanted)
+        .join(wanted.hint("shuffle_hash"), "row", "left_semi"),
         "line-texts",
     )
     members = store(met.join(texts.select("row", F.length("line").cast("long").alias("n")), "row"), "line-members")
@@ -283,7 +313,7 @@ def line_classes(
     roots = sketches.select("row", "key").join(
         labels.withColumnRenamed("node", "row"), "row", "left"
     ).select("key", F.coalesce("root", "row").alias("root"))
-    classed = places.join(roots, "key").drop("key")
+    classed = lines.drop("line").join(roots, "key").drop("key")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "line_no", "place")).alias("first")
     classes = classed.groupBy("root").agg(first, F.count(F.lit(1)).alias("class_size"))
     return classed.join(classes, "root").select(

@@ -568,3 +568,30 @@ def test_white_space_is_sought_by_text_not_by_line(spark, capsys):
     assert sorted((r.id, r.line_no, r.line, bytes(r.key)) for r in got.collect()) == expected
     got.explain()
     assert "RLIKE" not in capsys.readouterr().out
+
+
+def test_lines_are_split_once(spark, monkeypatch, capsys):
+    """Sketches and texts come from the stored lines; no later step splits texts again."""
+    text = "a line that several texts share, but for a number at its end: "
+    rows = [(i, f"{text}{i}\n{i * 7919:020d}\n") for i in range(12)]
+    plans, store = {}, lines.store
+
+    def seen(df, name):
+        capsys.readouterr()
+        df.explain()
+        plans.setdefault(name, capsys.readouterr().out)
+        return store(df, name)
+
+    monkeypatch.setattr(lines, "store", seen)
+    classes = lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in classes.collect() if r.line_no == 0} == dict.fromkeys(range(12), 0)
+    assert [name for name, plan in plans.items() if "split(" in plan] == ["lines"]
+
+
+def test_shared_buckets_are_those_of_several_rows(spark):
+    """Equal numbers in different bands are different buckets."""
+    rows = [(1, [5, 6]), (2, [5, 7]), (3, [7, 8]), (4, [5, 8])]
+    got = lines._shared_buckets(spark.createDataFrame(rows, "row long, buckets array<long>"))
+    assert sorted((r.bucket, r.band, r.row, r.size) for r in got.collect()) == [
+        (5, 0, 1, 3), (5, 0, 2, 3), (5, 0, 4, 3), (8, 1, 3, 2), (8, 1, 4, 2),
+    ]
