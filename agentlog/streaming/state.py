@@ -156,8 +156,10 @@ def once_within(stream: DataFrame, keys: Sequence[str] = schemas.KEYS, within: s
     """Rows without those whose key came at most `within` before.
 
     Age is measured on arrival, so rows with old timestamps are not late: none is dropped
-    but repeats, and state holds the keys of the last `within` only.
+    but repeats, and state holds the keys of the last `within` only. They lie in the RocksDB
+    state store, which is set for the session: on disk, not in the executors' heaps.
     """
+    stream.sparkSession.conf.set(_PROVIDER, _ROCKS)
     at = F.current_timestamp() if arrived is None else arrived
     return stream.withColumn("__arrived", at).withWatermark("__arrived", within).dropDuplicatesWithinWatermark(list(keys)).drop("__arrived")
 
@@ -207,14 +209,16 @@ def store_once(table: StreamTable, schema: T.StructType, writer: str, keys: Sequ
     """Sink that stores every key once, however late it is repeated.
 
     Keys that are stored already are looked up by the batch's own keys, a join that reads the
-    key columns of the history and never shuffles it. The writer's own repeated batch is not
-    counted as history.
+    key columns of the history. The batch is stored first, so Catalyst knows its size: the
+    history is shuffled only if the batch is too large to broadcast. The writer's own repeated
+    batch is not counted as history.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = batch.dropDuplicates(list(keys)).select(*schema.fieldNames()).persist()
         try:
+            rows.count()  # without a stored size a stream's batch counts as too large
             old = table.read(schema).where(~((F.col("writer") == writer) & (F.col("batch_id") >= batch_id)))
-            known = old.select(*keys).join(F.broadcast(rows.select(*keys)), list(keys), "left_semi").distinct()
+            known = old.select(*keys).join(rows.select(*keys), list(keys), "left_semi").distinct()
             table.write(rows.join(known, list(keys), "left_anti"), batch_id, writer)
         finally:
             rows.unpersist()

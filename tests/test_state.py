@@ -127,6 +127,39 @@ def test_repeats_are_stored_once(spark, tmp_path):
     assert sum(passed) < 4 + 2 + 1 + 3 + 3  # state took some of the repeats
 
 
+def test_large_batches_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Keys of a batch above the session's limit stay out of the driver; small ones are broadcast."""
+    plans, write_batch = [], st.StreamTable.write
+
+    def write(table, rows, *args):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write_batch(table, rows, *args)
+
+    monkeypatch.setattr(st.StreamTable, "write", write)
+    table = st.StreamTable(spark, str(tmp_path / "out"))
+    store, limit = st.store_once(table, STORED, "one"), "spark.sql.autoBroadcastJoinThreshold"
+    try:
+        for no, size in enumerate(("-1", "-1", "10m", "10m")):
+            spark.conf.set(limit, size)
+            rows = [("s", f"r{i}", T0) for i in range(3 * no, 3 * no + 6)]
+            store(spark.createDataFrame([*rows, rows[0]], STORED), no)
+    finally:
+        spark.conf.unset(limit)
+    assert ["Broadcast" in p for p in plans] == [False, False, True, True]
+    assert sorted(r.request_id for r in table.read(STORED).collect()) == sorted(f"r{i}" for i in range(15))
+
+
+def test_keys_of_repeats_lie_on_disk(spark, tmp_path):
+    spark.conf.unset(st._PROVIDER)
+    write(spark, tmp_path / "in", [("s", "r", T0, T0)] * 3, KEYED)
+    table = st.StreamTable(spark, str(tmp_path / "out"))
+    once = st.once_within(stream(spark, tmp_path / "in", KEYED))
+    st.run(once, st.store_once(table, STORED, "one"), str(tmp_path / "ckpt"))
+    assert table.read(STORED).count() == 1
+    files = {p.suffix for p in (tmp_path / "ckpt" / "state").rglob("*") if p.is_file()}
+    assert ".zip" in files and ".delta" not in files  # of RocksDB, not of maps in the heap
+
+
 def test_days_with_late_rows_and_a_restart(spark, tmp_path):
     days, late = st.StreamTable(spark, str(tmp_path / "days")), st.StreamTable(spark, str(tmp_path / "late"))
 
